@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import packing, planes, tokens
+from loomwright.llm import exact, packing, planes, simhash, tokens
 from loomwright.llm.common import table
 from loomwright.llm.encode import default_vocabulary
 
@@ -19,14 +19,34 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(table(spark, sf_dir, "documents"), default_vocabulary(), with_ids=False)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4)
+
+
 def op5_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.stored_tokens(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=2)
 
 
+def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
+    "op3_simhash": op3_simhash,
     "op5_planes": op5_planes,
+    "op10_exact": op10_exact,
 }
 
-ORACLES: dict[str, str] = {}
+#: The text without ASCII white space.
+_NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
+
+ORACLES: dict[str, str] = {
+    "op10_exact": f"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORM} AS norm FROM documents),
+        w AS (SELECT doc_id, norm,
+                     first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
+                     count(*) OVER (PARTITION BY norm) AS group_size FROM d)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w""",
+}
