@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import exact, packing, planes, simhash, tokens
+from loomwright.llm import exact, lines, packing, planes, simhash, tokens
 from loomwright.llm.common import table
 from loomwright.llm.encode import default_vocabulary
 
@@ -27,6 +27,10 @@ def op5_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.stored_tokens(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=2)
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,13 +40,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
     "op5_planes": op5_planes,
+    "op6_lines": op6_lines,
     "op10_exact": op10_exact,
 }
 
 #: The text without ASCII white space.
 _NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 
+#: What is trimmed from both ends of a line.
+_BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
 ORACLES: dict[str, str] = {
+    "op6_lines": f"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+        n AS (SELECT *, trim(line, {_BLANK}) AS t,
+                     count(*) FILTER (trim(line, {_BLANK}) <> '') OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM l),
+        b AS (SELECT doc_id, i, unit, t, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS t2 FROM n WHERE t <> ''),
+        o AS (SELECT doc_id, unit, t2 IS NOT NULL
+                     AND row_number() OVER (PARTITION BY t, t2 ORDER BY doc_id, i) > 1 AS again FROM b),
+        g AS (SELECT doc_id, unit, again OR coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY unit), false) AS gone FROM o),
+        u AS (SELECT doc_id, unit, string_agg(line, chr(10) ORDER BY i) AS piece FROM n GROUP BY ALL)
+        SELECT u.doc_id,
+               coalesce(string_agg(piece, chr(10) ORDER BY u.unit) FILTER (NOT coalesce(gone, false)), '') AS text,
+               count(g.unit) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_removed
+        FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.unit = g.unit GROUP BY u.doc_id""",
     "op10_exact": f"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_NORM} AS norm FROM documents),
         w AS (SELECT doc_id, norm,
