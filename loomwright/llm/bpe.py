@@ -28,14 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from loomwright.llm.encode import ChunkEncoder
-
-
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte: itself if it is printable, else the next from U+0100."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
+from loomwright.llm.encode import ChunkEncoder, byte_symbols, plain_splitter
 
 
 @dataclass
@@ -298,21 +291,14 @@ def _one(a: Automaton, word: bytes) -> np.ndarray:
     return np.array(ids[::-1], np.uint32)
 
 
-#: Chunks of these characters only change by lower-casing; the pattern is the file's own.
-_PLAIN = "[!-~¡-¬®-ɏ]+"
-
-
 def automaton_encoder(a: Automaton) -> ChunkEncoder:
     """A chunk encoder whose words go through the automaton."""
-    import regex
     from tokenizers import Tokenizer
     from tokenizers.models import BPE
 
     shell = Tokenizer.from_str(json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "post_processor": None, "decoder": None, **json.loads(a.spec), "model": json.loads(Tokenizer(BPE()).to_str())["model"]}))
-    spec = json.loads(a.spec)
-    pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
     lower = shell.normalizer.normalize_str("AZ") == "az"
-    split, plain = regex.compile(pattern).findall, regex.compile(_PLAIN).fullmatch
+    split = plain_splitter(json.loads(a.spec), lower)
     special = re.compile("(" + "|".join(map(re.escape, sorted(a.special, key=len, reverse=True))) + ")") if a.special else None
     to_byte = {c: b for b, c in enumerate(byte_symbols())}
 
@@ -331,9 +317,8 @@ def automaton_encoder(a: Automaton) -> ChunkEncoder:
         sizes = []
         for chunk in chunks:
             text = chunk.decode("utf-8", "replace")
-            if plain(text) and "<|" not in text:
-                own = [x.encode() for x in split(text.lower() if lower else text)]
-            else:
+            own: list[bytes | int] = [x.encode() for x in split(text) or []]
+            if not own:
                 own = pieces(text)
                 for k, x in enumerate(own):
                     if isinstance(x, int):

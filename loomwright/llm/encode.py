@@ -8,10 +8,11 @@ whenever a batch holds them, which costs time and changes nothing.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -120,12 +121,36 @@ class ChunkEncoder:
             at = end
 
 
+#: Chunks of these characters only change by lower-casing.
+PLAIN_CHUNK = "[!-~¡-¬®-ɏ]+"
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte: itself if it is printable, else the next from U+0100."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+def plain_splitter(spec: dict, lower: bool) -> Callable[[str], list[str] | None]:
+    """Splits a plain chunk by the vocabulary file's own pattern; None for any other chunk, and for all
+    if the file splits in another way than by one pattern and bytes."""
+    import regex
+
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    patterns = [x["pattern"]["Regex"] for x in steps if x["type"] == "Split"]
+    if len(patterns) != 1 or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not lower:
+        return lambda chunk: None
+    split, plain = regex.compile(patterns[0]).findall, regex.compile(PLAIN_CHUNK).fullmatch
+    return lambda chunk: split(chunk.lower()) if plain(chunk) and "<|" not in chunk else None
+
+
 _LIBRARY: dict[str, ChunkEncoder] = {}
 
 
 def library_encoder(path: str) -> ChunkEncoder:
-    """An encoder of this process whose chunks the tokenizers library encodes.  Chunks are folded to
-    lower case first only if the file's normalizer does the same."""
+    """An encoder of this process whose chunks the tokenizers library encodes: the words of plain chunks
+    by the file's model, which is all that is left to do for them, other chunks by the whole tokenizer."""
     if path not in _LIBRARY:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -133,16 +158,35 @@ def library_encoder(path: str) -> ChunkEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+        split, model, symbols = plain_splitter(spec, lower), tokenizer.model, dict(enumerate(byte_symbols()))
 
         def encode_chunks(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            ids, counts = [], []
-            for at in range(0, len(chunks), 4096):
-                part = [c.decode("utf-8", "replace") for c in chunks[at : at + 4096]]
-                e = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-                ids.append(np.array(e.ids, np.uint32))
-                counts.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
-            return np.concatenate(ids), np.concatenate(counts)
+            out: list[list[int] | None] = []
+            words: dict[str, list[int]] = {}
+            for chunk in chunks:
+                own = split(chunk.decode("utf-8", "replace"))
+                if own is None:
+                    out.append(None)
+                    continue
+                ids: list[int] = []
+                for w in own:
+                    got = words.get(w)
+                    if got is None:
+                        x = w if w.isascii() else w.encode().decode("latin-1").translate(symbols)
+                        got = words[w] = [t.id for t in model.tokenize(x)]
+                    ids += got
+                out.append(ids)
+            rest = [k for k, x in enumerate(out) if x is None]
+            for at in range(0, len(rest), 4096):
+                part = rest[at : at + 4096]
+                e = tokenizer.encode([chunks[k].decode("utf-8", "replace") for k in part], is_pretokenized=True, add_special_tokens=False)
+                ids, ends = e.ids, np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part))).tolist()
+                for k, a, b in zip(part, [0, *ends], ends):
+                    out[k] = ids[a:b]
+            return np.fromiter(chain.from_iterable(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
-        lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
         _LIBRARY[path] = ChunkEncoder(encode_chunks, fold=lower)
     return _LIBRARY[path]

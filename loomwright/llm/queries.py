@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwright.llm import exact, lines, packing, planes, simhash, tokens
+from loomwright.llm import exact, lines, packing, planes, simhash, tokens, toxicity
 from loomwright.llm.common import table
 from loomwright.llm.encode import default_vocabulary
 
@@ -31,6 +32,25 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The score from which on a document counts as toxic.
+TOXIC_FROM = 0.3
+
+
+def _held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+
+
+def fitted_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on documents that aren't held out."""
+    return toxicity.fit(docs.select("doc_id", "text"), labels.where(~_held_out()).select("doc_id", "toxic"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, fitted_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_planes": op5_planes,
     "op6_lines": op6_lines,
+    "op9_toxicity": op9_toxicity,
     "op10_exact": op10_exact,
 }
 
