@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import exact, lines, packing, planes, simhash, tokens, toxicity
+from loomwright.llm import exact, lines, packing, planes, simhash, substring, tokens, toxicity
 from loomwright.llm.common import table
 from loomwright.llm.encode import default_vocabulary
 
@@ -24,6 +24,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.stored_tokens(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=2)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_bpe": op2_bpe,
     "op3_simhash": op3_simhash,
+    "op4_substring": op4_substring,
     "op5_planes": op5_planes,
     "op6_lines": op6_lines,
     "op9_toxicity": op9_toxicity,
