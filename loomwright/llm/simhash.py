@@ -178,3 +178,11 @@ def near_duplicates(df: DataFrame, shingle: int = 4, budget: int = 4, id_column:
     smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = classes.join(smallest, "component").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, shingle: int = 4, budget: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of the smallest id of each component.  Of rows that repeat an id and text one stays; rows
+    without an id can't be told apart and all stay."""
+    first = near_duplicates(df, shingle, budget, id_column, text_column).where("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
+    kept = df.where(F.col(id_column).isNotNull()).join(first, id_column, "left_semi").dropDuplicates([id_column, text_column])
+    return kept.unionByName(df.where(F.col(id_column).isNull()))
