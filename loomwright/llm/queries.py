@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import exact, lines, packing, planes, simhash, substring, tokens, toxicity
+from loomwright.llm import chat, exact, lines, packing, planes, simhash, substring, tokens, toxicity
 from loomwright.llm.common import table
 from loomwright.llm.encode import default_vocabulary
 
@@ -36,6 +36,16 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: A conversation whose texts are the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.conversation_digests(chat.format_log(chat.turns_to_events(rows)))
+
+
 #: The score from which on a document counts as toxic.
 TOXIC_FROM = 0.3
 
@@ -66,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring": op4_substring,
     "op5_planes": op5_planes,
     "op6_lines": op6_lines,
+    "op8_chat": op8_chat,
     "op9_toxicity": op9_toxicity,
     "op10_exact": op10_exact,
 }
@@ -76,7 +87,29 @@ _NORM = "regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')"
 #: What is trimmed from both ends of a line.
 _BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
 
+_ROLE, _TEXT, _ESC = "coalesce(role, '')", "coalesce(text, '')", "chr(92)"
+
+
+def _escape(x: str, more: str = "") -> str:
+    """SQL that escapes the template's control strings in x."""
+    for c in (_ESC, "'###'", "'</turn>'", *([more] if more else [])):
+        x = f"replace({x}, {c}, {_ESC} || {c})"
+    return x
+
+
 ORACLES: dict[str, str] = {
+    "op8_chat": f"""
+        WITH c AS (
+            SELECT conv_id, turn, {_ROLE} AS role, {_TEXT} AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', {_ESC} || '### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', {_ESC} || '### Assistant: </turn> ok'),
+        f AS (SELECT *, CASE WHEN regexp_full_match(role, '[a-z]+') THEN upper(role[1]) || role[2:] ELSE {_ESC} || role END AS shown FROM c)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(4 + length({_escape('shown', "':'")}) + 2 + length({_escape('text')}) + 8) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id""",
     "op6_lines": f"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
