@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import chat, exact, lines, packing, planes, simhash, substring, tokens, toxicity
+from loomwright.llm import avi, chat, exact, lines, packing, planes, simhash, substring, tokens, toxicity
 from loomwright.llm.common import table
 from loomwright.llm.encode import default_vocabulary
 
@@ -36,6 +36,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digests(avi.media(table(spark, sf_dir, "documents")))
+
+
 #: A conversation whose texts are the template's own control strings.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring": op4_substring,
     "op5_planes": op5_planes,
     "op6_lines": op6_lines,
+    "op7_avi": op7_avi,
     "op8_chat": op8_chat,
     "op9_toxicity": op9_toxicity,
     "op10_exact": op10_exact,
