@@ -1,0 +1,14 @@
+"""The queries on the driver's tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomwright.plans import corpus
+
+MODULES = (corpus,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}
