@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, utf8
+from loomwright.llm.common import ship, utf8, written
 
 #: Labelled rows that are fitted on at most; features kept at most; documents that a feature needs.
 SAMPLE, FEATURES, SUPPORT = 20_000, 20_000, 5
@@ -97,7 +97,8 @@ def _sample(df: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     y = labels.where(F.col(label_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("doc_id")).agg(F.max(F.col(label_column).cast("int")).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most `sample` rows of two numbers: bounded
     rows = df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).join(F.broadcast(y), "doc_id")
-    return rows.withColumn("copy", F.xxhash64("text")).dropDuplicates(["copy", "y"])
+    rows = written(rows.withColumn("copy", F.xxhash64("text")), "sample")
+    return rows.join(rows.groupBy("copy", "y").agg(F.min("doc_id").alias("doc_id")), ["copy", "y", "doc_id"]).dropDuplicates(["doc_id"])
 
 
 def _counts(rows: DataFrame) -> DataFrame:
