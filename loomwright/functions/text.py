@@ -282,22 +282,39 @@ def token_script(c: Column, low: str = r"\x{0D80}", high: str = r"\x{0DFF}", nam
 
 
 def token_category(c: Column) -> Column:
-    """special, whitespace, sinhala, non_english_other, number, punctuation, english_word,
-    subword_fragment or other; a leading space marks a whole word."""
+    """special, whitespace, sinhala, non_english_other, number, punctuation, english_word (a space leads),
+    subword_fragment or other."""
     bare = strip(c)
     return (
-        F.when(c.rlike(r"^<\|?.*\|?>\z"), "special")
+        F.when(c.rlike(r"^<\|?.+\|?>\z"), "special")
         .when(bare == "", "whitespace")
-        .when(bare.rlike(r"[\x{0D80}-\x{0DFF}]"), "sinhala")
-        .when(bare.rlike(r"[^\x{00}-\x{7F}]"), "non_english_other")
+        .when(c.rlike(r"[\x{0D80}-\x{0DFF}]"), "sinhala")
+        .when(c.rlike(r"[^\x{00}-\x{7F}]"), "non_english_other")
         .when(bare.rlike(r"^[0-9]+\z"), "number")
         .when(bare.rlike(r"^[^A-Za-z0-9]+\z"), "punctuation")
-        .when(c.rlike(r"^ [A-Za-z]+\z"), "english_word")
-        .when(c.rlike(r"^[A-Za-z]+\z"), "subword_fragment")
+        .when(bare.rlike(r"^[A-Za-z']+\z"), F.when(F.startswith(c, F.lit(" ")), "english_word").otherwise("subword_fragment"))
+        .when(bare.rlike("[0-9]"), "number")
         .otherwise("other")
     )
 
 
+#: Fixed values.
+STOPWORDS = ["the", "a", "an", "of", "to", "in", "and", "is", "was", "that", "it", "for", "on", "with"]
+
+
+def token_type(c: Column, special: Column | None = None) -> Column:
+    bare = strip(c)
+    return (
+        F.when(F.lit(False) if special is None else special, "special")
+        .when(bare == "", "whitespace")
+        .when(bare.rlike(r"[\x{0D80}-\x{0DFF}]"), "sinhala")
+        .when(bare.rlike(r"^[0-9]+\z"), "number")
+        .when(bare.rlike(r"^[^\p{L}\p{N}]+\z"), "punctuation")
+        .when(F.lower(bare).isin(STOPWORDS), "stopword")
+        .otherwise("english")
+    )
+
+
 def first_label_char(c: Column, labels: str = "01234") -> Column:
     """The first character of the text that is a label; null if none is."""
     return F.nullif(F.regexp_extract(c, f"[{labels}]", 0), F.lit(""))
