@@ -49,7 +49,7 @@ def jsonl_merge(spark, d):
     """Lines of a folder that are JSON objects, passed through as they are."""
     at = folder(spark)
     line = F.to_json(F.struct("doc_id", "lang"))
-    table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, F.concat(line, F.lit("}{"))).otherwise(line).alias("value")).repartition(3).write.text(at)
+    table(spark, d, "documents").select(F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("{oops "), line)).otherwise(line).alias("value")).repartition(3).write.text(at)
     return readers.merge_jsonl(spark, f"{at}/*.txt").agg(F.count("*").alias("n_lines"))
 
 
