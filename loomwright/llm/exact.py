@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, utf8
+from loomwright.llm.common import ship, utf8, written
 
 SALTS = 32
 SPACE = b" \t\n\x0b\x0c\r"
@@ -51,4 +51,5 @@ def exact_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str
     best = F.max(F.struct(F.col("first").isNotNull().alias("has"), "n_points", F.bitwise_not("first").alias("back")))
     groups = whole.groupBy(*key).agg(best.alias("best"), F.sum("n").alias("group_size")).select(*key, F.bitwise_not("best.back").alias("keep_id"), "group_size")
     rows = digests(df, id_column, text_column, False)
+    groups = written(groups, "groups")  # a table of its own: Spark can split the join where a digest is frequent
     return rows.join(groups, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
