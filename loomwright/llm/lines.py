@@ -53,10 +53,13 @@ def repeated(df: DataFrame, window: int, id_column: str, text_column: str) -> Da
     """d, r, starts: where the windows of a document begin that occur earlier, in order."""
     rows = written(windows(df, window, id_column, text_column), "windows")
     seeds = rows.groupBy("fp").agg(F.min(F.struct("d", "r", "at")).alias("low"), F.max(F.struct("d", "r", "at")).alias("high"))
-    shared = rows.join(seeds.where(~F.col("low").eqNullSafe(F.col("high"))).select("fp"), "fp", "left_semi")
+    # tables of their own: Spark can split a join with them where a fingerprint or window is frequent
+    seeds = written(seeds.where(~F.col("low").eqNullSafe(F.col("high"))).select("fp"), "seeds")
+    shared = rows.join(seeds, "fp", "left_semi")
     place = F.struct("d", "r", "start")
     first = shared.groupBy("fp", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("fp", "k1", "k2", "first")
+    first = written(first, "first")
     later = shared.join(first, ["fp", "k1", "k2"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("d", "r").agg(F.array_sort(F.collect_set("start")).alias("starts"))
 
