@@ -67,17 +67,19 @@ def repeated(df: DataFrame, window: int, id_column: str, text_column: str) -> Da
 def dedup_lines(df: DataFrame, window: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with their texts less the repeated runs, and n_lines and n_removed (long) in place of
     columns of those names."""
-    found = repeated(df, window, id_column, text_column).select(F.col("d").alias("__d"), F.col("r").alias("__r"), F.col("starts").alias("__s"))
+    found = repeated(df, window, id_column, text_column).select(F.col("d").alias("fd"), F.col("r").alias("fr"), "starts")
     d, r = _key(id_column, text_column)
-    rows = df.select(*df.columns, d.alias("__kd"), r.alias("__kr"))
-    rows = rows.join(found, F.col("__kd").eqNullSafe(F.col("__d")) & (F.col("__kr") == F.col("__r")), "left")
+    own = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names that nothing here uses otherwise
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], d, r)
+    rows = rows.join(found, F.col("d").eqNullSafe(F.col("fd")) & (F.col("r") == F.col("fr")), "left")
     # of each matching window, the units that the one before doesn't cover, behind those that none covers
-    back = lambda i: F.when(i > 0, F.get("__s", i - 1)).otherwise(F.lit(-window))
-    covered = F.flatten(F.transform("__s", lambda s, i: F.concat(F.array_repeat(F.lit(False), F.greatest(s - back(i) - window, F.lit(0))), F.array_repeat(F.lit(True), F.least(s - back(i), F.lit(window))))))
-    rows = rows.select(*df.columns, _units(F.col(text_column)).alias("__u"), covered.alias("__m"))
-    kept = F.filter("__u", lambda x, i: ~F.coalesce(F.get("__m", i), F.lit(False)))
-    text = F.when(F.col("__m").isNull(), F.coalesce(F.col(text_column), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    lines = F.size(F.filter("__u", lambda x: F.btrim(x, F.lit(BLANK)) != "")).cast("long")
-    gone = F.coalesce(F.size(F.filter("__m", lambda x: x)), F.lit(0))
-    out = [text.alias(c) if c == text_column else F.col(c) for c in df.columns if c not in ("n_lines", "n_removed")]
-    return rows.select(*out, lines.alias("n_lines"), F.when(F.col("__m").isNull(), 0).otherwise(gone).cast("long").alias("n_removed"))
+    back = lambda i: F.when(i > 0, F.get("starts", i - 1)).otherwise(F.lit(-window))
+    covered = F.flatten(F.transform("starts", lambda s, i: F.concat(F.array_repeat(F.lit(False), F.greatest(s - back(i) - window, F.lit(0))), F.array_repeat(F.lit(True), F.least(s - back(i), F.lit(window))))))
+    text = F.col(own[text_column])
+    rows = rows.select(*own.values(), _units(text).alias("units"), covered.alias("gone"))
+    kept = F.filter("units", lambda x, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
+    new = F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    n = F.size(F.filter("units", lambda x: F.btrim(x, F.lit(BLANK)) != "")).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter("gone", lambda x: x))).cast("long")
+    out = [(new if c == text_column else F.col(k)).alias(c) for c, k in own.items() if c not in ("n_lines", "n_removed")]
+    return rows.select(*out, n.alias("n_lines"), n_gone.alias("n_removed"))
