@@ -43,7 +43,7 @@ from loomwright.llm.encode import blocks
 from loomwright.llm.simhash import forest
 
 SHINGLE, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.995, 2
-MIN_WORDS, RUN_WORDS, REACH = 20, 12, 5
+MIN_WORDS, RUN_WORDS, REACH = 20, 10, 4
 #: Words that are handled at once.
 BATCH_WORDS = 200_000
 
@@ -143,7 +143,7 @@ def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def units(df: DataFrame, id_column: str, text_column: str, bands: int) -> DataFrame:
-    """d, start and n (words of the document), ord, h, and keys: the bands of a paragraph, null for a piece."""
+    """d, start and n (words of the document), h, and keys: the bands of a paragraph, null for a piece."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +159,12 @@ def units(df: DataFrame, id_column: str, text_column: str, bands: int) -> DataFr
                 first = np.searchsorted(doc, np.arange(len(docs)))  # of each document, among all words
                 ids, shift = np.array(docs, np.int64), np.array(before, np.int64)
                 start = np.cumsum(line_n) - line_n
-                order = np.arange(len(line_n)) - np.repeat(np.cumsum(doc_lines) - doc_lines, doc_lines)
                 long = line_n >= MIN_WORDS
                 p_start, p_n, p_doc = start[long], line_n[long], line_doc[long]
                 keys = signatures(h, p_start, p_n, bands)
                 s_start = piece_starts(h, doc)
                 s_doc = doc[s_start]
                 s_n = np.diff(np.append(s_start, len(h)))
-                s_order = np.arange(len(s_start)) - np.searchsorted(s_doc, s_doc)
                 all_start, all_n, all_doc = (np.concatenate(x) for x in ((p_start, s_start), (p_n, s_n), (p_doc, s_doc)))
                 offsets = np.concatenate([np.arange(len(p_n) + 1) * bands, np.full(len(s_n), len(p_n) * bands)]).astype(np.int32)
                 none = np.concatenate([np.zeros(len(p_n), bool), np.ones(len(s_n), bool)])
@@ -175,14 +173,13 @@ def units(df: DataFrame, id_column: str, text_column: str, bands: int) -> DataFr
                         "d": ids[all_doc],
                         "start": (all_start - first[all_doc] + shift[all_doc]).astype(np.int32),
                         "n": all_n.astype(np.int32),
-                        "ord": np.concatenate([order[long], s_order]).astype(np.int32),
                         "h": range_hashes(h, all_start, all_n).view(np.int64),
                         "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)), mask=pa.array(none)),
                     },
-                    schema=pa.schema([("d", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("ord", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))]),
+                    schema=pa.schema([("d", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))]),
                 )
 
-    return _keyed(df, id_column, text_column).mapInArrow(run, "d long, start int, n int, ord int, h long, keys array<long>")
+    return _keyed(df, id_column, text_column).mapInArrow(run, "d long, start int, n int, h long, keys array<long>")
 
 
 def colliding(nodes: DataFrame) -> DataFrame:
@@ -288,10 +285,10 @@ def similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
 
 def removals(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """d, start, n, ord (null for a paragraph), h, keep (the document that holds the copy that stays)."""
+    """d, start, n, h, piece (false for a paragraph), keep (the document that holds the copy that stays)."""
     rows = written(units(df, id_column, text_column, tune(similarity)), "units")
     paragraphs, pieces = rows.where(F.col("keys").isNotNull()), rows.where(F.col("keys").isNull())
-    place = F.struct("d", "ord", "start", "n")
+    place = F.struct("d", "start", "n")
     nodes = written(paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "nodes")
     candidates = written(colliding(nodes), "candidates")
     wanted = nodes.join(candidates.select("h").distinct(), "h").select("first.d", "first.start", "first.n", "h")
@@ -300,10 +297,10 @@ def removals(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     member = nodes.join(found, "h", "left").select("h", F.coalesce("component", "h").alias("c"), "first", "copies")
     keep = member.groupBy("c").agg(F.min("first").alias("keep"), F.sum("copies").alias("n_all")).where("n_all > 1").select("c", "keep")
     of_node = member.join(keep, "c").select("h", "keep")
-    again = paragraphs.join(of_node, "h").where(~F.struct("d", "ord").eqNullSafe(F.struct("keep.d", "keep.ord")))
-    again = again.select("d", "start", "n", F.lit(None).cast("int").alias("ord"), "h", F.col("keep.d").alias("keep"))
+    again = paragraphs.join(of_node, "h").where(~F.struct("d", "start").eqNullSafe(F.struct("keep.d", "keep.start")))
+    again = again.select("d", "start", "n", "h", F.lit(False).alias("piece"), F.col("keep.d").alias("keep"))
     first = pieces.groupBy("h").agg(F.min("d").alias("keep"), F.max("d").alias("last")).where("keep < last").select("h", "keep")
-    inside = pieces.join(first, "h").where("d > keep").select("d", "start", "n", "ord", "h", "keep")
+    inside = pieces.select("d", "start", "n", "h").join(first, "h").where("d > keep").select("d", "start", "n", "h", F.lit(True).alias("piece"), "keep")
     return again.unionByName(inside)
 
 
@@ -318,12 +315,12 @@ def cut(text: bytes, spans: list[dict], run_words: int = RUN_WORDS) -> tuple[byt
     gone = np.zeros(len(h) + 1, np.int8)
     kept: set[int] = set()
     runs: list[list[dict]] = []
-    for x in sorted((x for x in spans if x["ord"] is not None), key=lambda x: x["start"]):
+    for x in sorted((x for x in spans if x["piece"]), key=lambda x: x["start"]):
         if runs and runs[-1][-1]["start"] + runs[-1][-1]["n"] == x["start"]:
             runs[-1].append(x)
         else:
             runs.append([x])
-    for own in [[x] for x in spans if x["ord"] is None] + [r for r in runs if sum(x["n"] for x in r) >= run_words]:
+    for own in [[x] for x in spans if not x["piece"]] + [r for r in runs if sum(x["n"] for x in r) >= run_words]:
         gone[own[0]["start"] : own[-1]["start"] + own[-1]["n"]] = 1
         kept |= {x["keep"] for x in own}
     words = [m.span() for m in _WORD.finditer(text)]
@@ -346,10 +343,11 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     """The rows with their texts less what other documents hold, and n_removed (ranges), removed_words and
     duplicate_of (ids of the documents that keep what went) in place of columns of those names."""
     extra = ("n_removed", "removed_words", "duplicate_of")
-    lists = removals(df, id_column, text_column, similarity).groupBy("d").agg(F.collect_list(F.struct("start", "n", "ord", "h", "keep")).alias("__spans")).withColumnRenamed("d", "__d")
+    lists = removals(df, id_column, text_column, similarity).groupBy("d").agg(F.collect_list(F.struct("start", "n", "h", "piece", "keep")).alias("spans"))
     columns = [c for c in df.columns if c not in extra]
-    rows = df.select(*[utf8(c).alias(c) if c == text_column else F.col(c) for c in columns], F.coalesce(F.col(id_column).cast("long"), F.lit(FIRST_ID)).alias("__k"))
-    rows = rows.join(lists, F.col("__k") == F.col("__d"), "left").select(*columns, "__spans")
+    own = [(utf8(f"`{c}`") if c == text_column else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]  # names that nothing here uses otherwise
+    rows = df.select(*own, F.coalesce(F.col(id_column).cast("long"), F.lit(FIRST_ID)).alias("k"))
+    rows = rows.join(lists, F.col("k") == F.col("d"), "left").select(*[f"c{i}" for i in range(len(columns))], "spans")
     at = columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
