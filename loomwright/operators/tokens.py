@@ -98,7 +98,7 @@ def budget_batches(df: DataFrame, order: list[str], length: str, budget: int, mo
             out.append(batch)
         return pdf.assign(batch=out)
 
-    keyed = df.groupBy(group) if group else df.groupBy(F.lit(0))
+    keyed = df.groupBy(group) if group else df.groupBy(F.lit("all").alias("all"))
     return keyed.applyInPandas(cut, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", batch long")
 
 
