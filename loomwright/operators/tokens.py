@@ -50,7 +50,7 @@ def kl_divergence(p: DataFrame, q: DataFrame, floor: float = 1e-12) -> DataFrame
 
 def piece_lengths(counts: DataFrame) -> DataFrame:
     """length, the share of occurrences, and the weighted mean of lengths."""
-    rows = counts.groupBy(F.length("token").alias("length")).agg(F.sum("n").alias("n")).where("length > 0")
+    rows = counts.groupBy(F.length("token").cast("long").alias("length")).agg(F.sum("n").alias("n")).where("length > 0")
     all_ = Window.partitionBy()
     return rows.select("length", "n", F.round(F.col("n") / F.sum("n").over(all_), 9).alias("share"), F.round(F.sum(F.col("length") * F.col("n")).over(all_) / F.sum("n").over(all_), 6).alias("mean_length"))
 

@@ -276,8 +276,8 @@ def parse_predictions(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.first_label_char(t, "eai").alias("first_label"), T.label_by_prefix(t, ["THE", "LES"]).alias("by_prefix"), T.label_by_keyword(t, ["ANDTH", "THE"], {"THE"}).alias("by_keyword"))
 
 
-@query("""SELECT o_orderkey AS item_idx, list_position([x0, x1, x2], list_max([x0, x1, x2])) - 1 AS pred, round(x0 - (m + ln(exp(x0 - m) + exp(x1 - m) + exp(x2 - m))), 9) AS lp0, round(exp(x1 - m) / (exp(x0 - m) + exp(x1 - m) + exp(x2 - m)), 9) AS p1,
-    list_position([x0 - 3, x1 - 1, x2], list_max([x0 - 3, x1 - 1, x2])) - 1 AS pred_calibrated
+@query("""SELECT o_orderkey AS item_idx, CAST(list_position([x0, x1, x2], list_max([x0, x1, x2])) - 1 AS BIGINT) AS pred, round(x0 - (m + ln(exp(x0 - m) + exp(x1 - m) + exp(x2 - m))), 9) AS lp0, round(exp(x1 - m) / (exp(x0 - m) + exp(x1 - m) + exp(x2 - m)), 9) AS p1,
+    CAST(list_position([x0 - 3, x1 - 1, x2], list_max([x0 - 3, x1 - 1, x2])) - 1 AS BIGINT) AS pred_calibrated
     FROM (SELECT o_orderkey, x0, x1, x2, greatest(x0, x1, x2) AS m FROM (SELECT o_orderkey, CAST(o_orderkey % 7 AS DOUBLE) AS x0, CAST(o_custkey % 5 AS DOUBLE) AS x1, CAST(o_orderkey % 3 AS DOUBLE) AS x2 FROM orders))""")
 def option_scores(spark, d):
     """Log-probabilities over the options, the best one, and the best after a prior is taken off."""

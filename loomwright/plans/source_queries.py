@@ -68,7 +68,7 @@ def corpus_text_round_trip(spark, d):
     return readers.read_corpus(spark, at).agg(F.count("*").alias("n_lines"))
 
 
-@query("SELECT n_nationkey AS place, n_name || ' ' || n_name || ' ' || n_name || ' x ' || n_nationkey AS text FROM nation WHERE length(n_name || ' ' || n_name || ' ' || n_name || ' x ' || n_nationkey) > 20")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS place, n_name || ' ' || n_name || ' ' || n_name || ' x ' || n_nationkey AS text FROM nation WHERE length(n_name || ' ' || n_name || ' ' || n_name || ' x ' || n_nationkey) > 20")
 def article_files(spark, d):
     at = folder(spark)
     rows = table(spark, d, "nation").select("n_nationkey", F.concat_ws("  ", "n_name", "n_name", "n_name", F.lit("x"), "n_nationkey").alias("a"))
@@ -113,7 +113,7 @@ def damaged_predictions(spark, d):
     return readers.recover_labels(spark, at, ["A0", "A1", "A2"]).groupBy("pred", "gold").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 91.25 AS accuracy, CAST(NULL AS DOUBLE) AS f1")
+@query("SELECT CAST(91.25 AS DOUBLE) AS accuracy, CAST(NULL AS DOUBLE) AS f1")
 def results_text(spark, d):
     at = folder(spark)
     spark.createDataFrame([("Results\nAccuracy: 91.25 %\nMacro: none",)], "value string").write.text(at)
