@@ -76,7 +76,7 @@ def masks(n_blocks: int = BLOCKS, chosen: int = CHOSEN) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for c in combinations(block, chosen) for m in [sum(c)]]
 
 
-def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """fps: unsigned, ascending in each range starts..ends, which all have a trie of their own.  Yields
     positions of the pairs that differ in at most budget bits."""
     todo = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
@@ -227,48 +227,85 @@ def prints(df: DataFrame, shingle: int, n_prints: int, bits: int, id_column: str
     return df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).mapInArrow(run, "doc_id long, prints array<long>")
 
 
-def candidate_links(nodes: DataFrame, n_prints: int, bits: int, budget: int) -> DataFrame:
-    """nodes: node, prints.  Links a, b between nodes of which a print differs in at most budget bits: each
-    print's bits are cut into budget + 1 blocks, of which one agrees, and there the tries are joined."""
+def forest_pairs(label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what all pairs connect: those that join two groups that are still apart.  label:
+    the group of each position to begin with, named by its smallest position."""
+    label, out = label.copy(), []
+    for i, j in pairs:
+        while len(i):
+            a, b = label[i], label[j]
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            apart = low < high
+            if not apart.any():
+                break
+            i, j, low, high = i[apart], j[apart], low[apart], high[apart]
+            _, pick = np.unique(high, return_index=True)  # each group joins one with a smaller name
+            out.append((i[pick], j[pick]))
+            label[high[pick]] = low[pick]
+            while True:
+                up = label[label]
+                if (up == label).all():
+                    break
+                label = up
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def candidate_links(nodes: DataFrame, first: int, last: int, bits: int, budget: int) -> DataFrame:
+    """nodes: node, prints, component.  Links a, b between nodes of different components of which one of the
+    prints first..last - 1 differs in at most budget bits: each print's bits are cut into budget + 1 blocks,
+    of which one agrees, and there the tries are joined."""
     ship(nodes.sparkSession)
 
     def join(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """rows: choice, chosen bits, print, node."""
+        """rows: choice, chosen bits, print, node, component."""
         order = np.lexsort((rows[3], rows[2].view(np.uint64), rows[1], rows[0]))
-        choice, block, fp, node = (r[order] for r in rows)
+        choice, block, fp, node, group = (r[order] for r in rows)
         fp = fp.view(np.uint64)
         bucket = np.concatenate([[True], (choice[1:] != choice[:-1]) | (block[1:] != block[:-1])])
         fresh = bucket | np.concatenate([[True], fp[1:] != fp[:-1]])  # equal prints are one leaf
         leaf = np.cumsum(fresh) - 1
         place = np.flatnonzero(fresh)
-        first = np.flatnonzero(bucket[place])
-        end = np.append(first[1:], len(place))
-        many = end - first > 1
-        label = forest(len(place), trie_pairs(fp[place], first[many], end[many], budget))
-        head = node[place[label[leaf]]]
-        moved = head != node
-        yield pa.RecordBatch.from_pydict({"a": np.maximum(node[moved], head[moved]), "b": np.minimum(node[moved], head[moved])})
+        begin = np.flatnonzero(bucket[place])
+        end = np.append(begin[1:], len(place))
+        many = end - begin > 1
+        # groups to begin with: rows of one bucket and component
+        by = np.lexsort((group, np.cumsum(bucket)))
+        new = np.concatenate([[True], (group[by][1:] != group[by][:-1]) | (np.cumsum(bucket)[by][1:] != np.cumsum(bucket)[by][:-1])])
+        label = np.empty(len(by), np.int64)
+        label[by] = np.minimum.reduceat(by, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            other = np.flatnonzero(~fresh)
+            yield place[leaf[other]], other
+            for i, j in trie_pairs(fp[place], begin[many], end[many], budget):
+                yield place[i], place[j]
+
+        i, j = forest_pairs(label, pairs())
+        yield pa.RecordBatch.from_pydict({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)]))
+            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]))
             size += batch.num_rows
             if size >= JOINED:
                 rows = np.concatenate(held, axis=1)
-                last = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
-                if not last.all():
-                    yield from join(rows[:, ~last])
-                    rows = rows[:, last]
-                held, size = [rows], rows.shape[1] if not last.all() else size // 2
+                last_ = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+                if not last_.all():  # the last bucket may go on
+                    yield from join(rows[:, ~last_])
+                    rows = rows[:, last_]
+                held, size = [rows], rows.shape[1] if not last_.all() else size // 2
         if size:
             yield from join(np.concatenate(held, axis=1))
 
     cuts = [bits * k // (budget + 1) for k in range(budget + 2)]
     signed = [m - (1 << 64) if m >> 63 else m for a, b in zip(cuts, cuts[1:]) for m in [((1 << (b - a)) - 1) << (64 - b)]]
     block = lambda fp, i: F.transform(F.array(*[F.lit(m) for m in signed]), lambda m, k: F.struct((i * len(signed) + k).alias("choice"), fp.bitwiseAND(m).alias("block"), fp.alias("fp")))
-    keyed = nodes.select("node", F.explode(F.flatten(F.transform("prints", block))).alias("x")).select("x.choice", "x.block", "x.fp", "node")
+    some = F.slice("prints", first + 1, last - first)
+    keyed = nodes.select("node", "component", F.explode(F.flatten(F.transform(some, block))).alias("x")).select("x.choice", "x.block", "x.fp", "node", "component")
     return keyed.repartition("choice", "block").sortWithinPartitions("choice", "block").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -282,17 +319,25 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
     differing bits finds only very close texts; at a similarity of 0.8 some 15 % of the bits differ.  So there
     are many short fingerprints, and texts are candidates if any of them lies within the budget (of pairs at
     0.8, 98.7 % with the parameters given, more above).  Candidates are linked if all fingerprints
-    together differ in no more bits than that similarity leads to, and one and a half deviations."""
+    together differ in no more bits than that similarity leads to, and one and a half deviations.
+
+    A quarter of the fingerprints goes first.  The others look for links between the components found by then
+    alone, so a large family of near copies is gone over once and not for every fingerprint."""
     rows = written(prints(df, shingle, n_prints, bits, id_column, text_column).withColumn("node", F.xxhash64("prints")), "prints")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("prints").alias("prints")), "nodes")
     total, p = n_prints * bits, bits_apart(similarity)
     most = total * p + 1.5 * (total * p * (1 - p)) ** 0.5
     own = lambda k, n: nodes.select(F.col("node").alias(k), F.col("prints").alias(n))
-    pairs = candidate_links(nodes.select("node", "prints"), n_prints, bits, budget).join(own("a", "pa"), "a").join(own("b", "pb"), "b")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    found = components(pairs.where(apart <= most).select("a", "b")).withColumnRenamed("node", "__n")
-    classes = nodes.join(found, nodes["node"] == F.col("__n"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    smallest = written(classes.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    classes, links = nodes.withColumn("component", F.col("node")), None
+    cut = max(1, n_prints // 4)
+    for first, last in ((0, cut), (cut, n_prints)):
+        pairs = candidate_links(classes.select("node", "prints", "component"), first, last, bits, budget)
+        near = pairs.join(own("a", "pa"), "a").join(own("b", "pb"), "b").where(apart <= most).select("a", "b")
+        links = written(near if links is None else links.unionByName(near), "near")
+        found = components(links).withColumnRenamed("node", "n")
+        classes = written(nodes.join(found, nodes["node"] == F.col("n"), "left").select("node", "first", "prints", F.coalesce("component", "node").alias("component")), "classes")
+    smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     of_node = written(classes.join(smallest, "component").select("node", "component_id"), "of_node")
     return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
 
