@@ -17,7 +17,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Words handled at once, bytes of one text handled at once, chunks remembered by one encoder.
-BATCH_WORDS, BLOCK_BYTES, CACHE_CHUNKS = 200_000, 1 << 20, 500_000
+BATCH_WORDS, BLOCK_BYTES, CACHE_CHUNKS = 200_000, 1 << 20, 300_000
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
