@@ -15,25 +15,65 @@ ORDER_DEPENDENT = ["ඉහත සියල්ල", "ඉහත සඳහන් 
 #: Category tokens at the ends of file names.
 KNOWN_CATEGORIES = ["social science", "social_science", "business studies", "business_studies", "humanities", "language", "stem", "other"]
 
-#: Subjects by subcategory, and subcategories by domain.
-SUBCATEGORY_SUBJECTS = {
-    "math": ["abstract_algebra", "college_mathematics", "elementary_mathematics", "high_school_mathematics", "high_school_statistics"],
-    "health": ["anatomy", "clinical_knowledge", "college_medicine", "human_aging", "medical_genetics", "nutrition", "professional_medicine", "virology"],
-    "physics": ["astronomy", "college_physics", "conceptual_physics", "high_school_physics"],
-    "business": ["business_ethics", "management", "marketing"],
-    "biology": ["college_biology", "high_school_biology"],
-    "chemistry": ["college_chemistry", "high_school_chemistry"],
-    "computer science": ["college_computer_science", "computer_security", "high_school_computer_science", "machine_learning"],
-    "economics": ["econometrics", "high_school_macroeconomics", "high_school_microeconomics"],
-    "engineering": ["electrical_engineering"],
-    "philosophy": ["formal_logic", "logical_fallacies", "moral_disputes", "moral_scenarios", "philosophy", "world_religions"],
-    "other": ["global_facts", "miscellaneous", "professional_accounting"],
-    "history": ["high_school_european_history", "high_school_us_history", "high_school_world_history", "prehistory"],
-    "geography": ["high_school_geography"],
-    "politics": ["high_school_government_and_politics", "public_relations", "security_studies", "us_foreign_policy"],
-    "psychology": ["high_school_psychology", "professional_psychology"],
-    "culture": ["human_sexuality", "sociology"],
-    "law": ["international_law", "jurisprudence", "professional_law"],
+#: The subcategory of each subject, and the subcategories of each domain.
+SUBJECT_SUBCATEGORIES = {
+    "abstract_algebra": "math",
+    "anatomy": "health",
+    "astronomy": "physics",
+    "business_ethics": "business",
+    "clinical_knowledge": "health",
+    "college_biology": "biology",
+    "college_chemistry": "chemistry",
+    "college_computer_science": "computer science",
+    "college_mathematics": "math",
+    "college_medicine": "health",
+    "college_physics": "physics",
+    "computer_security": "computer science",
+    "conceptual_physics": "physics",
+    "econometrics": "economics",
+    "electrical_engineering": "engineering",
+    "elementary_mathematics": "math",
+    "formal_logic": "philosophy",
+    "global_facts": "other",
+    "high_school_biology": "biology",
+    "high_school_chemistry": "chemistry",
+    "high_school_computer_science": "computer science",
+    "high_school_european_history": "history",
+    "high_school_geography": "geography",
+    "high_school_government_and_politics": "politics",
+    "high_school_macroeconomics": "economics",
+    "high_school_mathematics": "math",
+    "high_school_microeconomics": "economics",
+    "high_school_physics": "physics",
+    "high_school_psychology": "psychology",
+    "high_school_statistics": "math",
+    "high_school_us_history": "history",
+    "high_school_world_history": "history",
+    "human_aging": "health",
+    "human_sexuality": "culture",
+    "international_law": "law",
+    "jurisprudence": "law",
+    "logical_fallacies": "philosophy",
+    "machine_learning": "computer science",
+    "management": "business",
+    "marketing": "business",
+    "medical_genetics": "health",
+    "miscellaneous": "other",
+    "moral_disputes": "philosophy",
+    "moral_scenarios": "philosophy",
+    "nutrition": "health",
+    "philosophy": "philosophy",
+    "prehistory": "history",
+    "professional_accounting": "other",
+    "professional_law": "law",
+    "professional_medicine": "health",
+    "professional_psychology": "psychology",
+    "public_relations": "politics",
+    "security_studies": "politics",
+    "sociology": "culture",
+    "us_foreign_policy": "politics",
+    "virology": "health",
+    "world_religions": "philosophy",
 }
 DOMAIN_SUBCATEGORIES = {
     "stem": ["physics", "chemistry", "biology", "computer science", "math", "engineering"],
@@ -46,7 +86,7 @@ LETTERS = "ABCDEFGHIJ"
 
 def subject_domains() -> dict[str, str]:
     of = {s: d for d, own in DOMAIN_SUBCATEGORIES.items() for s in own}
-    return {x: of[s] for s, own in SUBCATEGORY_SUBJECTS.items() for x in own}
+    return {x: of[s] for x, s in SUBJECT_SUBCATEGORIES.items()}
 
 
 def domain(subject: Column) -> Column:

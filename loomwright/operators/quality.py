@@ -69,10 +69,14 @@ def top_duplicates(groups: DataFrame, k: int = 3) -> DataFrame:
 
 
 def character_scripts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """script, n_chars and n_records.  Characters are counted for each record first, so what is shuffled
-    is a row for each record and code point at most."""
-    chars = df.select(F.col(key).alias("k"), F.explode(F.split(T.empty_if_null(F.col(text)), "")).alias("ch")).where("ch <> ''")
-    each = chars.groupBy("k", "ch").agg(F.count("*").alias("n")).withColumn("script", T.script_of(F.ascii("ch")))
+    """script, n_chars and n_records.  The ASCII letters of a text are counted by one expression; only its
+    other characters are exploded, and counted for each record first, so what is shuffled is a row for each
+    record and code point at most."""
+    t = T.empty_if_null(F.col(text))
+    letters = F.array(F.struct(F.lit("A").alias("ch"), F.regexp_count(t, F.lit(r"[A-Za-z\x7F]")).cast("long").alias("n")))
+    rest = F.transform(F.filter(F.split(F.regexp_replace(t, r"[\x00-\x7F]+", ""), ""), lambda c: c != ""), lambda c: F.struct(c.alias("ch"), F.lit(1).cast("long").alias("n")))
+    chars = df.select(F.col(key).alias("k"), F.explode(F.concat(letters, rest)).alias("x")).select("k", "x.ch", "x.n").where("n > 0")
+    each = chars.groupBy("k", "ch").agg(F.sum("n").alias("n")).withColumn("script", T.script_of(F.ascii("ch")))
     each = each.where(F.col("script").isNotNull()).groupBy("k", "script").agg(F.sum("n").alias("n"))
     return each.groupBy("script").agg(F.sum("n").alias("n_chars"), F.count("*").alias("n_records"))
 

@@ -287,3 +287,39 @@ def option_scores(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("item_idx"), x.alias("x"))
     prior = F.array(F.lit(3.0), F.lit(1.0), F.lit(0.0))
     return rows.select("item_idx", R.argmax(F.col("x")).cast("long").alias("pred"), F.round(F.get(R.log_softmax(F.col("x")), F.lit(0)), 9).alias("lp0"), F.round(F.get(R.softmax(F.col("x")), F.lit(1)), 9).alias("p1"), R.argmax(R.minus(F.col("x"), prior)).cast("long").alias("pred_calibrated"))
+
+
+@query("""WITH r AS (SELECT n_name AS name, n_nationkey % 3 AS snapshot, n_nationkey * 1.5 AS score FROM nation), a AS (SELECT n_name AS name, n_regionkey AS model, n_nationkey % 4 AS priority FROM nation)
+    SELECT model, arg_min(score, (snapshot, priority, name)) AS score FROM r JOIN a USING (name) GROUP BY model""")
+def first_match(spark, d):
+    """Of several names and snapshots the value of the best one for each model."""
+    n = table(spark, d, "nation")
+    rows = n.select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 3).alias("snapshot"), (F.col("n_nationkey") * F.lit(1.5)).alias("score"))
+    alias = n.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("model"), (F.col("n_nationkey") % 4).alias("priority"))
+    return E.first_match(rows, alias, "name", "score")
+
+
+@query("SELECT r_name AS arm, n_name AS model, lang FROM region, nation, (SELECT unnest(['si', 'en']) AS lang) WHERE n_nationkey < 5")
+def job_units(spark, d):
+    """The product of languages, arms and models: tables of a few rows."""
+    langs = spark.createDataFrame([("si",), ("en",)], "lang string")
+    arms, models = table(spark, d, "region").select(F.col("r_name").alias("arm")), table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("model"))
+    return langs.crossJoin(F.broadcast(arms)).crossJoin(F.broadcast(models)).select("arm", "model", "lang")
+
+
+@query("""SELECT o_orderkey AS item_idx, coalesce(nullif(regexp_extract(string_split(g, 'Answer:')[-1], '\\b([0-4])\\b', 1), ''), 'UNK') AS pred FROM (
+    SELECT o_orderkey, 'x 3 Answer: no 1 Answer:' || CASE o_orderkey % 4 WHEN 0 THEN ' 2.' WHEN 1 THEN '12' WHEN 2 THEN ' it is 7 or 4' ELSE '' END AS g FROM orders)""")
+def digit_answers(spark, d):
+    from loomwright.functions import text as T
+
+    k = F.col("o_orderkey") % 4
+    g = F.concat(F.lit("x 3 Answer: no 1 Answer:"), F.when(k == 0, " 2.").when(k == 1, "12").when(k == 2, " it is 7 or 4").otherwise(""))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("item_idx"), T.digit_answer(g).alias("pred"))
+
+
+@query("""WITH s AS (SELECT doc_id, text, md5('12|' || doc_id) AS h FROM documents) SELECT CASE WHEN CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 50 = 0 THEN 'eval' ELSE 'train' END AS part, count(*) AS n FROM s GROUP BY 1""")
+def hash_split(spark, d):
+    """A random 2 % for evaluation, the same rows whatever the partitions."""
+    from loomwright.operators.splits import hash_bucket
+
+    return table(spark, d, "documents").groupBy(F.when(hash_bucket("12", 50, "doc_id") == 0, "eval").otherwise("train").alias("part")).agg(F.count("*").alias("n"))
