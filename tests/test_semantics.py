@@ -65,36 +65,26 @@ def test_keep_script(spark):
     assert one(spark, [s], T.keep_script) == [kept.sub("", s.replace("　", ""))]
 
 
-def python_artifacts(text, passes=4):
-    rules = [(re.compile(rf"(?m)^(\s*){w}\.(\s)"), rf"\g<1>{d}.\g<2>") for w, d in T.WORD_NUMERALS.items()]
-    rules.append((re.compile(rf"(?<![^\s])(\d+\.\s+)(?:{'|'.join(T.INJECTED_WORDS)})\s+"), r"\1"))
-    rules += [(re.compile(T.CAPTION), " "), (re.compile(T.EDIT_LINK), " ")]
-    for _ in range(passes):
-        for p, to in rules:
-            text = p.sub(to, text)
-    for p, to in ((r"[ \t]{2,}", " "), (r" +([,.!?;:])", r"\1"), (r"\n{3,}", "\n\n"), (r"(?m)[ \t]+$", "")):
-        text = re.sub(p, to, text)
-    return text.strip()
-
-
+#: Texts and what is left of them.
 ARTIFACTS = [
-    "පහයි. සෞඛ්‍යය foo",
-    "x පහයි. y",
-    "1. සෞඛ්‍යය මෘදු foo",
-    "go 2. සෞඛ්‍යය one 3. මෘදු two",
-    "a [25වන පිටුවේ පින්තූරය] b [ පිටුව 3 වන පිටුවේ පින්තූරය ] c",
-    "head [සංස්කරණය] and [සංස්කරණය කරන්න] but සංස්කරණය stays",
-    "a\n\n\n\nb  c , d !  \nend \t",
-    "දහයයි. සීමාව q\n  විස්සයි. z",
-    "",
+    ('පහයි. සෞඛ්\u200dයය foo', '5. foo'),
+    ('x පහයි. y', 'x පහයි. y'),
+    ('1. සෞඛ්\u200dයය මෘදු foo', '1. foo'),
+    ('go 2. සෞඛ්\u200dයය one 3. මෘදු two', 'go 2. one 3. two'),
+    ('a [25වන පිටුවේ පින්තූරය] b [ පිටුව 3 වන පිටුවේ පින්තූරය ] c', 'a b c'),
+    ('head [සංස්කරණය] and [සංස්කරණය කරන්න] but සංස්කරණය stays', 'head and but සංස්කරණය stays'),
+    ('a\n\n\n\nb  c , d !  \nend \t', 'a\n\nb c, d!\nend'),
+    ('දහයයි. සීමාව q\n  විස්සයි. z', '10. q\n 20. z'),
+    ('', ''),
 ]
 
 
 def test_artifacts_to_fixpoint(spark):
-    got = one(spark, ARTIFACTS, T.clean_artifacts)
-    assert got == [python_artifacts(s) for s in ARTIFACTS]
+    texts = [t for t, _ in ARTIFACTS]
+    got = one(spark, texts, T.clean_artifacts)
+    assert got == [w for _, w in ARTIFACTS]
     assert one(spark, got, T.clean_artifacts) == got
-    assert one(spark, ARTIFACTS, lambda c: T.clean_artifacts(c, passes=5)) == got
+    assert one(spark, texts, lambda c: T.clean_artifacts(c, passes=5)) == got
     assert one(spark, ["1. සෞඛ්‍යය මෘදු foo"], lambda c: T.clean_artifacts(c, passes=1)) != ["1. foo"]
 
 
@@ -106,14 +96,9 @@ def test_bracket_clean_and_context(spark):
 
 
 def test_degenerate(spark):
-    texts = ["a b c d e " * 10, "w " * 19, "w " * 20, " ".join(f"u{i}" for i in range(40)), " ".join(f"u{i}" for i in range(60)) + " p q r s t" * 3, ""]
-
-    def want(t):
-        w = t.split()
-        g = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-        return len(w) >= 20 and max(g.count(x) for x in g) >= 3 and len(set(g)) / len(g) < 0.6
-
-    assert one(spark, texts, Q.degenerate) == [want(t) for t in texts]
+    loops = ["a b c d e " * 10, "w " * 20]
+    fine = ["w " * 19, " ".join(f"u{i}" for i in range(40)), " ".join(f"u{i}" for i in range(60)) + " p q r s t" * 3, ""]
+    assert one(spark, loops + fine, Q.degenerate) == [True] * 2 + [False] * 4
 
 
 def test_positions_of_percentiles(spark):
@@ -123,16 +108,11 @@ def test_positions_of_percentiles(spark):
     assert {x.p: x.length for x in K.length_distribution(df, F.col("x"), [0, 50, 99.9, 100]).collect()} == {0: 1, 50: 3, 99.9: 4, 100: 4}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 25, 100])
-def test_split_sizes(spark, n):
+@pytest.mark.parametrize("n,sizes", [(1, [1, 0, 0]), (2, [1, 1, 0]), (3, [1, 1, 1]), (5, [3, 1, 1]), (25, [21, 2, 2]), (100, [80, 10, 10])])
+def test_split_sizes(spark, n, sizes):
     df = spark.createDataFrame([(i, 0) for i in range(n)], "i long, label int")
     got = {r["split"]: r["count"] for r in S.stratified_split(df, "label", F.col("i")).groupBy("split").count().collect()}
-    test, val = max(1, round(n * 0.1)), max(1, round(n * 0.1))
-    train = n - val - test
-    if train < 1:
-        train, val = 1, max(1, (n - 1) // 2)
-    sizes = [len(range(n)[:train]), len(range(n)[train : train + val]), len(range(n)[train + val :])]
-    assert [got.get(s, 0) for s in ("train", "val", "test")] == sizes and sum(got.values()) == n
+    assert [got.get(s, 0) for s in ("train", "val", "test")] == sizes
 
 
 def test_first_of_ties(spark):
@@ -164,23 +144,12 @@ def test_mcnemar(spark, b01, b10):
 
 
 def test_reports_with_unparsed_predictions(spark):
-    gold = ["a", "a", "b", "b", "c", "a"]
-    pred = ["a", None, "b", "a", "UNK", "b"]
-    df = spark.createDataFrame(list(zip(gold, pred)), "g string, p string")
-    labels = ["a", "b", "c", "d"]
-    s = E.class_summary(df, "g", "p", labels).first()
-    pairs = list(zip(pred, gold))
-    correct = sum(p == g for p, g in pairs)
-    un = sum(p not in labels for p in pred)
-    prec, rec, f1 = [], [], []
-    for x in labels:
-        tp, fp, fn = sum(p == g == x for p, g in pairs), sum(p == x != g for p, g in pairs), sum(g == x != p for p, g in pairs)
-        prec.append(tp / (tp + fp) if tp + fp else 0)
-        rec.append(tp / (tp + fn) if tp + fn else 0)
-        f1.append(2 * prec[-1] * rec[-1] / (prec[-1] + rec[-1]) if prec[-1] + rec[-1] else 0)
-    assert (s.n, s.n_unparsed) == (6, un)
-    assert s.micro_precision == pytest.approx(correct / (6 - un), abs=1e-6) and s.micro_recall == pytest.approx(correct / 6, abs=1e-6)
-    assert [s.macro_precision, s.macro_recall, s.macro_f1] == pytest.approx([np.mean(prec), np.mean(rec), np.mean(f1)], abs=1e-6)
+    df = spark.createDataFrame(list(zip("aabbca", ["a", None, "b", "a", "UNK", "b"])), "g string, p string")
+    s = E.class_summary(df, "g", "p", ["a", "b", "c", "d"]).first()
+    assert (s.n, s.n_unparsed) == (6, 2)
+    assert [s.micro_precision, s.micro_recall, s.accuracy] == pytest.approx([1 / 2, 1 / 3, 1 / 3], abs=1e-6)
+    assert [s.macro_precision, s.macro_recall, s.macro_f1] == pytest.approx([0.25, 5 / 24, 0.225], abs=1e-6)
+    assert s.weighted_f1 == pytest.approx((3 * 0.4 + 2 * 0.5) / 6, abs=1e-6)
     m = {r.gold: r.asDict() for r in E.confusion(df, "g", "p", ["a", "b"]).collect()}
     assert m["a"]["accuracy"] == 0.5 and (m["a"]["a"], m["a"]["b"]) == (1, 1)
 
@@ -204,29 +173,14 @@ def test_dialogue_repair(spark):
         [],
     ]
 
-    def repair(m):
-        if not m:
-            return 0, "empty"
-        empty = next((i for i, x in enumerate(m) if not (x["content"] or "").strip()), None)
-        if empty is not None:
-            keep = empty if empty % 2 == 0 else empty - 1
-            if keep < 2:
-                return 0, "no_content_before_empty_turn"
-            m = m[:keep]
-        if m[-1]["role"] != "assistant":
-            return 0, "not_assistant_last"
-        return len(m), "truncated_at_empty_turn" if empty is not None else None
-
-    def trim(m):
-        while m and m[-1]["role"] != "assistant":
-            m = m[:-1]
-        return m
-
+    repaired = [(2, None), (0, "not_assistant_last"), (0, "no_content_before_empty_turn"), (0, "no_content_before_empty_turn"), (2, "truncated_at_empty_turn"), (2, "truncated_at_empty_turn"), (3, None), (0, "not_assistant_last"), (0, "not_assistant_last"), (0, "empty")]
+    trimmed = [2, 2, 2, 2, 4, 4, 3, 5, 0, 0]
+    prepared = [(2, None), (2, None), *repaired[2:8], (0, "no_assistant_turn"), (0, "no_assistant_turn")]
     df = spark.createDataFrame([(i, m) for i, m in enumerate(cases)], "i long, m array<struct<content:string,role:string>>")
     got = df.orderBy("i").select(D.repair(F.col("m")).alias("r"), F.size(D.trim(F.col("m"))).alias("t"), D.prepare(F.col("m"), T.strip).alias("p")).collect()
-    assert [(len(x.r.messages), x.r.reason) for x in got] == [repair(m) for m in cases]
-    assert [x.t for x in got] == [len(trim(m)) for m in cases]
-    assert [(len(x.p.messages), x.p.reason) for x in got] == [(0, "no_assistant_turn") if len(trim(m)) < 2 else repair(trim(m)) for m in cases]
+    assert [(len(x.r.messages), x.r.reason) for x in got] == repaired
+    assert [x.t for x in got] == trimmed
+    assert [(len(x.p.messages), x.p.reason) for x in got] == prepared
 
 
 def test_render_spans(spark):
@@ -245,13 +199,10 @@ def test_wraps(spark):
     prompt = "Task one.\nBody 1\nAnswer: 2\n\nTask two. Answer: hidden\nBody 2\nAnswer: "
     got = one(spark, [prompt], lambda c: C.wrap_blocks(c, C.CHAT, "Answer:", end=C.CHAT_END))[0]
 
-    def block(b, end):
-        before, cue, after = b.rpartition("Answer:")
-        head, _, body = before.partition("\n")
-        return C.CHAT.format(head.strip(), body.strip(), cue + after) + end
-
-    parts = prompt.split("\n\n")
-    assert got == "\n\n".join([block(b, C.CHAT_END) for b in parts[:-1]] + [block(parts[-1], "")])
+    assert got == (
+        "### User:\nTask one.\n\nBody 1\n\n### Assistant:\nAnswer: 2<|end_of_text|>\n\n"
+        "### User:\nTask two. Answer: hidden\n\nBody 2\n\n### Assistant:\nAnswer: "
+    )
     assert C.template_of("\nx 1, 2,3 , 4 y 1,2,3,4\n") == "x [NUMS] y 1,2,3,4"
 
 
@@ -260,19 +211,9 @@ def test_masks_and_chunks(spark):
     assert one(spark, [ids], lambda c: R.mask_prefix(c, F.lit(3)), "array<int>") == [[-100] * 3 + ids[3:]]
     assert one(spark, [[]], lambda c: R.chunks(c, 4, 2, 3), "array<int>") == [[[]]]
 
-    def chunks(x, size, stride, most):
-        out, start = [], 0
-        while start < len(x) and len(out) < most:
-            end = min(start + size, len(x))
-            out.append(x[start:end])
-            if end == len(x):
-                break
-            start += stride
-        return out or [x[:size]]
-
-    for n in range(0, 12):
-        x = list(range(n))
-        assert one(spark, [x], lambda c: R.chunks(c, 4, 3, 3), "array<int>") == [chunks(x, 4, 3, 3)]
+    for n in range(1, 12):
+        got = one(spark, [list(range(n))], lambda c: R.chunks(c, 4, 3, 3), "array<int>")[0]
+        assert got == [list(range(n))[3 * k : 3 * k + 4] for k in range(min(3, 1 + max(0, math.ceil((n - 4) / 3))))]
     df = spark.createDataFrame([([1, 2, 3], [(0, 2), (2, 5), (5, 7)], [(2, 7)], [2, 5])], "ids array<int>, o array<struct<s:int,e:int>>, sp array<struct<s:int,e:int>>, ends array<int>")
     r = df.select(R.mask_spans(F.col("ids"), F.col("o"), F.col("sp")).alias("m"), R.cut_at_turn(F.lit(9), F.col("ends"), 4).alias("a"), R.cut_at_turn(F.lit(9), F.col("ends"), 1).alias("b"), R.cut_at_turn(F.lit(3), F.col("ends"), 4).alias("c")).first()
     assert (r.m, r.a, r.b, r.c) == ([-100, 2, 3], 2, 1, 3)
@@ -293,19 +234,15 @@ def test_packing_by_batches(spark):
 
 
 def test_budget_batches(spark):
+    """Longest first; every batch is within the limits, and would not be with the next row."""
     sizes = [5, 9, 3, 3, 3, 20, 1, 1, 1, 1, 1]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i long, n long")
-    got = {r.i: r.batch for r in K.budget_batches(df, ["i"], "n", 90, 4).collect()}
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    want, batch, n, top = {}, 0, 0, 0
-    for i in order:
-        longest = max(top, sizes[i])
-        if n and ((n + 1) * longest * longest > 90 or n >= 4):
-            batch, n, top = batch + 1, 1, sizes[i]
-        else:
-            n, top = n + 1, longest
-        want[i] = batch
-    assert got == want
+    rows = sorted(K.budget_batches(df, ["i"], "n", 90, 4).collect(), key=lambda r: (-r.n, r.i))
+    assert [r.batch for r in rows] == sorted(r.batch for r in rows)
+    batches = [[r.n for r in rows if r.batch == b] for b in range(rows[-1].batch + 1)]
+    fits = lambda b: len(b) <= 4 and len(b) * max(b) ** 2 <= 90
+    assert all(fits(b) or len(b) == 1 for b in batches)
+    assert not any(fits(b + c[:1]) for b, c in zip(batches, batches[1:]))
 
 
 def test_divergence(spark):
