@@ -36,7 +36,7 @@ SAMPLE, FEATURES, SUPPORT = 20_000, 20_000, 5
 #: A feature is kept if its smoothed share among toxic documents is e to this power times that of others.
 LIFT = 1.2
 #: Words remembered by one scorer.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 
 _WORD, _END = re.compile(r"\w+"), re.compile(r"[.!?\n]+")
 
@@ -169,7 +169,7 @@ def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column
     if not toxic or not other:
         return Model(0.0, float(bool(toxic)))
     lift = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    support = min(SUPPORT, max(1, toxic // 20))
+    support = min(SUPPORT, max(1, toxic // 12))
     best = _counts(rows).where(F.col("toxic") >= support).withColumn("lift", lift).where(F.col("lift") > LIFT)
     names = [r[0] for r in best.orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "feature").select("feature").limit(FEATURES).collect()]
     bags = _bags(rows, {f: k for k, f in enumerate(names)}).toPandas().sort_values(["doc_id", "sentence", "feature"])
