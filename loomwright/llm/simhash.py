@@ -337,7 +337,7 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
         links = written(near if links is None else links.unionByName(near), "near")
         found = components(links).withColumnRenamed("node", "n")
         classes = written(nodes.join(found, nodes["node"] == F.col("n"), "left").select("node", "first", "prints", F.coalesce("component", "node").alias("component")), "classes")
-    smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
+    smallest = written(classes.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")  # so that the join can be split
     of_node = written(classes.join(smallest, "component").select("node", "component_id"), "of_node")
     return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
 
