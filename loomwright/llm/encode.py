@@ -142,7 +142,21 @@ def plain_splitter(spec: dict, lower: bool) -> Callable[[str], list[str] | None]
     if len(patterns) != 1 or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not lower:
         return lambda chunk: None
     split, plain = regex.compile(patterns[0]).findall, regex.compile(PLAIN_CHUNK).fullmatch
-    return lambda chunk: split(chunk.lower()) if plain(chunk) and "<|" not in chunk else None
+    if split("a1,b'x") != ["a", "1", ",", "b", "'", "x"]:
+        return lambda chunk: None
+
+    def pieces(chunk: str) -> list[str] | None:
+        """Most chunks are letters, or letters and one mark: the pattern is asked for the others only."""
+        if not (chunk.isascii() and chunk.isprintable() or plain(chunk)) or "<|" in chunk:
+            return None
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return split(chunk)
+
+    return pieces
 
 
 _LIBRARY: dict[str, ChunkEncoder] = {}
