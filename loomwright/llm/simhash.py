@@ -18,8 +18,8 @@ An empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ from loomwright.llm.encode import blocks
 BLOCKS, CHOSEN = 7, 3
 #: Shingles whose bits are counted at once; rows of a task that are joined at once, if no bucket holds more.
 COUNTED, JOINED = 1 << 15, 1 << 16
+#: Candidates that are tested at once.
+TESTED = 1 << 15
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -227,86 +229,158 @@ def prints(df: DataFrame, shingle: int, n_prints: int, bits: int, id_column: str
     return df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).mapInArrow(run, "doc_id long, prints array<long>")
 
 
-def forest_pairs(label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that connect what all pairs connect: those that join two groups that are still apart.  label:
-    the group of each position to begin with, named by its smallest position."""
-    label, out = label.copy(), []
+def forest_pairs(label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs that pass the test some that connect what all of them connect: those that join two groups
+    that are still apart.  label: the group of each position to begin with, named by its smallest position;
+    kept up to date in place, so that pairs can leave out what is joined."""
+    out = []
     for i, j in pairs:
-        while len(i):
-            a, b = label[i], label[j]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            apart = low < high
-            if not apart.any():
-                break
-            i, j, low, high = i[apart], j[apart], low[apart], high[apart]
-            _, pick = np.unique(high, return_index=True)  # each group joins one with a smaller name
-            out.append((i[pick], j[pick]))
-            label[high[pick]] = low[pick]
-            while True:
-                up = label[label]
-                if (up == label).all():
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        for at in range(0, len(i), TESTED):
+            p, q = i[at : at + TESTED], j[at : at + TESTED]
+            apart = label[p] != label[q]
+            p, q = p[apart], q[apart]
+            passed = test(p, q)
+            p, q = p[passed], q[passed]
+            while len(p):
+                a, b = label[p], label[q]
+                low, high = np.minimum(a, b), np.maximum(a, b)
+                apart = low < high
+                if not apart.any():
                     break
-                label = up
+                p, q, low, high = p[apart], q[apart], low[apart], high[apart]
+                _, pick = np.unique(high, return_index=True)  # each group joins one with a smaller name
+                out.append((p[pick], q[pick]))
+                label[high[pick]] = low[pick]
+                while True:
+                    up = label[label]
+                    if (up == label).all():
+                        break
+                    label[:] = up
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def candidate_links(nodes: DataFrame, first: int, last: int, bits: int, budget: int) -> DataFrame:
-    """nodes: node, prints, component.  Links a, b between nodes of different components of which one of the
-    prints first..last - 1 differs in at most budget bits: each print's bits are cut into budget + 1 blocks,
-    of which one agrees, and there the tries are joined."""
-    ship(nodes.sparkSession)
-
-    def join(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """rows: choice, chosen bits, print, node, component."""
-        order = np.lexsort((rows[3], rows[2].view(np.uint64), rows[1], rows[0]))
-        choice, block, fp, node, group = (r[order] for r in rows)
-        fp = fp.view(np.uint64)
-        bucket = np.concatenate([[True], (choice[1:] != choice[:-1]) | (block[1:] != block[:-1])])
-        fresh = bucket | np.concatenate([[True], fp[1:] != fp[:-1]])  # equal prints are one leaf
-        leaf = np.cumsum(fresh) - 1
-        place = np.flatnonzero(fresh)
-        begin = np.flatnonzero(bucket[place])
-        end = np.append(begin[1:], len(place))
-        many = end - begin > 1
+def crossed(place: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The members' pairs of pairs of leaves, some at a time.  A leaf's members stand at place..place + size."""
+    each = size[i] * size[j]
+    base = np.cumsum(each) - each
+    for at in range(0, int(each.sum()), TESTED):
+        k = np.arange(at, min(at + TESTED, int(each.sum())))
+        pair = np.searchsorted(base, k, "right") - 1
+        k -= base[pair]
+        p, q = place[i[pair]] + k // size[j[pair]], place[j[pair]] + k % size[j[pair]]
+        yield p[p < q], q[p < q]
+
+
+class Buckets:
+    """Rows (choice, block, print, node, component) that agree in choice and block, sorted; equal prints are a
+    leaf of the bucket's trie."""
+
+    def __init__(self, choice: np.ndarray, block: np.ndarray, fp: np.ndarray, node: np.ndarray, component: np.ndarray, masks: list[int], budget: int):
+        self.order = np.lexsort((node, fp.view(np.uint64), block, choice))
+        self.choice, self.block, self.fp, self.node, group = (x[self.order] for x in (choice, block, fp, node, component))
+        self.fp, self.masks, self.budget = self.fp.view(np.uint64), np.array(masks, np.int64).view(np.uint64), budget
+        bucket = np.concatenate([[True], (self.choice[1:] != self.choice[:-1]) | (self.block[1:] != self.block[:-1])])
+        fresh = bucket | np.concatenate([[True], self.fp[1:] != self.fp[:-1]])
+        self.leaf, self.place = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        self.size = np.diff(np.append(self.place, len(fresh)))
+        self.begin = np.flatnonzero(bucket[self.place])
+        self.end = np.append(self.begin[1:], len(self.place))
         # groups to begin with: rows of one bucket and component
-        by = np.lexsort((group, np.cumsum(bucket)))
-        new = np.concatenate([[True], (group[by][1:] != group[by][:-1]) | (np.cumsum(bucket)[by][1:] != np.cumsum(bucket)[by][:-1])])
-        label = np.empty(len(by), np.int64)
-        label[by] = np.minimum.reduceat(by, np.flatnonzero(new))[np.cumsum(new) - 1]
-
-        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            other = np.flatnonzero(~fresh)
-            yield place[leaf[other]], other
-            for i, j in trie_pairs(fp[place], begin[many], end[many], budget):
-                yield place[i], place[j]
+        of = np.cumsum(bucket)
+        by = np.lexsort((group, of))
+        new = np.concatenate([[True], (group[by][1:] != group[by][:-1]) | (of[by][1:] != of[by][:-1])])
+        self.label = np.empty(len(by), np.int64)
+        self.label[by] = np.minimum.reduceat(by, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+    def elsewhere(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether leaves agree in an earlier block of the same print, so that they meet there."""
+        x, k = self.fp[self.place[i]] ^ self.fp[self.place[j]], self.choice[self.place[i]] % len(self.masks)
+        out = np.zeros(len(i), bool)
+        for n, m in enumerate(self.masks):
+            out |= (n < k) & (x & m == 0)
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether pairs of leaves hold rows of different groups."""
+        low, high = np.minimum.reduceat(self.label, self.place), np.maximum.reduceat(self.label, self.place)
+        return (low[i] != high[j]) | (high[i] != low[j])
+
+    def leaves(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves that differ in at most budget bits, a leaf of several rows and itself among them."""
+        own = np.flatnonzero(self.size > 1)
+        many = self.end - self.begin > 1
+        for i, j in chain([(own, own)], trie_pairs(self.fp[self.place], self.begin[many], self.end[many], self.budget)):
+            here = ~self.elsewhere(i, j)
+            yield i[here], j[here]
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates: pairs of rows, first those that join most."""
+        other = np.flatnonzero(self.leaf[1:] == self.leaf[:-1]) + 1
+        yield self.place[self.leaf[other]], other
+        for i, j in self.leaves():
+            yield self.place[i], self.place[j]
+            open_ = self.apart(i, j)
+            yield from crossed(self.place, self.size, i[open_], j[open_])
+
+
+def candidate_links(nodes: DataFrame, first: int, last: int, bits: int, budget: int, most: float) -> DataFrame:
+    """nodes: node, prints, component.  Links a, b between nodes of different components of which one of the
+    prints first..last - 1 differs in at most budget bits and all prints together in at most `most`: each
+    print's bits are cut into budget + 1 blocks, of which one agrees, and there the tries are joined.
 
-        i, j = forest_pairs(label, pairs())
-        yield pa.RecordBatch.from_pydict({"a": np.maximum(node[i], node[j]), "b": np.minimum(node[i], node[j])})
+    The join runs twice.  First it finds the nodes of each bucket that have a candidate; only these are sent
+    again with all their prints, and every candidate is tested before links are left out that connect nothing new."""
+    ship(nodes.sparkSession)
+    cuts = [bits * k // (budget + 1) for k in range(budget + 2)]
+    signed = [m - (1 << 64) if m >> 63 else m for a, b in zip(cuts, cuts[1:]) for m in [((1 << (b - a)) - 1) << (64 - b)]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def in_buckets(batches: Iterator[pa.RecordBatch], join: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """join over whole buckets; its argument: choice, block, print(s), node, component."""
+        held: list[list[np.ndarray]] = []
         size = 0
         for batch in batches:
-            held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]))
+            own = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 3, 4)]
+            p = batch.column(2)
+            own.insert(2, p.flatten().to_numpy().reshape(len(p), -1) if pa.types.is_list(p.type) else p.to_numpy())
+            held.append(own)
             size += batch.num_rows
             if size >= JOINED:
-                rows = np.concatenate(held, axis=1)
-                last_ = (rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])
+                rows = [np.concatenate(x) for x in zip(*held)]
+                last_ = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])
                 if not last_.all():  # the last bucket may go on
-                    yield from join(rows[:, ~last_])
-                    rows = rows[:, last_]
-                held, size = [rows], rows.shape[1] if not last_.all() else size // 2
-        if size:
-            yield from join(np.concatenate(held, axis=1))
-
-    cuts = [bits * k // (budget + 1) for k in range(budget + 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for a, b in zip(cuts, cuts[1:]) for m in [((1 << (b - a)) - 1) << (64 - b)]]
-    block = lambda fp, i: F.transform(F.array(*[F.lit(m) for m in signed]), lambda m, k: F.struct((i * len(signed) + k).alias("choice"), fp.bitwiseAND(m).alias("block"), fp.alias("fp")))
+                    yield join([x[~last_] for x in rows])
+                    rows = [x[last_] for x in rows]
+                held, size = [rows], len(rows[0]) if not last_.all() else size // 2
+        if held and sum(len(x[0]) for x in held):
+            yield join([np.concatenate(x) for x in zip(*held)])
+
+    def meet(rows: list[np.ndarray]) -> pa.RecordBatch:
+        b = Buckets(*rows, signed, budget)
+        found = np.zeros(len(b.place), bool)
+        for i, j in b.leaves():
+            open_ = b.apart(i, j)
+            found[i[open_]] = found[j[open_]] = True
+        found = found[b.leaf]
+        return pa.RecordBatch.from_pydict({"choice": b.choice[found].astype(np.int32), "block": b.block[found], "node": b.node[found]})
+
+    def link(rows: list[np.ndarray]) -> pa.RecordBatch:
+        own = rows[2]
+        b = Buckets(rows[0], rows[1], own[np.arange(len(own)), rows[0] // len(signed)], *rows[3:], signed, budget)
+        own = own[b.order].view(np.uint64)
+        i, j = forest_pairs(b.label, b.rows(), lambda i, j: np.bitwise_count(own[i] ^ own[j]).sum(1, dtype=np.int64) <= most)
+        return pa.RecordBatch.from_pydict({"a": np.maximum(b.node[i], b.node[j]), "b": np.minimum(b.node[i], b.node[j])})
+
+    block = lambda fp, i: F.transform(F.array(*[F.lit(m) for m in signed]), lambda m, k: F.struct(((i + first) * len(signed) + k).alias("choice"), fp.bitwiseAND(m).alias("block"), fp.alias("fp")))
     some = F.slice("prints", first + 1, last - first)
     keyed = nodes.select("node", "component", F.explode(F.flatten(F.transform(some, block))).alias("x")).select("x.choice", "x.block", "x.fp", "node", "component")
-    return keyed.repartition("choice", "block").sortWithinPartitions("choice", "block").mapInArrow(run, "a long, b long").distinct()
+    dealt = lambda df: df.repartition("choice", "block").sortWithinPartitions("choice", "block")
+    met = dealt(keyed).mapInArrow(lambda batches: in_buckets(batches, meet), "choice int, block long, node long")
+    again = met.join(nodes, "node").select("choice", "block", "prints", "node", "component")
+    return dealt(again).mapInArrow(lambda batches: in_buckets(batches, link), "a long, b long").distinct()
 
 
 def bits_apart(similarity: float) -> float:
@@ -327,13 +401,10 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("prints").alias("prints")), "nodes")
     total, p = n_prints * bits, bits_apart(similarity)
     most = total * p + 1.5 * (total * p * (1 - p)) ** 0.5
-    own = lambda k, n: nodes.select(F.col("node").alias(k), F.col("prints").alias(n))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     classes, links = nodes.withColumn("component", F.col("node")), None
     cut = max(1, n_prints // 4)
     for first, last in ((0, cut), (cut, n_prints)):
-        pairs = candidate_links(classes.select("node", "prints", "component"), first, last, bits, budget)
-        near = pairs.join(own("a", "pa"), "a").join(own("b", "pb"), "b").where(apart <= most).select("a", "b")
+        near = candidate_links(classes.select("node", "prints", "component"), first, last, bits, budget, most)
         links = written(near if links is None else links.unionByName(near), "near")
         found = components(links).withColumnRenamed("node", "n")
         classes = written(nodes.join(found, nodes["node"] == F.col("n"), "left").select("node", "first", "prints", F.coalesce("component", "node").alias("component")), "classes")

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomwright.llm import exact, lines, simhash, substring
 from loomwright.llm.components import components
@@ -204,6 +205,19 @@ def test_similar_documents(spark, docs, none, clashing):
     assert simhash.keep_first(none).count() == 0 and simhash.keep_first(clashing).count() == len(left)
 
 
+def test_candidates_are_tested_before_links_are_left_out(spark):
+    """One print of all texts is equal.  1 is a candidate of 2 and 3, but only 2 and 3 are alike."""
+    rng = random.Random(6)
+    a, b, c = ([rng.getrandbits(40) << 24 for _ in range(31)] for _ in range(3))
+    as_long = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(k, [as_long(x) for x in [5 << 24, *own]]) for k, own in [(1, a), (2, b), (3, b[:-1] + [b[-1] ^ 1 << 30]), (4, c)]]
+    nodes = spark.createDataFrame([(k, p, k) for k, p in rows], "node long, prints array<long>, component long")
+    got = simhash.candidate_links(nodes, 0, 1, 40, 3, 200).collect()
+    assert [(r.a, r.b) for r in got] == [(3, 2)]
+    joined = nodes.withColumn("component", F.lit(1).cast("long"))
+    assert simhash.candidate_links(joined, 0, 1, 40, 3, 200).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
