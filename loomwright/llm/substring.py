@@ -9,8 +9,9 @@ first paragraph of a cluster, in the order of document id and line, stays; the o
 A passage that stands inside other text has no line of its own, so the words of each document are also
 cut into short paragraphs at places that the words themselves choose (local minima of a hash over word
 pairs): the same passage is cut alike wherever it stands.  Such pieces are compared by hash alone, as
-they are too short to be similar and not equal.  A run of adjacent pieces of at least RUN_WORDS words
-that all occur in a document with a smaller id goes.
+they are too short to be similar and not equal.  What is compared is a window: two adjacent pieces, or more
+until they have RUN_WORDS words.  A window that stands as a whole in one document with a smaller id goes;
+pieces that occur in different documents, or apart from each other, stay.
 
 What goes is a range of words; the task that removes it hashes the words again and leaves the range
 alone if they differ from those that were matched.
@@ -118,6 +119,19 @@ def piece_starts(h: np.ndarray, doc: np.ndarray, reach: int = REACH) -> np.ndarr
     return np.flatnonzero(low)
 
 
+def piece_windows(h: np.ndarray, doc: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First words and numbers of words of the windows: from each piece on, the fewest pieces of its document,
+    two at least, that have run_words words.  A run of two or more pieces is covered up to its last word, as
+    pieces inside a document have more than REACH words."""
+    starts = piece_starts(h, doc)
+    edges = np.append(starts, len(h))
+    last = np.maximum(np.arange(len(starts)) + 2, np.searchsorted(edges, starts + run_words))
+    inside = last < len(edges)
+    starts, end = starts[inside], edges[last[inside]]
+    own = end <= np.searchsorted(doc, doc[starts], "right")
+    return starts[own], (end - starts)[own]
+
+
 def _parts(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[list[list[bytes]]], list[int]]]:
     """Documents, or blocks of very long ones, together: their ids, the words of their lines, and how many
     words of the document stand before."""
@@ -143,7 +157,7 @@ def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def units(df: DataFrame, id_column: str, text_column: str, bands: int) -> DataFrame:
-    """d, start and n (words of the document), h, and keys: the bands of a paragraph, null for a piece."""
+    """d, start and n (words of the document), h, and keys: the bands of a paragraph, null for a window of pieces."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,9 +176,8 @@ def units(df: DataFrame, id_column: str, text_column: str, bands: int) -> DataFr
                 long = line_n >= MIN_WORDS
                 p_start, p_n, p_doc = start[long], line_n[long], line_doc[long]
                 keys = signatures(h, p_start, p_n, bands)
-                s_start = piece_starts(h, doc)
+                s_start, s_n = piece_windows(h, doc)
                 s_doc = doc[s_start]
-                s_n = np.diff(np.append(s_start, len(h)))
                 all_start, all_n, all_doc = (np.concatenate(x) for x in ((p_start, s_start), (p_n, s_n), (p_doc, s_doc)))
                 offsets = np.concatenate([np.arange(len(p_n) + 1) * bands, np.full(len(s_n), len(p_n) * bands)]).astype(np.int32)
                 none = np.concatenate([np.zeros(len(p_n), bool), np.ones(len(s_n), bool)])
@@ -314,15 +327,10 @@ def cut(text: bytes, spans: list[dict], run_words: int = RUN_WORDS) -> tuple[byt
     spans = [x for x, r in zip(spans, right) if r]
     gone = np.zeros(len(h) + 1, np.int8)
     kept: set[int] = set()
-    runs: list[list[dict]] = []
-    for x in sorted((x for x in spans if x["piece"]), key=lambda x: x["start"]):
-        if runs and runs[-1][-1]["start"] + runs[-1][-1]["n"] == x["start"]:
-            runs[-1].append(x)
-        else:
-            runs.append([x])
-    for own in [[x] for x in spans if not x["piece"]] + [r for r in runs if sum(x["n"] for x in r) >= run_words]:
-        gone[own[0]["start"] : own[-1]["start"] + own[-1]["n"]] = 1
-        kept |= {x["keep"] for x in own}
+    for x in spans:
+        if not x["piece"] or x["n"] >= run_words:
+            gone[x["start"] : x["start"] + x["n"]] = 1
+            kept.add(x["keep"])
     words = [m.span() for m in _WORD.finditer(text)]
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
     out, at = [], 0

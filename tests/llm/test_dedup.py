@@ -265,6 +265,26 @@ def test_embedded_passages(spark):
     assert all(min(i for i, x in rows if passages[k % 12] in x) in got[k].duplicate_of for k in range(13, 150, 2))
 
 
+def test_phrases_of_different_documents_stay(spark):
+    """Two pieces that stand side by side, each of which another document holds, are no passage."""
+    rng = random.Random(7)
+
+    def pieces(words):
+        h = substring.hashed([w.encode() for w in words])
+        starts = [*substring.piece_starts(h, np.zeros(len(h), np.int64)).tolist(), len(h)]
+        return [tuple(words[a:b]) for a, b in zip(starts, starts[1:])]
+
+    while True:
+        a, b, *more = (sentence(rng, n).split() for n in (6, 6, 15, 15, 15, 15, 15, 15))
+        texts = [more[0] + a + more[1], more[2] + b + more[3], more[4] + a + b + more[5]]
+        cuts = [pieces(t) for t in texts]
+        if all(tuple(x) in cuts[k] for x, k in ((a, 0), (b, 1), (a, 2), (b, 2))):
+            break
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].text == t and not got[k].duplicate_of for k, t in rows)
+
+
 def test_near_paragraphs(spark):
     """Like brute force: clusters of paragraphs with a similarity of 0.8 or more keep their first one."""
     rng = random.Random(4)
