@@ -35,6 +35,8 @@ BLOCKS, CHOSEN = 7, 3
 COUNTED, JOINED = 1 << 15, 1 << 16
 #: Candidates that are tested at once.
 TESTED = 1 << 15
+#: The largest share of bits by which sets of a Jaccard similarity of 0.8 differ: 3 / 16, for four shingles and the same with a fifth.
+LOOSE = 0.1875
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -182,30 +184,38 @@ def near_duplicates(df: DataFrame, shingle: int = 4, budget: int = 4, id_column:
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def long_prints(text: bytes, shingle: int, n_prints: int, bits: int, seed: int = 42) -> np.ndarray:
-    """Many short fingerprints of one text, as signed longs with the bits at their high ends: together the
-    SimHash over n_prints * bits hash bits of each shingle."""
+def shingle_set(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; of fewer words than that, of the whole sequence."""
     from xxhash import xxh64_intdigest as digest
 
-    words_per = -(-n_prints * bits // 64)
-    salts = mix_hash(np.arange(1, words_per + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    unpacked = lambda h: np.unpackbits(mix_hash(h[:, None] ^ salts).view(np.uint8), axis=1, bitorder="little")
-    counts, total, carry = np.zeros(words_per * 64, np.int64), 0, []
+    own, new, carry = np.zeros(0, np.uint64), [], []
     for block in blocks(text.lower()):
         words = carry + block.split()
         joined = b" ".join(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
         starts = (ends - sizes)[: max(0, len(words) - shingle + 1)]
-        for at in range(0, len(starts), 255):  # so many bits add up in a byte
-            first, last = starts[at : at + 255].tolist(), ends[shingle - 1 + at : shingle - 1 + at + 255].tolist()
-            h = np.array([digest(joined[p:q], seed) for p, q in zip(first, last)], np.uint64)
-            counts += unpacked(h).sum(0, dtype=np.uint8)
-            total += len(h)
+        for at in range(0, len(starts), COUNTED):
+            first, last = starts[at : at + COUNTED].tolist(), ends[shingle - 1 + at : shingle - 1 + at + COUNTED].tolist()
+            new.append(np.array([digest(joined[p:q], seed) for p, q in zip(first, last)], np.uint64))
+            if sum(map(len, new)) > len(own):
+                own, new = np.unique(np.concatenate([own, *new])), []
         carry = words[len(words) - min(len(words), shingle - 1) :]
-    if not total and carry:  # fewer words: the whole sequence
-        counts, total = unpacked(np.array([digest(b" ".join(carry), seed)], np.uint64))[0].astype(np.int64), 1
-    on = (counts * 2 > total)[: n_prints * bits].reshape(n_prints, bits)
+    if not len(own) and carry:
+        return np.array([digest(b" ".join(carry), seed)], np.uint64)
+    return np.unique(np.concatenate([own, *new]))
+
+
+def long_prints(own: np.ndarray, n_prints: int, bits: int) -> np.ndarray:
+    """Many short fingerprints of a set of shingles, as signed longs with the bits at their high ends: together
+    the SimHash over n_prints * bits hash bits of each shingle."""
+    words_per = -(-n_prints * bits // 64)
+    salts = mix_hash(np.arange(1, words_per + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    counts = np.zeros(words_per * 64, np.int64)
+    for at in range(0, len(own), 255):  # so many bits add up in a byte
+        h = mix_hash(own[at : at + 255, None] ^ salts)
+        counts += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    on = (counts * 2 > len(own))[: n_prints * bits].reshape(n_prints, bits)
     out = np.zeros((n_prints, 64), np.uint8)
     out[:, :bits] = on
     return np.packbits(out, axis=1).view(">i8").ravel().astype(np.int64)
@@ -217,16 +227,47 @@ def mix_hash(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def node_of(own: np.ndarray) -> int:
+    """The signed long that names a set of shingles."""
+    from xxhash import xxh64_intdigest as digest
+
+    return int(np.uint64(digest(own.tobytes())).astype(np.int64))
+
+
 def prints(df: DataFrame, shingle: int, n_prints: int, bits: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id and prints (array<long>) of each row."""
+    """doc_id, node (of the text's shingles) and prints (array<long>) of each row."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [long_prints(t, shingle, n_prints, bits) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "prints": pa.array(own, pa.list_(pa.int64()))})
+            node, own = [], []
+            for t in batch.column(1).to_pylist():
+                s = shingle_set(t, shingle)
+                node.append(node_of(s))
+                own.append(long_prints(s, n_prints, bits))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array(node, pa.int64()), "prints": pa.array(own, pa.list_(pa.int64()))})
 
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).mapInArrow(run, "doc_id long, prints array<long>")
+    return df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).mapInArrow(run, "doc_id long, node long, prints array<long>")
+
+
+def shingle_sets(df: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
+    """node and its shingles of each row."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda own: pa.RecordBatch.from_pydict({"node": pa.array(map(node_of, own), pa.int64()), "s": pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))})
+        for batch in batches:
+            own, size = [], 0
+            for t in batch.column(0).to_pylist():
+                own.append(shingle_set(t, shingle))
+                size += len(own[-1])
+                if size >= 1 << 18:
+                    yield out(own)
+                    own, size = [], 0
+            if own:
+                yield out(own)
+
+    return df.select(utf8(text_column).alias("text")).mapInArrow(run, "node long, s array<long>")
 
 
 def forest_pairs(label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -383,24 +424,74 @@ def candidate_links(nodes: DataFrame, first: int, last: int, bits: int, budget:
     return dealt(again).mapInArrow(lambda batches: in_buckets(batches, link), "a long, b long").distinct()
 
 
+def jaccard_links(prints_: np.ndarray, sets: list[np.ndarray], similarity: float, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that connect all whose sets are that similar.  prints_: a row for each set; pairs that
+    differ in more than `most` bits aren't compared.  sets: ascending, distinct."""
+    bits, sizes = prints_.view(np.uint64), np.array([len(s) for s in sets])
+    label, out = np.arange(len(sets)), []
+    for k in range(len(sets) - 1):
+        other = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
+        if not len(other) and (label == label[0]).all():
+            break
+        low, high = np.minimum(sizes[other], sizes[k]), np.maximum(sizes[other], sizes[k])
+        other = other[low >= similarity * high - 1e-6]
+        other = np.concatenate([p[np.bitwise_count(bits[p] ^ bits[k]).sum(1, dtype=np.int64) <= most] for at in range(0, len(other), TESTED) for p in [other[at : at + TESTED]]] or [other])
+        for at in range(0, len(other), 256):
+            p = other[at : at + 256]
+            flat = np.concatenate([sets[x] for x in p])
+            hit = sets[k][np.minimum(np.searchsorted(sets[k], flat), sizes[k] - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[p]) - sizes[p])
+            near = p[both >= similarity * (sizes[p] + sizes[k] - both) - 1e-6]
+            out += [(k, x) for x in near.tolist()]
+            names = np.unique(label[np.append(near, k)])
+            label[np.isin(label, names)] = names[0]
+    return np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64)
+
+
+def exact_links(members: DataFrame, similarity: float, most: float) -> DataFrame:
+    """members: cluster, node, prints, s.  Links a, b that connect all nodes of a cluster that are that similar."""
+    ship(members.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            i, j = jaccard_links(np.stack([x[1] for x in held]), [x[2] for x in held], similarity, most)
+            node = np.array([x[0] for x in held], np.int64)
+            return pa.RecordBatch.from_pydict({"a": node[i], "b": node[j]})
+
+        cluster, held = None, []
+        for batch in batches:
+            for c, node, p, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if c != cluster:
+                    if len(held) > 1:
+                        yield links()
+                    cluster, held = c, []
+                held.append((node, p.values.to_numpy().copy(), s.values.to_numpy().view(np.uint64).copy()))
+        if len(held) > 1:
+            yield links()
+
+    rows = members.select("cluster", "node", "prints", "s").repartition("cluster").sortWithinPartitions("cluster")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def bits_apart(similarity: float) -> float:
-    """The share of SimHash bits that differ between sets of equal size of that Jaccard similarity."""
+    """The share of SimHash bits that differ between large sets of equal size of that Jaccard similarity."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
 def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5, n_prints: int = 32, bits: int = 40, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and component_id of near duplicates by similarity.  One fingerprint of 64 bits and a few
     differing bits finds only very close texts; at a similarity of 0.8 some 15 % of the bits differ.  So there
-    are many short fingerprints, and texts are candidates if any of them lies within the budget (of pairs at
-    0.8, 98.7 % with the parameters given, more above).  Candidates are linked if all fingerprints
-    together differ in no more bits than that similarity leads to, and one and a half deviations.
+    are many short fingerprints, and texts are candidates if any of them lies within the budget (of large sets
+    at 0.8, 98.7 % with the parameters given, more above; of sets of a few shingles fewer).  Candidates that
+    differ in few enough bits form clusters, a bound that is looser than the similarity; in these the sets of
+    distinct shingles are compared, and nodes are linked if their Jaccard similarity is that high.
 
     A quarter of the fingerprints goes first.  The others look for links between the components found by then
     alone, so a large family of near copies is gone over once and not for every fingerprint."""
-    rows = written(prints(df, shingle, n_prints, bits, id_column, text_column).withColumn("node", F.xxhash64("prints")), "prints")
+    rows = written(prints(df, shingle, n_prints, bits, id_column, text_column), "prints")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("prints").alias("prints")), "nodes")
-    total, p = n_prints * bits, bits_apart(similarity)
-    most = total * p + 1.5 * (total * p * (1 - p)) ** 0.5
+    total, p = n_prints * bits, max(LOOSE, bits_apart(similarity))
+    most = total * p + 3.5 * (total * p * (1 - p)) ** 0.5
     classes, links = nodes.withColumn("component", F.col("node")), None
     cut = max(1, n_prints // 4)
     for first, last in ((0, cut), (cut, n_prints)):
@@ -408,6 +499,12 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
         links = written(near if links is None else links.unionByName(near), "near")
         found = components(links).withColumnRenamed("node", "n")
         classes = written(nodes.join(found, nodes["node"] == F.col("n"), "left").select("node", "first", "prints", F.coalesce("component", "node").alias("component")), "classes")
+    members = written(classes.join(found.select(F.col("n").alias("node"), F.col("component").alias("cluster")), "node").select("cluster", "node", "first", "prints"), "members")
+    wanted = members.select("first").distinct()
+    some = df.join(wanted, df[id_column].cast("long").eqNullSafe(wanted["first"]), "left_semi")
+    sets = shingle_sets(some, shingle, id_column, text_column).groupBy("node").agg(F.first("s").alias("s"))
+    exact = components(exact_links(members.join(sets, "node"), similarity, most)).withColumnRenamed("node", "n")
+    classes = written(nodes.join(exact, nodes["node"] == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("component")), "classes")
     smallest = written(classes.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")  # so that the join can be split
     of_node = written(classes.join(smallest, "component").select("node", "component_id"), "of_node")
     return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")

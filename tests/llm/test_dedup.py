@@ -218,6 +218,27 @@ def test_candidates_are_tested_before_links_are_left_out(spark):
     assert simhash.candidate_links(joined, 0, 1, 40, 3, 200).count() == 0
 
 
+def test_repeated_phrases_are_no_similarity(spark):
+    """The similarity is that of distinct shingles: a phrase that stands often counts once."""
+    rng = random.Random(9)
+    phrase = sentence(rng, 10)
+    own = [sentence(rng, 300) for _ in range(2)]
+    rows = [(k, f"{(phrase + ' ') * 70}{t}") for k, t in enumerate(own)]
+    short, long = " ".join([phrase] * 3), " ".join([phrase] * 60)
+    rows += [(2, f"{own[0]} {own[1]} {short}"), (3, f"{own[0]} {own[1]} {long}")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 25), min_size=1, max_size=12), min_size=1, max_size=25))
+def test_jaccard_links(sets):
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    i, j = simhash.jaccard_links(np.zeros((len(sets), 2), np.int64), arrays, 0.8, 0)
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert roots(len(sets), zip(i.tolist(), j.tolist())) == roots(len(sets), want)
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(60)] + [(5, 5)]
