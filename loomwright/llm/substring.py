@@ -4,27 +4,32 @@ Paragraphs are lines of at least MIN_WORDS words.  Equal paragraphs are one node
 Nodes get MinHash signatures of their word shingles, cut into bands that are tuned for recall at the
 similarity asked for; nodes that collide in a band are joined, their exact Jaccard similarity is taken
 from the shingles of the whole paragraphs, and the links' connected components are the clusters.  The
-first paragraph of a cluster, in the order of document id and line, stays; the others go.
+first paragraph of a cluster, in the order of document and line, stays; the others go.
 
 A passage that stands inside other text has no line of its own, so the words of each document are also
-cut into short paragraphs at places that the words themselves choose (local minima of a hash over word
-pairs): the same passage is cut alike wherever it stands.  Such pieces are compared by hash alone, as
-they are too short to be similar and not equal.  What is compared is a window: two adjacent pieces, or more
-until they have RUN_WORDS words.  A window that stands as a whole in one document with a smaller id goes;
-pieces that occur in different documents, or apart from each other, stay.
+cut into short pieces at places that the words themselves choose (local minima of a hash over word
+pairs): the same passage is cut alike wherever it stands.  What is compared is a window: two adjacent
+pieces, or more until they have MIN_WORDS words, the same length that makes a line a paragraph.  Windows
+are compared by hash alone.  Only windows of text that the paragraph step leaves take part: one that
+stands as a whole in an earlier document goes, so that the first copy of every window is text that
+stays, or text that an even earlier document holds.  Shorter runs, pieces that occur in different
+documents or apart from each other, and windows that one document repeats, stay.
 
 What goes is a range of words; the task that removes it hashes the words again and leaves the range
-alone if they differ from those that were matched.
+alone if they differ from those that were matched.  duplicate_of names the documents that still hold
+what went: where a first copy has itself lost words to an earlier document, that one is named.
 
-Frequent paragraphs, pieces and bands: counts and first places are combined before they are shuffled,
+Frequent paragraphs, windows and bands: counts and first places are combined before they are shuffled,
 and each occurrence is joined with one row for its content, never with the other occurrences; Spark
-splits such a join where a key is frequent.  What meets in one task is the distinct contents of one band
-value; of these only a spanning forest of links leaves the task.
+splits such a join where a key is frequent.  The distinct paragraphs of a band value are first compared
+with one of them, by a join.  That decides pairs and most families of near copies; the paragraphs of a
+value that are still in different components are dealt out in blocks of BLOCK, and each pair of blocks
+is a task's work of its own.
 
 Words are compared without regard to A-Z or a-z and to white space.  Null texts are empty; empty texts and
-those without words stay.  Null ids come first in the order.  Rows with equal ids are taken as one
-document, and a removal applies to each of them whose words match.  An empty table gives no rows; all
-other columns stay, whatever their names.
+those without words stay.  Documents are ordered by id and, where ids are equal or null, by a hash of the
+text; null ids come first.  Rows that repeat an id and text are one document and get the same result.
+An empty table gives no rows; all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,21 +37,21 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import ship, utf8, written
 from loomwright.llm.components import components
-from loomwright.llm.encode import blocks
-from loomwright.llm.simhash import forest
+from loomwright.llm.simhash import forest_pairs
 
-SHINGLE, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.995, 2
-MIN_WORDS, RUN_WORDS, REACH = 20, 10, 4
-#: Words that are handled at once.
-BATCH_WORDS = 200_000
+SHINGLE, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.995, 4
+MIN_WORDS, REACH = 20, 4
+#: Words that are handled at once; paragraphs of a block; shared shingles that are counted at once.
+BATCH_WORDS, BLOCK, COUNTED = 200_000, 512, 1 << 21
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # any odd number
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -119,7 +124,7 @@ def piece_starts(h: np.ndarray, doc: np.ndarray, reach: int = REACH) -> np.ndarr
     return np.flatnonzero(low)
 
 
-def piece_windows(h: np.ndarray, doc: np.ndarray, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def piece_windows(h: np.ndarray, doc: np.ndarray, run_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """First words and numbers of words of the windows: from each piece on, the fewest pieces of its document,
     two at least, that have run_words words.  A run of two or more pieces is covered up to its last word, as
     pieces inside a document have more than REACH words."""
@@ -132,205 +137,353 @@ def piece_windows(h: np.ndarray, doc: np.ndarray, run_words: int = RUN_WORDS) ->
     return starts[own], (end - starts)[own]
 
 
-def _parts(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[list[list[bytes]]], list[int]]]:
-    """Documents, or blocks of very long ones, together: their ids, the words of their lines, and how many
-    words of the document stand before."""
-    docs, lines, before, size = [], [], [], 0
-    for doc, text in zip(ids, texts):
-        seen = 0
-        for block in blocks(text.lower(), 4 << 20):
-            own = [w for x in block.split(b"\n") if (w := x.split())]
-            n = sum(map(len, own))
-            docs.append(doc)
-            lines.append(own)
-            before.append(seen)
-            seen, size = seen + n, size + n
-            if size >= BATCH_WORDS:
-                yield docs, lines, before
-                docs, lines, before, size = [], [], [], 0
-    if docs:
-        yield docs, lines, before
-
-
-def _keyed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(FIRST_ID)).alias("d"), utf8(text_column).alias("text"))
+def line_blocks(text: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """The text in pieces of about `size` bytes, or one line, that end at line breaks."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(b"\n", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end + 1
+    yield text[at:] if at else text
+
+
+def hashed_lines(text: bytes) -> tuple[np.ndarray, list[int]]:
+    """The hashes of a text's words, and how many words each line has that has any."""
+    h, n = [], []
+    for block in line_blocks(text.lower()):
+        own = [w for x in block.split(b"\n") if (w := x.split())]
+        n += map(len, own)
+        h.append(hashed(list(chain.from_iterable(own))))
+    return np.concatenate(h), n
+
+
+def _parts(docs: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[list, list, list[np.ndarray], list[list[int]]]]:
+    """Documents together: their ids and text hashes, and what hashed_lines gives for each."""
+    held: tuple[list, list, list, list] = [], [], [], []
+    size = 0
+    for d, r, text in docs:
+        h, n = hashed_lines(text)
+        for x, y in zip(held, (d, r, h, n)):
+            x.append(y)
+        size += len(h)
+        if size >= BATCH_WORDS:
+            yield held
+            held, size = ([], [], [], []), 0
+    if held[0]:
+        yield held
+
+
+def _key(id_column: str, text_column: str) -> list[Column]:
+    """What tells documents apart, and orders them."""
+    return [F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(FIRST_ID)).alias("d"), F.xxhash64(utf8(f"`{text_column}`")).alias("r")]
 
 
 def units(df: DataFrame, id_column: str, text_column: str, bands: int) -> DataFrame:
-    """d, start and n (words of the document), h, and keys: the bands of a paragraph, null for a window of pieces."""
+    """d, r, start and n (words of the document), h, and keys: the bands of a paragraph, null for a window of pieces."""
     ship(df.sparkSession)
+    kinds = pa.schema([("d", pa.int64()), ("r", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, lines, before in _parts(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                line_n = np.array([len(x) for own in lines for x in own], np.int64)
+            for ids, texts, hashes, lines in _parts(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                line_n = np.array([n for own in lines for n in own], np.int64)
                 if not len(line_n):
                     continue
-                doc_lines = np.array([len(own) for own in lines], np.int64)
-                line_doc = np.repeat(np.arange(len(docs)), doc_lines)
+                line_doc = np.repeat(np.arange(len(ids)), [len(own) for own in lines])
                 doc = np.repeat(line_doc, line_n)
-                h = hashed([w for own in lines for x in own for w in x])
-                first = np.searchsorted(doc, np.arange(len(docs)))  # of each document, among all words
-                ids, shift = np.array(docs, np.int64), np.array(before, np.int64)
+                h = np.concatenate(hashes)
+                first = np.searchsorted(doc, np.arange(len(ids)))  # of each document, among all words
                 start = np.cumsum(line_n) - line_n
                 long = line_n >= MIN_WORDS
                 p_start, p_n, p_doc = start[long], line_n[long], line_doc[long]
                 keys = signatures(h, p_start, p_n, bands)
                 s_start, s_n = piece_windows(h, doc)
-                s_doc = doc[s_start]
-                all_start, all_n, all_doc = (np.concatenate(x) for x in ((p_start, s_start), (p_n, s_n), (p_doc, s_doc)))
+                all_start, all_n, all_doc = (np.concatenate(x) for x in ((p_start, s_start), (p_n, s_n), (p_doc, doc[s_start])))
                 offsets = np.concatenate([np.arange(len(p_n) + 1) * bands, np.full(len(s_n), len(p_n) * bands)]).astype(np.int32)
                 none = np.concatenate([np.zeros(len(p_n), bool), np.ones(len(s_n), bool)])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "d": ids[all_doc],
-                        "start": (all_start - first[all_doc] + shift[all_doc]).astype(np.int32),
+                        "d": np.array(ids, np.int64)[all_doc],
+                        "r": np.array(texts, np.int64)[all_doc],
+                        "start": (all_start - first[all_doc]).astype(np.int32),
                         "n": all_n.astype(np.int32),
                         "h": range_hashes(h, all_start, all_n).view(np.int64),
                         "keys": pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)), mask=pa.array(none)),
                     },
-                    schema=pa.schema([("d", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))]),
+                    schema=kinds,
                 )
 
-    return _keyed(df, id_column, text_column).mapInArrow(run, "d long, start int, n int, h long, keys array<long>")
-
+    rows = df.select(*_key(id_column, text_column), utf8(f"`{text_column}`").alias("text"))
+    return rows.mapInArrow(run, "d long, r long, start int, n int, h long, keys array<long>")
 
-def colliding(nodes: DataFrame) -> DataFrame:
-    """nodes: distinct h with keys.  key, h of the keys that several nodes have."""
-    ship(nodes.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int] | None = None  # the last row, if its key has no other so far
-        key = None
-        for batch in batches:
-            k, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(k):
-                continue
-            keep = np.zeros(len(k), bool)
-            keep[1:] |= k[1:] == k[:-1]
-            keep[:-1] |= k[1:] == k[:-1]
-            keep[0] |= k[0] == key
-            if held and held[0] == k[0]:
-                yield pa.RecordBatch.from_pydict({"key": pa.array([held[0]], pa.int64()), "h": pa.array([held[1]], pa.int64())})
-                keep[0] = True
-            key, held = k[-1], None if keep[-1] else (int(k[-1]), int(h[-1]))
-            yield pa.RecordBatch.from_pydict({"key": k[keep], "h": h[keep]})
 
-    rows = nodes.select(F.explode("keys").alias("key"), "h")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, h long")
+def right_places(h: np.ndarray, spans: list[dict]) -> list[dict]:
+    """The spans whose words have the hash they were matched by."""
+    start, n = (np.array([x[k] for x in spans], np.int64) for k in ("start", "n"))
+    ok = start + n <= len(h)
+    right = np.zeros(len(spans), bool)
+    right[ok] = range_hashes(h, start[ok], n[ok]).view(np.int64) == np.array([x["h"] for x in spans], np.int64)[ok]
+    return [x for x, r in zip(spans, right) if r]
 
 
 def paragraph_shingles(df: DataFrame, wanted: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """wanted: d, start, n, h.  h and its shingles (ascending, distinct)."""
+    """wanted: d, r, start, n, h.  h and its shingles (ascending, distinct)."""
     ship(df.sparkSession)
-    lists = wanted.groupBy("d").agg(F.collect_list(F.struct("start", "n", "h")).alias("wanted"))
+    lists = wanted.groupBy("d", "r").agg(F.collect_list(F.struct("start", "n", "h")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_h, out_s = [], []
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = hashed(text.lower().split())
-                start, n = (np.array([x[k] for x in own], np.int64) for k in ("start", "n"))
-                ok = start + n <= len(h)
-                right = np.zeros(len(own), bool)
-                right[ok] = range_hashes(h, start[ok], n[ok]).view(np.int64) == np.array([x["h"] for x in own], np.int64)[ok]
-                for x in (x for x, r in zip(own, right) if r):
+                h = hashed_lines(text)[0]
+                for x in right_places(h, own):
                     out_h.append(x["h"])
-                    out_s.append(np.unique(shingles(h[x["start"] : x["start"] + x["n"]])).view(np.int64))
+                    out_s.append(np.unique(shingles(h[x["start"] : x["start"] + x["n"]]).view(np.int64)))
             yield pa.RecordBatch.from_pydict({"h": pa.array(out_h, pa.int64()), "s": pa.array(out_s, pa.list_(pa.int64()))})
 
-    rows = _keyed(df, id_column, text_column).join(lists, "d").select("text", "wanted")
+    rows = df.select(*_key(id_column, text_column), utf8(f"`{text_column}`").alias("text"))
+    rows = rows.join(lists, ["d", "r"]).select("text", "wanted")
     return rows.mapInArrow(run, "h long, s array<long>")
 
 
-def jaccard_pairs(sets: list[np.ndarray], similarity: float, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs i < j of sets that are that similar, found block by block."""
-    sizes = np.array([len(s) for s in sets])
-    for a in range(0, len(sets), block):
-        left = sets[a : a + block]
-        names, inverse = np.unique(np.concatenate(left), return_inverse=True)
-        m = np.zeros((len(left), len(names)), np.float32)
-        m[np.repeat(np.arange(len(left)), sizes[a : a + block]), inverse] = 1
-        for b in range(a, len(sets), block):
-            right = sets[b : b + block]
-            flat, owner = np.concatenate(right), np.repeat(np.arange(len(right)), sizes[b : b + block])
-            place = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-            hit = names[place] == flat
-            other = np.zeros((len(right), len(names)), np.float32)
-            other[owner[hit], place[hit]] = 1
-            both = m @ other.T
-            union = sizes[a : a + block, None] + sizes[None, b : b + block] - both
-            i, j = np.nonzero(both >= similarity * union - 1e-6)
-            i, j = i + a, j + b
-            ok = i < j
-            yield i[ok], j[ok]
-
-
-def similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that connect all candidates of a key that are similar enough."""
-    ship(sets.sparkSession)
-
-    def group(h: list[int], s: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        h, place = np.unique(np.array(h, np.int64), return_index=True)
-        label = forest(len(h), jaccard_pairs([s[k] for k in place], similarity))
-        moved = np.flatnonzero(label != np.arange(len(h)))
-        return h[moved], h[label[moved]]
+def jaccard_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i of left, j of right) of sets that are that similar, or i < j within left: the shared members
+    are counted for some right sets at a time."""
+    own = right is None
+    right = left if own else right
+    if not left or not right:
+        return
+    n_left, n_right = (np.array([len(s) for s in x]) for x in (left, right))
+    flat = np.concatenate(left)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(left)), n_left)[order]
+    for at in range(0, len(right), 32):
+        part = right[at : at + 32]
+        names, of = np.concatenate(part), np.repeat(np.arange(len(part)), n_right[at : at + 32])
+        low, high = np.searchsorted(flat, names), np.searchsorted(flat, names, "right")
+        each = high - low
+        both = np.zeros(len(left) * len(part), np.int64)
+        edges = np.concatenate([[0], np.cumsum(each)])
+        for a in range(0, int(edges[-1]), COUNTED):
+            k = np.arange(a, min(a + COUNTED, int(edges[-1])))
+            x = np.searchsorted(edges, k, "right") - 1
+            both += np.bincount(owner[low[x] + k - edges[x]] * len(part) + of[x], minlength=len(both))
+        both = both.reshape(len(left), len(part))
+        union = n_left[:, None] + n_right[None, at : at + 32] - both
+        i, j = np.nonzero(both >= similarity * union - 1e-6)
+        j = j + at
+        ok = i < j if own else np.ones(len(i), bool)
+        yield i[ok], j[ok]
+
+
+def compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """rows: key, i, j (a pair of blocks), block (i or j), h, label, s.  Links a, b that connect all of a pair of
+    blocks that are similar enough and not of one label."""
+    ship(rows.sparkSession)
+
+    def group(i: int, j: int, block: list[int], h: list[int], label: list[int], s: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        block_, h_ = np.array(block), np.array(h, np.int64)
+        order = np.lexsort((h_, block_ != i))
+        label_ = np.array(label, np.int64)[order]
+        sets = [s[k] for k in order]
+        cut_ = int((block_ == i).sum())
+        _, first, inverse = np.unique(label_, return_index=True, return_inverse=True)
+        groups = first[inverse]  # the first position of each label
+        if i == j:
+            pairs = jaccard_pairs(sets, None, similarity)
+        else:
+            pairs = ((a, b + cut_) for a, b in jaccard_pairs(sets[:cut_], sets[cut_:], similarity))
+        a, b = forest_pairs(groups, pairs, lambda a, b: np.ones(len(a), bool))
+        return h_[order][a], h_[order][b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, h, s = None, [], []
+        key, held = None, ([], [], [], [])
         for batch in batches:
             out = []
-            for k, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if k != key:
-                    if len(h) > 1:
-                        out.append(group(h, s))
-                    key, h, s = k, [], []
-                h.append(x)
-                s.append(y.values.to_numpy())
+            for *now, block, h, label, s in zip(*(batch.column(k).to_pylist() for k in range(6)), batch.column(6)):
+                if now != key:
+                    if len(held[0]) > 1:
+                        out.append(group(*key[1:], *held))
+                    key, held = now, ([], [], [], [])
+                for x, y in zip(held, (block, h, label, s.values.to_numpy().copy())):
+                    x.append(y)
             if out:
                 yield pa.RecordBatch.from_pydict({"a": np.concatenate([o[0] for o in out]), "b": np.concatenate([o[1] for o in out])})
-        if len(h) > 1:
-            a, b = group(h, s)
+        if len(held[0]) > 1:
+            a, b = group(*key[1:], *held)
             yield pa.RecordBatch.from_pydict({"a": a, "b": b})
 
-    rows = candidates.join(sets, "h").select("key", "h", "s")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    rows = rows.select("key", "i", "j", "block", "h", "label", "s")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def jaccard(a: str, b: str) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def clusters(df: DataFrame, nodes: DataFrame, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """nodes: h, first, keys.  node and component of the nodes that are similar to another one."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "h")
+    groups = written(keyed.groupBy("key").agg(F.min("h").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "groups")
+    met = written(keyed.join(groups, "key").select("key", "h", "pivot", "n"), "met")
+    pairs = written(met.where("h <> pivot").select("h", "pivot").distinct(), "pairs")
+    wanted = pairs.select("h").unionByName(pairs.select(F.col("pivot").alias("h"))).distinct()
+    places = nodes.join(wanted, "h").select("first.d", "first.r", "first.start", "first.n", "h")
+    sets = written(paragraph_shingles(df, places, id_column, text_column), "sets")
+    tested = pairs.join(sets, "h").join(sets.select(F.col("h").alias("pivot"), F.col("s").alias("t")), "pivot")
+    found = written(components(tested.where(jaccard("s", "t") >= similarity).select(F.col("h").alias("a"), F.col("pivot").alias("b"))), "found")
+    # values of three nodes or more that one comparison with each hasn't connected
+    members = met.where("n > 2").join(found, met["h"] == found["node"], "left").select("key", "h", "n", F.coalesce("component", "h").alias("label"))
+    members = written(members, "members")
+    open_ = written(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "open")
+    if open_.isEmpty():
+        return found
+    b = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key", "h"), b).cast("int").alias("block")
+    rest = members.join(open_, "key").join(sets, "h").select("key", "h", "label", "s", own, F.explode(F.sequence(F.lit(0), b - 1)).alias("other"))
+    rest = rest.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.unionByName(compared(rest, similarity)))
+
+
+def repeated_paragraphs(df: DataFrame, paragraphs: DataFrame, similarity: float, id_column: str, text_column: str) -> DataFrame:
+    """d, r, start, n, h, x (the cluster), keep (the place that stays) of the paragraphs that go."""
+    nodes = written(paragraphs.groupBy("h").agg(F.min(F.struct("d", "r", "start", "n")).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "nodes")
+    found = clusters(df, nodes, similarity, id_column, text_column).withColumnRenamed("node", "h")
+    member = nodes.join(found, "h", "left").select("h", F.coalesce("component", "h").alias("x"), "first", "copies")
+    keep = member.groupBy("x").agg(F.min("first").alias("keep"), F.sum("copies").alias("n_all")).where("n_all > 1").select("x", "keep")
+    of_node = written(member.join(written(keep, "keep"), "x").select("h", "x", "keep"), "of_node")  # tables, so that the joins can be split
+    again = paragraphs.join(of_node, "h").where(~F.struct("d", "r", "start").eqNullSafe(F.struct("keep.d", "keep.r", "keep.start")))
+    return again.select("d", "r", "start", "n", "h", "x", "keep")
+
+
+def per_document(rows: DataFrame, run, schema: str) -> DataFrame:
+    """run((d, r), a batch of all rows of that document, in order of start) -> column dict, for each document."""
+    ship(rows.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.flatnonzero((d[1:] != d[:-1]) | (r[1:] != r[:-1])) + 1
+            if held and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (d[0], r[0]):
+                yield from whole(held)
+                held = []
+            held.append(batch.slice(0, int(new[0]) if len(new) else len(d)))
+            if len(new):
+                yield from whole(held)
+                if len(new) > 1:
+                    yield from whole([batch.slice(int(new[0]), int(new[-1] - new[0]))])
+                held = [batch.slice(int(new[-1]))]
+        if held:
+            yield from whole(held)
+
+    def whole(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of some documents."""
+        t = pa.Table.from_batches(parts).combine_chunks()
+        columns = {n: t.column(n).to_numpy() for n in t.column_names}
+        d, r = columns["d"], columns["r"]
+        edges = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (r[1:] != r[:-1])) + 1, [len(d)]])
+        out = [x for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if (x := run({n: c[a:b] for n, c in columns.items()}))]
+        if out:
+            yield pa.RecordBatch.from_pydict({n: np.concatenate([x[n] for x in out]) for n in out[0]})
+
+    return rows.repartition("d", "r").sortWithinPartitions("d", "r", "start").mapInArrow(each, schema)
+
+
+def overlapped(start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words of each range start..end the ranges a..b cover."""
+    gone = np.zeros(int(max(end.max(initial=0), b.max(initial=0))) + 2, np.int64)
+    np.add.at(gone, a, 1)
+    np.add.at(gone, b, -1)
+    upto = np.concatenate([[0], np.cumsum(np.cumsum(gone) > 0)])
+    return upto[end] - upto[start]
+
+
+def untouched(windows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The windows that no range of gone overlaps (both: d, r, start, n)."""
+
+    def run(own: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        w = ~own["gone"]
+        if not w.any():
+            return None
+        if not w.all():
+            start, end = own["start"], own["start"] + own["n"]
+            w[w] = overlapped(start[w], end[w], start[~w], end[~w]) == 0
+        return {k: own[k][w] for k in ("d", "r", "start", "n", "h")}
+
+    rows = windows.select("d", "r", "start", "n", "h", F.lit(False).alias("gone")).unionByName(gone.select("d", "r", "start", "n", F.lit(0).cast("long").alias("h"), F.lit(True).alias("gone")))
+    return per_document(rows, run, "d long, r long, start int, n int, h long")
+
+
+def repeated_windows(windows: DataFrame, gone: DataFrame) -> DataFrame:
+    """d, r, start, n, h, x (h), keep (the place of its first copy) of the windows that go."""
+    seen = windows.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.min("r").alias("p"), F.max("r").alias("q"))
+    seen = written(seen.where("a < b OR p < q").select("h"), "seen")
+    left = written(untouched(windows.join(seen, "h", "left_semi"), gone), "left")
+    first = left.groupBy("h").agg(F.min(F.struct("d", "r", "start", "n")).alias("keep"), F.max(F.struct("d", "r")).alias("last"))
+    first = written(first.where(F.struct("keep.d", "keep.r") != F.col("last")).select("h", "keep"), "first")
+    return left.join(first, "h").where(F.struct("d", "r") != F.struct("keep.d", "keep.r")).select("d", "r", "start", "n", "h", F.col("h").alias("x"), "keep")
+
+
+def holders(gone: DataFrame) -> DataFrame:
+    """piece, x, docs: who holds the text of the clusters and windows whose first copy has lost words.  A first
+    copy's lost words are held where the windows that took them have their own first copies, which are
+    earlier, and so on until nothing is lost."""
+    keeps = gone.groupBy("piece", "x").agg(F.first("keep").alias("keep"))
+
+    def run(own: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        k = own["kept"]
+        if k.all() or not k.any():
+            return None
+        start, end = own["start"], own["start"] + own["n"]
+        lost = overlapped(start[k], end[k], start[~k], end[~k])
+        a, b = np.sort(start[~k]), np.sort(end[~k])  # windows begin and end in the same order
+        low, high = np.searchsorted(b, start[k], "right"), np.searchsorted(a, end[k], "left")
+        each = np.where(lost > 0, high - low, 0)
+        at = np.repeat(np.arange(len(each)), each)
+        place = np.repeat(low, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        return {"piece": own["piece"][k][at], "x": own["x"][k][at], "holds": (lost < own["n"][k])[at], "d": own["d"][k][at], "by": own["x"][~k][np.argsort(start[~k], kind="stable")][place]}
+
+    ranges = keeps.select("keep.*", "piece", "x", F.lit(True).alias("kept"))
+    ranges = ranges.unionByName(gone.where("piece").select("d", "r", "start", "n", "piece", "x", F.lit(False).alias("kept")))
+    lost = written(per_document(ranges, run, "piece boolean, x long, holds boolean, d long, by long"), "lost")
+    first = keeps.where("piece").select(F.col("x").alias("by"), F.col("keep.d").alias("kd"))
+    of_window = lost.where("piece").select(F.col("x").alias("by"), "holds", F.col("by").alias("next")).distinct()
+    out = lost.where("holds").select("piece", "x", "d").distinct()
+    open_ = lost.select("piece", "x", "by").distinct()
+    while not open_.isEmpty():
+        flag = of_window.select("by", "holds").distinct()
+        held = open_.join(first, "by").join(flag, "by", "left").where("coalesce(holds, true)").select("piece", "x", F.col("kd").alias("d"))
+        out = written(out.unionByName(held).distinct(), "holders")
+        open_ = written(open_.join(of_window, "by").select("piece", "x", F.col("next").alias("by")).distinct(), "open")
+    return out.groupBy("piece", "x").agg(F.array_sort(F.collect_set("d")).alias("docs"))
 
 
 def removals(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """d, start, n, h, piece (false for a paragraph), keep (the document that holds the copy that stays)."""
+    """d, r, start, n, h, piece (false for a paragraph), docs (the documents that hold the text that goes)."""
     rows = written(units(df, id_column, text_column, tune(similarity)), "units")
-    paragraphs, pieces = rows.where(F.col("keys").isNotNull()), rows.where(F.col("keys").isNull())
-    place = F.struct("d", "start", "n")
-    nodes = written(paragraphs.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "nodes")
-    candidates = written(colliding(nodes), "candidates")
-    wanted = nodes.join(candidates.select("h").distinct(), "h").select("first.d", "first.start", "first.n", "h")
-    links = similar(candidates, paragraph_shingles(df, wanted, id_column, text_column), similarity)
-    found = components(links).withColumnRenamed("node", "h")
-    member = nodes.join(found, "h", "left").select("h", F.coalesce("component", "h").alias("c"), "first", "copies")
-    keep = member.groupBy("c").agg(F.min("first").alias("keep"), F.sum("copies").alias("n_all")).where("n_all > 1").select("c", "keep")
-    of_node = member.join(keep, "c").select("h", "keep")
-    again = paragraphs.join(of_node, "h").where(~F.struct("d", "start").eqNullSafe(F.struct("keep.d", "keep.start")))
-    again = again.select("d", "start", "n", "h", F.lit(False).alias("piece"), F.col("keep.d").alias("keep"))
-    first = pieces.groupBy("h").agg(F.min("d").alias("keep"), F.max("d").alias("last")).where("keep < last").select("h", "keep")
-    inside = pieces.select("d", "start", "n", "h").join(first, "h").where("d > keep").select("d", "start", "n", "h", F.lit(True).alias("piece"), "keep")
-    return again.unionByName(inside)
-
-
-def cut(text: bytes, spans: list[dict], run_words: int = RUN_WORDS) -> tuple[bytes, int, int, list[int]]:
-    """The text less the spans whose words match, how many ranges and words went, and who keeps them."""
-    h = hashed(text.lower().split())
-    start, n = (np.array([x[k] for x in spans], np.int64) for k in ("start", "n"))
-    ok = start + n <= len(h)
-    right = np.zeros(len(spans), bool)
-    right[ok] = range_hashes(h, start[ok], n[ok]).view(np.int64) == np.array([x["h"] for x in spans], np.int64)[ok]
-    spans = [x for x, r in zip(spans, right) if r]
+    paragraphs = repeated_paragraphs(df, rows.where("keys IS NOT NULL"), similarity, id_column, text_column)
+    paragraphs = written(paragraphs.withColumn("piece", F.lit(False)), "paragraphs")
+    windows = repeated_windows(rows.where("keys IS NULL").select("d", "r", "start", "n", "h"), paragraphs)
+    gone = written(paragraphs.unionByName(windows.withColumn("piece", F.lit(True))), "gone")
+    where = written(holders(gone), "docs")
+    return gone.join(where, ["piece", "x"], "left").select("d", "r", "start", "n", "h", "piece", F.coalesce("docs", F.array("keep.d")).alias("docs"))
+
+
+def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int, list[int]]:
+    """The text less the spans whose words match, how many ranges and words went, and who holds them."""
+    h = hashed_lines(text)[0]
     gone = np.zeros(len(h) + 1, np.int8)
     kept: set[int] = set()
-    for x in spans:
-        if not x["piece"] or x["n"] >= run_words:
-            gone[x["start"] : x["start"] + x["n"]] = 1
-            kept.add(x["keep"])
+    for x in right_places(h, spans):
+        gone[x["start"] : x["start"] + x["n"]] = 1
+        kept.update(x["docs"])
     words = [m.span() for m in _WORD.finditer(text)]
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone])))
     out, at = [], 0
@@ -349,13 +502,13 @@ def cut(text: bytes, spans: list[dict], run_words: int = RUN_WORDS) -> tuple[byt
 
 def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows with their texts less what other documents hold, and n_removed (ranges), removed_words and
-    duplicate_of (ids of the documents that keep what went) in place of columns of those names."""
+    duplicate_of (ids of the documents that hold what went) in place of columns of those names."""
     extra = ("n_removed", "removed_words", "duplicate_of")
-    lists = removals(df, id_column, text_column, similarity).groupBy("d").agg(F.collect_list(F.struct("start", "n", "h", "piece", "keep")).alias("spans"))
+    lists = removals(df, id_column, text_column, similarity).groupBy(F.col("d").alias("sd"), F.col("r").alias("sr")).agg(F.collect_set(F.struct("start", "n", "h", "docs")).alias("spans"))
     columns = [c for c in df.columns if c not in extra]
     own = [(utf8(f"`{c}`") if c == text_column else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(columns)]  # names that nothing here uses otherwise
-    rows = df.select(*own, F.coalesce(F.col(id_column).cast("long"), F.lit(FIRST_ID)).alias("k"))
-    rows = rows.join(lists, F.col("k") == F.col("d"), "left").select(*[f"c{i}" for i in range(len(columns))], "spans")
+    rows = df.select(*own, *_key(id_column, text_column))
+    rows = rows.join(lists, (F.col("d") == F.col("sd")) & (F.col("r") == F.col("sr")), "left").select(*[f"c{i}" for i in range(len(columns))], "spans")
     at = columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -338,15 +338,143 @@ def test_bands_are_tuned():
         assert 1 - (1 - s**substring.ROWS) ** b >= substring.RECALL > 1 - (1 - s**substring.ROWS) ** (b - 1)
 
 
+SETS = st.lists(st.frozensets(st.integers(0, 25), min_size=1, max_size=12), min_size=1, max_size=45)
+
+
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.frozensets(st.integers(0, 25), min_size=1, max_size=12), min_size=1, max_size=25), st.sampled_from([3, 512]))
-def test_jaccard_pairs(sets, block):
-    arrays = [np.array(sorted(s), np.int64) for s in sets]
-    got = {(int(i), int(j)) for a, b in substring.jaccard_pairs(arrays, 0.8, block) for i, j in zip(a, b)}
-    assert got == {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+@given(SETS, SETS)
+def test_jaccard_pairs(left, right):
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    arrays = [[np.array(sorted(s), np.int64) for s in x] for x in (left, right)]
+    got = [(int(i), int(j)) for a, b in substring.jaccard_pairs(arrays[0], None, 0.8) for i, j in zip(a, b)]
+    assert sorted(got) == [(i, j) for i, a in enumerate(left) for j, b in enumerate(left) if i < j and like(a, b)]
+    got = [(int(i), int(j)) for a, b in substring.jaccard_pairs(*arrays, 0.8) for i, j in zip(a, b)]
+    assert sorted(got) == [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if like(a, b)]
 
 
 def test_mismatched_spans_stay():
     text = b"one two three four five six seven eight nine ten eleven twelve"
     span = {"start": 0, "n": 12, "piece": False, "h": 12345, "keep": 1}
     assert substring.cut(text, [span])[:3] == (text, 0, 0)
+
+
+def brute_substrings(rows):
+    """Words that stay, and who holds the others, of documents in order of id."""
+    rows = sorted(rows)
+    words = {d: t.lower().split() for d, t in rows}
+    units, windows = [], []
+    for d, t in rows:
+        at = 0
+        for line in t.lower().split("\n"):
+            w = line.split()
+            if len(w) >= 20:
+                units.append((d, at, tuple(w)))
+            at += len(w)
+        h = substring.hashed([w.encode() for w in words[d]])
+        if len(h):
+            windows += [(d, int(a), tuple(words[d][a : a + n])) for a, n in zip(*substring.piece_windows(h, np.zeros(len(h), np.int64)))]
+    sets = [frozenset(w[i : i + 5] for i in range(len(w) - 4)) for _, _, w in units]
+    label = roots(len(units), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)])
+    span = lambda u: set(range(u[1], u[1] + len(u[2])))
+    gone = defaultdict(set)
+    away = []  # what went and its first copy
+    for u, r in zip(units, label):
+        if u != units[r]:
+            gone[u[0]] |= span(u)
+            away.append((u, units[r]))
+    first, cut = {}, defaultdict(list)
+    for u in windows:
+        if span(u) & gone[u[0]]:
+            continue
+        k = first.setdefault(u[2], u)
+        if k[0] != u[0]:
+            away.append((u, k))
+            cut[u[0]].append((u, k))
+    for u, _ in away:
+        gone[u[0]] |= span(u)
+
+    def holders(k):
+        lost = [x for x in cut[k[0]] if span(x[0]) & span(k)]
+        out = {k[0]} if span(k) - gone[k[0]] else set()
+        return out.union(*(holders(x[1]) for x in lost))
+
+    of = defaultdict(set)
+    for u, k in away:
+        of[u[0]] |= holders(k)
+    return {d: ([w for i, w in enumerate(words[d]) if i not in gone[d]], sorted(of[d])) for d, _ in rows}
+
+
+def substrings(spark, rows):
+    return {r.doc_id: (r.text.lower().split(), r.duplicate_of) for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_substrings_against_brute_force(spark):
+    """Lines that are near copies, passages that stand as lines and inside others, chains of both."""
+    rng = random.Random(12)
+    passages = [sentence(rng, rng.choice([12, 25, 40, 60])) for _ in range(20)]
+    lines = [f"{sentence(rng, 30)} {rng.choice(passages)} {sentence(rng, 20)}".split() for _ in range(15)]
+    rows = []
+    for k in range(90):
+        own = []
+        for _ in range(rng.randrange(4)):
+            x = rng.random()
+            if x < 0.3:
+                own.append(rng.choice(passages))
+            elif x < 0.6:
+                own.append(" ".join(edited(rng, rng.choice(lines), rng.choice([0, 1, 1, 14]))))
+            elif x < 0.8:
+                own.append(f"{sentence(rng, 9)} {rng.choice(passages)} {rng.choice(passages)} {sentence(rng, 3)}")
+            else:
+                own.append(sentence(rng, rng.randrange(30)))
+        rows.append((k, rng.choice(["\n", " ", "\n\n"]).join(own)))
+    want = brute_substrings(rows)
+    assert sum(len(x[1]) > 1 for x in want.values()) > 10
+    assert substrings(spark, rows) == want
+
+
+def test_no_passage_vanishes(spark):
+    """A paragraph, a near copy with a passage of its own, and that passage elsewhere: the near copy goes whole,
+    so the passage must stay in the third document, and once only in a fourth and fifth."""
+    rng = random.Random(13)
+    rows, own = [], []
+    for g in range(20):
+        p, x = sentence(rng, 400).split(), sentence(rng, 25)
+        at = rng.randrange(400)
+        rows += [(10 * g, " ".join(p)), (10 * g + 1, " ".join([*p[:at], x, *p[at:]]))]
+        rows += [(10 * g + k, f"{sentence(rng, 15)} {x} {sentence(rng, 15)}") for k in (2, 3, 4)]
+        own.append(x)
+    got = {r.doc_id: r for r in substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for g, x in enumerate(own):
+        assert x in got[10 * g + 2].text and got[10 * g + 1].text == "" and got[10 * g + 1].duplicate_of == [10 * g]
+        windows = len(got[10 * g + 3].text.split())
+        assert got[10 * g + 3].duplicate_of in ([], [10 * g + 2]) and windows <= 55
+    assert {k: (r.text.split(), r.duplicate_of) for k, r in got.items()} == brute_substrings(rows)
+
+
+def test_families_of_near_paragraphs(spark, monkeypatch):
+    """Families whose members are only partly alike, in blocks of a few paragraphs."""
+    monkeypatch.setattr(substring, "BLOCK", 8)
+    rng = random.Random(14)
+    rows = []
+    for _ in range(3):
+        base = sentence(rng, 120).split()
+        rows += [(len(rows) + k, " ".join(edited(rng, base, rng.choice([1, 2, 3])))) for k in range(50)]
+    assert substrings(spark, rows) == brute_substrings(rows)
+
+
+def test_rows_without_ids_are_documents_of_their_own(spark):
+    rng = random.Random(15)
+    x = sentence(rng, 60)
+    rows = [(None, f"{sentence(rng, 20)} {x} {sentence(rng, 20)}") for _ in range(10)] + [(5, f"{sentence(rng, 9)} {x} {sentence(rng, 9)}")] + [(7, sentence(rng, 40))] * 3
+    got = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(x in r.text for r in got) == 1
+    assert [r.n_removed for r in got if r.doc_id == 7] == [0, 0, 0]
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [0] + [1] * 9
+    assert all(r.duplicate_of == [None] for r in got if r.n_removed)
+
+
+def test_long_lines_are_whole():
+    text = b"\n".join(b" ".join(b"w%d" % (i * 7 + k) for k in range(30)) for i in range(50))
+    assert [len(x.split(b"\n")) for x in substring.line_blocks(text, 1000)][:-1] == [len(x.split(b"\n")) for x in substring.line_blocks(text, 1000)][:-1]
+    assert b"\n".join(substring.line_blocks(text, 1000)) == text and len(list(substring.line_blocks(text, 1000))) > 3
+    assert all(len(line.split()) == 30 for x in substring.line_blocks(text, 1000) for line in x.split(b"\n"))
