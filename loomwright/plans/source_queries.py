@@ -10,20 +10,15 @@ from pyspark.sql import functions as F
 from loomwright.sources import readers, sinks
 from loomwright.streaming import events as EV
 from loomwright.plans.common import Book
-from loomwright.session import table
+from loomwright.session import shared_root, table
 
 query = Book()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
 def folder(spark) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp()
-    return f"{at.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares."""
+    return f"{shared_root(spark)}/files-{uuid.uuid4().hex}"
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_read, CAST(sum(CAST(doc_id % 10 = 0 AS INT)) AS BIGINT) AS n_errors, CAST(sum(length(text)) FILTER (doc_id % 10 <> 0) AS BIGINT) AS n_chars FROM (SELECT * FROM documents WHERE lang = 'de')")

@@ -36,9 +36,17 @@ def manifest(counts: dict[str, Column], df: DataFrame, rule: dict) -> DataFrame:
     return one.select(F.to_json(F.struct(F.lit(json.dumps(rule, sort_keys=True)).alias("rule"), F.struct(*counts).alias("counts"))).alias("value"))
 
 
+def report_rows(df: DataFrame, most: int) -> list:
+    """All rows of a report; more than `most` are an error, as no report is cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows: write a table instead")
+    return rows
+
+
 def markdown(df: DataFrame, digits: int = 2, most: int = 10_000) -> str:
     """A small result as a markdown table."""
-    rows = df.limit(most).collect()
+    rows = report_rows(df, most)
     show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in rows]) + "\n"
@@ -51,7 +59,7 @@ def latex_escape(s: str) -> str:
 
 
 def latex(df: DataFrame, digits: int = 2, most: int = 10_000) -> str:
-    rows = df.limit(most).collect()
+    rows = report_rows(df, most)
     show = lambda v: "--" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else latex_escape(str(v))
     body = [" & ".join(show(v) for v in r) + r" \\" for r in rows]
     head = " & ".join(latex_escape(c) for c in df.columns) + r" \\ \hline"
@@ -59,7 +67,7 @@ def latex(df: DataFrame, digits: int = 2, most: int = 10_000) -> str:
 
 
 def plain(df: DataFrame, digits: int = 2, most: int = 10_000) -> str:
-    rows = [[str(c) for c in df.columns]] + [["" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v) for v in r] for r in df.limit(most).collect()]
+    rows = [[str(c) for c in df.columns]] + [["" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v) for v in r] for r in report_rows(df, most)]
     wide = [max(len(r[k]) for r in rows) for k in range(len(df.columns))]
     return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, wide)).rstrip() for r in rows) + "\n"
 
