@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.session import shared_root
+
 _SHIPPED: set[str] = set()
 
 
@@ -30,15 +32,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names for checkpoints; a local one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = own.get()
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster names for checkpoints; without one, only a local session has one."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
