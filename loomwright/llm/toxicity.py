@@ -6,9 +6,10 @@ noisy-or: 1 - (1 - leak) * product over sentences of (1 - p).  All weights are l
 document labels, and the trained model locates the sentences.
 
 Fitting reads a bounded sample of the labelled rows: at most SAMPLE rows, those with the smallest hashes
-of their ids; copies of a text count once.  Everything else covers all rows and whole texts.  Features
-that are much more frequent in toxic bags are kept as strings (at most FEATURES), so no two words share
-a weight.  A sentence without any of them has probability 0, so a clean text's score doesn't grow with
+of their ids; copies of a text count once.  Everything else covers all rows and whole texts.  One rule at
+every size says which features have a weight: those whose smoothed share of the toxic documents is e^LIFT
+times that of the others, where a likelihood-ratio test of the two shares gives EVIDENCE or more.  They
+are kept as strings, so no two words share a weight; what the driver holds is bounded by the sample.  A sentence without any of them has probability 0, so a clean text's score doesn't grow with
 its length.
 
 Null or empty texts have no sentence and score the leak.  Labels that are null don't count; a document
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import ship, utf8, written
 
-#: Labelled rows that are fitted on at most; features kept at most; documents that a feature needs.
-SAMPLE, FEATURES, SUPPORT = 20_000, 20_000, 5
-#: A feature is kept if its smoothed share among toxic documents is e to this power times that of others.
-LIFT = 1.2
+#: Labelled rows that are fitted on at most.
+SAMPLE = 20_000
+#: A feature is kept if its smoothed share among toxic documents is e to the power LIFT times that of others,
+#: and twice the log-likelihood ratio of its count of toxic documents against that share is EVIDENCE or more
+#: (chi-square with one degree of freedom: one in a thousand by chance).
+LIFT, EVIDENCE = 1.2, 10.83
 #: Words remembered by one scorer.
 KNOWN_WORDS = 200_000
 
@@ -169,9 +172,10 @@ def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column
     if not toxic or not other:
         return Model(0.0, float(bool(toxic)))
     lift = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (other + 1))
-    support = min(SUPPORT, max(1, toxic // 12))
-    best = _counts(rows).where(F.col("toxic") >= support).withColumn("lift", lift).where(F.col("lift") > LIFT)
-    names = [r[0] for r in best.orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "feature").select("feature").limit(FEATURES).collect()]
+    due = (F.col("other") + 0.5) / (other + 1) * toxic  # if the feature were as frequent in toxic documents
+    evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / due) - (F.col("toxic") - due))
+    best = _counts(rows).where(F.col("toxic") > 0).where((lift > LIFT) & (evidence >= EVIDENCE))
+    names = sorted(r[0] for r in best.select("feature").collect())  # bounded by the sample
     bags = _bags(rows, {f: k for k, f in enumerate(names)}).toPandas().sort_values(["doc_id", "sentence", "feature"])
     docs = rows.select("doc_id", "y").toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True)
     place = docs.reset_index().drop_duplicates("doc_id").set_index("doc_id")["index"]

@@ -1,9 +1,12 @@
 """Media, chats and toxicity against plain loops, round trips and held-out accuracy."""
 
 import hashlib
+import math
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -315,6 +318,48 @@ def test_toxicity_held_out(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {k for k, r in got.items() if r.score < 0.3}
 
 
+def test_scores_are_the_noisy_or_of_sentences(spark):
+    """Scores and sentences against a plain reading of the model."""
+    rows, labels = corpus(300, 4)
+    rows = [(k, t.upper() if k % 5 == 0 else t) for k, t in rows] + [(900, None), (901, ""), (902, "!?\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(model.weights) > 3
+    got = {r.doc_id: r for r in toxicity.score(docs, model, with_sentences=True).collect()}
+    for k, t in rows:
+        clean, sentences = 1 - model.leak, []
+        for m in re.finditer(r"[^.!?\n]*[.!?\n]*", t or ""):
+            own = {f for w in re.findall(r"\w+", m[0].lower()) for f in [f"w:{w}"] + [f"{n}:{w[:n]}" for n in (4, 5) if len(w) >= n]}
+            words = {w for w in re.findall(r"\w+", m[0].lower())}
+            total = sum(model.weights[f] for w in words for f in [f"w:{w}"] + [f"{n}:{w[:n]}" for n in (4, 5) if len(w) >= n] if f in model.weights)
+            if own & set(model.weights):
+                p = 1 / (1 + math.exp(-min(40, max(-40, model.bias + total))))
+                clean *= 1 - p
+                sentences.append((m.start(), m.end(), p))
+        assert abs(got[k].score - (1 - clean)) < 1e-9
+        assert [(s.start, s.end) for s in got[k].sentences] == [x[:2] for x in sentences]
+        assert all(abs(s.score - x[2]) < 1e-9 for s, x in zip(got[k].sentences, sentences))
+
+
+def test_features_follow_one_rule(spark):
+    """What has a weight, counted by hand; twice the rows with the same shares: the same features and more."""
+    rows, labels = corpus(400, 5)
+    y, n = dict(labels), Counter(v for _, v in labels)
+    for times in (1, 2):
+        docs = [(k + 10**6 * i, f"{t} copy{i}x{k}") for k, t in rows for i in range(times)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        model = toxicity.fit(df, spark.createDataFrame([(k, y[k % 10**6]) for k, _ in docs], "doc_id long, toxic int"))
+        counts = Counter((f, y[k % 10**6]) for k, t in docs for f in {f for w in re.findall(r"\w+", t.lower()) for f in toxicity.features(w)})
+        want = set()
+        for f in {f for f, v in counts if v}:
+            a, b = counts[f, 1], counts[f, 0]
+            due = (b + 0.5) / (n[0] * times + 1) * n[1] * times
+            lift = math.log((a + 0.5) / (n[1] * times + 1)) - math.log((b + 0.5) / (n[0] * times + 1))
+            if lift > toxicity.LIFT and 2 * (a * math.log(a / due) - (a - due)) >= toxicity.EVIDENCE:
+                want.add(f)
+        assert want and set(model.weights) == want
+
+
 def test_noisy_or_gradient_learns_one_bad_sentence():
     rng = np.random.default_rng(1)
     y, bag, sentence, feature = [], [], [], []
