@@ -60,6 +60,14 @@ def test_exact_ties_and_hot_group(spark):
     assert got == brute_exact(rows)
 
 
+def test_exact_tells_texts_of_one_digest_apart(spark, docs):
+    """With a digest of one byte, many texts have the same one: they are compared whole."""
+    rng = random.Random(1)
+    rows = [(k, f"{rng.randrange(700)}{' ' * rng.randrange(3)}") for k in range(1500)] + [(None, "1"), (None, "a b"), (None, "ab")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in exact.exact_duplicates(df, width=1).collect()) == brute_exact(rows)
+
+
 # ---- lines
 
 
