@@ -253,20 +253,75 @@ def test_chat_round_trip(spark):
     assert chat.conversation_digests(chat.format_log(chat.turns_to_events(none))).count() == 0
 
 
+EVENTS = "conv_id long, seq long, message long, kind string, role string, text string"
+
+
 def test_fold_of_events(spark):
-    """Deltas, edits, regenerations and deletions in any order of arrival."""
-    events = [
-        (1, 1, 0, "start", "user", None), (1, 1, 1, "delta", None, "a"), (1, 1, 2, "delta", None, "b"),
-        (1, 2, 0, "start", "assistant", None), (1, 2, 1, "delta", None, "wrong"), (1, 2, 2, "regenerate", None, None), (1, 2, 3, "delta", None, "ri"), (1, 2, 4, "delta", None, "ght"),
-        (1, 3, 0, "start", "user", None), (1, 3, 1, "delta", None, "old"), (1, 3, 2, "edit", None, "new"), (1, 3, 3, "delta", None, "er"),
-        (1, 4, 0, "start", "user", None), (1, 4, 1, "delete", None, None), (1, 4, 2, "delta", None, "late"),
+    """Deltas, edits, branches, regenerations and deletions in any order of arrival."""
+    story = [
+        (1, "start", "user", None), (1, "delta", None, "a"), (2, "start", "assistant", None), (2, "delta", None, "wrong"), (1, "delta", None, "b"),
+        (3, "start", "user", None), (3, "delta", None, "thanks"), (2, "regenerate", None, None), (2, "delta", None, "ri"), (3, "delta", None, "late"), (2, "delta", None, "ght"),
+        (4, "start", "user", None), (4, "delta", None, "old"), (4, "edit", None, "new"), (4, "delta", None, "er"), (5, "start", "user", None), (5, "delete", None, None), (5, "delta", None, "late"),
+        (6, "start", "assistant", None), (6, "delta", None, "x"), (4, "edit", None, "newest"), (7, "start", "user", None), (6, "branch", None, "y"), (8, "start", "assistant", None), (8, "delta", None, "z"),
     ]
+    events = [(1, k, *x) for k, x in enumerate(story)]
     random.Random(1).shuffle(events)
-    log = spark.createDataFrame(events, "conv_id long, m long, seq long, kind string, role string, text string").withColumn("message", F.struct("m"))
-    got = sorted((r.message.m, r.role, r.text) for r in chat.fold(log).collect())
-    assert got == [(1, "user", "ab"), (2, "assistant", "right"), (3, "user", "newer")]
-    with pytest.raises(Exception, match="an event of kind"):
+    log = spark.createDataFrame(events, "conv_id long, seq long, message long, kind string, role string, text string")
+    got = sorted((r.place, r.message, r.role, r.text) for r in chat.fold(log).collect())
+    assert [x[1:] for x in got] == [(1, "user", "ab"), (2, "assistant", "right"), (4, "user", "newest"), (6, "assistant", "y"), (8, "assistant", "z")]
+    with pytest.raises(Exception, match="an event of kind odd"):
         chat.fold(log.withColumn("kind", F.lit("odd"))).collect()
+    assert chat.fold(log.limit(0)).count() == 0
+
+
+def brute_fold(events):
+    """One conversation's events, one after another."""
+    began, texts, roles, gone = {}, {}, {}, set()
+    starts = {}
+    for seq, m, kind, *_ in sorted(events, key=lambda e: e[:2]):
+        if kind == "start":
+            starts.setdefault(m, seq)
+    for seq, m, kind, role, text in sorted(events, key=lambda e: e[:2]):
+        began.setdefault(m, starts.get(m, seq))
+        texts.setdefault(m, "")
+        if kind == "start" and seq == starts[m]:
+            roles[m] = role or ""
+        elif kind == "delta":
+            texts[m] += text or ""
+        elif kind in ("edit", "branch", "regenerate"):
+            texts[m] = "" if kind == "regenerate" else text or ""
+        if kind in ("branch", "regenerate"):
+            gone |= {x for x, b in {**starts, **began}.items() if began.get(m, seq) < b < seq}
+        if kind == "delete":
+            gone.add(m)
+    return sorted((began[m], m, roles.get(m, ""), t) for m, t in texts.items() if m not in gone)
+
+
+def test_fold_against_one_event_after_another(spark):
+    rng = random.Random(2)
+    events = []
+    for conv in [None, *range(60)]:
+        for seq in range(rng.randrange(1, 40)):
+            kind = rng.choice(["start", "start", "delta", "delta", "delta", "edit", "branch", "regenerate", "delete"] if seq % 7 == 0 else ["start", "delta"])
+            events.append((conv, seq, rng.randrange(12), kind, rng.choice(["user", "assistant", None]), rng.choice([None, "", "a", "bc", "###"])))
+    got = chat.fold(spark.createDataFrame(events, EVENTS)).collect()
+    for conv in {e[0] for e in events}:
+        assert sorted((r.place, r.message, r.role, r.text) for r in got if r.conv_id == conv) == brute_fold([e[1:] for e in events if e[0] == conv])
+
+
+def test_logs_hold_every_kind_of_event(spark):
+    rows = spark.createDataFrame([(k % 9, k, "user", f"{'long ' * (k % 40)}{k}") for k in range(400)], "conv_id long, turn long, role string, text string")
+    log = chat.turns_to_events(rows, delta=50)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "branch", "regenerate", "delete"}
+    got = sorted((r.conv_id, r.place.turn, r.role, r.text) for r in chat.fold(log).collect())
+    assert got == sorted((r.conv_id, r.turn, r.role, r.text) for r in rows.collect())
+
+
+def test_a_very_long_text_comes_back(spark):
+    text = "é ### </turn> \\ " * 200_000
+    segments = chat.format_log(chat.turns_to_events(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")))
+    r = chat.conversation_digests(segments).first()
+    assert (r.loss_chars, r.loss_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
 
 
 @settings(max_examples=150, deadline=None)
