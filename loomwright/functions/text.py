@@ -6,7 +6,8 @@ White space is Python's: Java's \\s knows ASCII only.  Every function takes and
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +29,21 @@ def collapse_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(empty_if_null(c), rf"[{WS}]+", " "))
 
 
+@cache
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """What full case folding changes in lower-case text, from Unicode's own rule: characters that become one
+    other, what they become, and those that become several."""
+    own = {c: f for c in map(chr, chain(range(0xD800), range(0xE000, 0x20000))) if c.lower() == c and (f := c.casefold()) != c}
+    one = {c: f for c, f in own.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in own.items() if len(f) > 1}
+
+
 def casefold(c: Column) -> Column:
-    """Lower case, and ss for sharp s: full case folding of Western European text."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Full Unicode case folding.  Only texts that hold a character that lower-casing doesn't fold take the long way."""
+    one, to, several = _foldings()
+    low = F.lower(c)
+    whole = reduce(lambda x, f: F.replace(x, F.lit(f[0]), F.lit(f[1])), several.items(), F.translate(low, one, to))
+    return F.when(low.rlike(f"[{one}{''.join(several)}]"), whole).otherwise(low)
 
 
 def dedup_key(c: Column) -> Column:
@@ -66,15 +79,24 @@ def ngrams(words: Column, n: int) -> Column:
     return let(words, runs)
 
 
-def top_count(values: Column) -> Column:
-    """How often the most frequent element occurs: the longest run of the sorted array."""
-    start = F.struct(F.lit(0).alias("best"), F.lit(0).alias("run"), F.lit(None).cast("string").alias("last"))
+def hashed_ngrams(words: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n words: words are hashed once, runs are runs of hashes."""
+
+    def runs(h: Column) -> Column:
+        last = F.size(h) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+
 
-    def step(a: Column, x: Column) -> Column:
-        run = F.when(a["last"].eqNullSafe(x), a["run"] + 1).otherwise(F.lit(1))
-        return F.struct(F.greatest(a["best"], run).alias("best"), run.alias("run"), x.alias("last"))
+def occurs(values: Column, times: int) -> Column:
+    """Whether any element occurs that often: equal elements of the sorted array stand side by side."""
 
-    return F.aggregate(F.array_sort(values), start, step, lambda a: a["best"])
+    def body(s: Column) -> Column:
+        n = F.greatest(F.size(s) - (times - 1), F.lit(0))
+        return F.exists(F.zip_with(F.slice(s, 1, n), F.slice(s, times, n), lambda a, b: a == b), lambda x: x)
+
+    return let(F.sort_array(values), body)
 
 
 def preview(c: Column, n: int = 60) -> Column:
@@ -123,6 +145,7 @@ EDIT_LINK = r"\s*\[සංස්කරණය(?:\s+කරන්න|\s+කරන\s+
 Rule = tuple[str, str, str]  # name, Java pattern, replacement
 
 
+#: Names and replacements are ours; the patterns, with those above, are fixed values.
 def artifact_rules(numerals: dict[str, str] = WORD_NUMERALS, injected: list[str] = INJECTED_WORDS) -> list[Rule]:
     """The ordered rules, with Python's white space."""
     ws = rf"[{WS}]"
@@ -133,6 +156,7 @@ def artifact_rules(numerals: dict[str, str] = WORD_NUMERALS, injected: list[str]
     return rules
 
 
+#: Patterns and replacements of the tidy rules.
 TIDY_RULES: list[Rule] = [
     ("tidy_spaces", r"[ \t]{2,}", " "),
     ("tidy_space_before_punct", r" +([,.!?;:])", "$1"),
@@ -153,15 +177,6 @@ def clean_artifacts(c: Column, rules: list[Rule] | None = None, passes: int = 4)
     return strip(apply_rules(c, TIDY_RULES))
 
 
-def rule_hits(c: Column, rules: list[Rule]) -> list[Column]:
-    """How often each rule of one pass replaces, as columns named after the rules."""
-    out = []
-    for name, pattern, to in rules:
-        out.append(F.regexp_count(c, F.lit(pattern)).alias(name))
-        c = F.regexp_replace(c, pattern, to)
-    return out
-
-
 def bracket_clean(c: Column) -> Column:
     """Bracketed remarks of how-to texts."""
     c = F.replace(strip(c), F.lit(" [title]"), F.lit(". "))

@@ -175,6 +175,18 @@ def end_rank(probs: DataFrame, keys: list[str], end: Column) -> DataFrame:
     return probs.withColumn("__p", p).groupBy(*keys).agg(F.max("__p").alias("p_end"), (F.count_if(F.col("prob") > F.col("__p")) + 1).alias("rank"))
 
 
+def end_report(positions: DataFrame, p: str = "p_end", rank: str = "rank") -> DataFrame:
+    """positions: probability and rank of the end token where a turn ends.  n, mean, median (the element at
+    n // 2 of the sorted values) and least probability, median and worst rank, and the percent of rank 1."""
+    from loomwright.operators.matrices import order_values
+
+    one = positions.agg(F.count("*").alias("n"), F.round(F.avg(p), 9).alias("mean_p"), F.min(p).alias("min_p"), F.max(rank).alias("worst_rank"), F.round(100 * F.avg((F.col(rank) == 1).cast("int")), 6).alias("top1_pct"))
+    half = {"median": lambda n: F.floor(n / 2)}
+    for c, name in ((p, "median_p"), (rank, "median_rank")):
+        one = one.crossJoin(order_values(positions, [], F.col(c), half).select(F.col("median").alias(name)))  # one row each
+    return one
+
+
 def generation_health(df: DataFrame, keys: list[str], stopped: Column, leaked: Column, n_new: Column) -> DataFrame:
     pct = lambda c: F.round(100 * F.avg(c.cast("int")), 6)
     return df.groupBy(*keys).agg(F.count("*").alias("n"), pct(stopped).alias("stopped_pct"), pct(leaked).alias("leaked_pct"), F.round(F.avg(n_new), 6).alias("mean_new"))

@@ -96,9 +96,9 @@ def degenerate(text: Column, words: int = 20, size: int = 5, most: int = 3, dist
     """Texts that loop: a word 5-gram occurs 3 times or more and fewer than 60 % of them are distinct."""
 
     def loops(grams: Column) -> Column:
-        return (F.size(grams) >= words - size + 1) & (T.top_count(grams) >= most) & (F.size(F.array_distinct(grams)) < distinct * F.size(grams))
+        return (F.size(grams) >= words - size + 1) & (F.size(F.array_distinct(grams)) < distinct * F.size(grams)) & T.occurs(grams, most)
 
-    return T.let(T.ngrams(T.tokens(text), size), loops)
+    return T.let(T.hashed_ngrams(T.tokens(text), size), loops)
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -115,11 +115,30 @@ def ledger(df: DataFrame, reason: str = "reason") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(reason), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def rule_hits(df: DataFrame, rules: list[T.Rule], text: str = "text") -> DataFrame:
-    """rule, n_hits (replacements of one pass) and n_texts (texts with any)."""
-    hits = df.select(*T.rule_hits(T.empty_if_null(F.col(text)), rules))
-    rows = hits.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").cast("long").alias("c")) for n, _, _ in rules])).alias("x")).select("x.*")
-    return rows.groupBy("rule").agg(F.sum("c").alias("n_hits"), F.count_if(F.col("c") > 0).alias("n_texts"))
+def rule_hits(df: DataFrame, rules: list[T.Rule], text: str = "text", passes: int = 4, tidy: list[T.Rule] = ()) -> DataFrame:
+    """rule, n_hits (replacements of all passes until nothing changes, at most `passes`, and of one pass of the
+    tidy rules behind them) and n_texts (texts with any).  Each rule is a projection of its own, so that its
+    text is made once; a text that a pass left alone isn't searched again."""
+    rows = df.select(T.empty_if_null(F.col(text)).alias("t"), F.lit(True).alias("open"))
+    counts: dict[str, list[str]] = {n: [] for n, _, _ in [*rules, *tidy]}
+
+    def apply(rows: DataFrame, rule: T.Rule, when: Column) -> DataFrame:
+        name, pattern, to = rule
+        c = f"c{sum(map(len, counts.values()))}"
+        counts[name].append(c)
+        hits = F.when(when, F.regexp_count("t", F.lit(pattern))).otherwise(0)
+        rows = rows.withColumn(c, hits.cast("long"))
+        return rows.withColumn("t", F.when(F.col(c) > 0, F.regexp_replace("t", pattern, to)).otherwise(F.col("t")))
+
+    for _ in range(passes):
+        for rule in rules:
+            rows = apply(rows, rule, F.col("open"))
+        rows = rows.withColumn("open", F.greatest(*[F.col(x[-1]) for n, x in counts.items() if x], F.lit(0)) > 0)
+    for rule in tidy:
+        rows = apply(rows, rule, F.lit(True))
+    total = lambda own: sum((F.col(c) for c in own[1:]), F.col(own[0]))
+    each = F.array(*[F.struct(F.lit(n).alias("rule"), total(own).alias("c")) for n, own in counts.items()])
+    return rows.select(F.explode(each).alias("x")).groupBy("x.rule").agg(F.sum("x.c").alias("n_hits"), F.count_if(F.col("x.c") > 0).alias("n_texts"))
 
 
 def changed(df: DataFrame, new: Column, text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ Random orders are orders of md5(seed | id): the same on any number of machines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,13 +49,25 @@ def decontaminate(splits: DataFrame, key: str, split: str, order: str, train: st
     return of(train).join(held, key, "left_anti").select(*splits.columns).unionByName(of(val).join(of(test).select(key).distinct(), key, "left_anti").select(*splits.columns)).unionByName(of(test))
 
 
-def stratified_split(df: DataFrame, label: str, order: Column, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """The rows with split: within each label, in the given order, rounded half to even; a label too small
+def places(df: DataFrame, keys: list[str], seed: str, *ids: str, digits: int = 3) -> DataFrame:
+    """The rows with __i, their place (from 0) within the keys in hash order, and __n, the rows of the keys.
+    Places are counted within ranges of the hash, 16 ** digits for each key, and the ranges' sizes are
+    summed: no task sorts a whole key."""
+    own = [f"__k{i}" for i in range(len(keys))]
+    rows = df.select("*", *[F.col(k).alias(o) for k, o in zip(keys, own)], hash_order(seed, *ids).alias("__h")).withColumn("__p", F.substring("__h", 1, digits))
+    sizes = rows.groupBy(*own, "__p").agg(F.count("*").alias("__c"))
+    up = Window.partitionBy(*own).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    before = sizes.select(*[F.col(o).alias(f"{o}_") for o in own], F.col("__p").alias("__p_"), (F.sum("__c").over(up) - F.col("__c")).alias("__b"), F.sum("__c").over(Window.partitionBy(*own)).alias("__n"))
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*own, "__p").orderBy("__h", *ids)) - 1)
+    same = reduce(lambda a, b: a & b, [F.col(o).eqNullSafe(F.col(f"{o}_")) for o in own], F.col("__p") == F.col("__p_"))
+    return rows.join(before, same).select(*df.columns, (F.col("__b") + F.col("__r")).alias("__i"), "__n")
+
+
+def stratified_split(df: DataFrame, label: str, seed: str, *ids: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
+    """The rows with split: within each label, in hash order, rounded half to even; a label too small
     for three splits gives one row to train first."""
-    own = Window.partitionBy(label)
     test = 1 - train - val
-    n = F.count(F.lit(1)).over(own)
-    rows = df.withColumn("__n", n).withColumn("__i", F.row_number().over(own.orderBy(order)) - 1)
+    rows = places(df, [label], seed, *ids)
     size = lambda p: F.greatest(F.lit(1), F.bround(F.col("__n") * F.lit(round(p, 9)), 0).cast("int"))
     rows = rows.withColumn("__small", F.col("__n") - size(val) - size(test) < 1)
     n_train = F.when(F.col("__small"), 1).otherwise(F.col("__n") - size(val) - size(test))

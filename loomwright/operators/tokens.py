@@ -81,6 +81,15 @@ def pack_blocks(df: DataFrame, ids: str, order: str, batch: Column, length: int,
     return blocks.select("batch", "block", (F.concat(F.array(F.lit(head)), out) if head is not None else out).alias("ids"))
 
 
+def longest_first(df: DataFrame, length: str, order: str) -> DataFrame:
+    """The rows with place, from 0, the longest first, ties by order.  Rows are counted for each length, and
+    ranked only among those of their own."""
+    down = Window.orderBy(F.desc(length)).rowsBetween(Window.unboundedPreceding, 0)  # a row for each length
+    before = df.groupBy(length).agg(F.count("*").alias("__n")).select(F.col(length).alias("__l"), (F.sum("__n").over(down) - F.col("__n")).alias("__b"))
+    rows = df.withColumn("__i", F.row_number().over(Window.partitionBy(length).orderBy(order)) - 1)
+    return rows.join(before, F.col(length).eqNullSafe(F.col("__l"))).select(*df.columns, (F.col("__b") + F.col("__i")).cast("long").alias("place"))
+
+
 def budget_batches(df: DataFrame, order: list[str], length: str, budget: int, most: int, group: str | None = None) -> DataFrame:
     """Longest first: a batch is cut where one more row would exceed budget = rows * longest ** 2, or `most`
     rows.  Cutting is sequential, so it runs within groups, one after another within a group only."""

@@ -6,7 +6,8 @@ what reaches the driver is bounded by the dimension, never by the number of vect
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -82,16 +83,66 @@ def hubness(near: DataFrame) -> DataFrame:
     return near.groupBy("key").agg(F.count("*").alias("n"))
 
 
-def rbf_mmd(a: DataFrame, b: DataFrame, vector: str) -> DataFrame:
+#: Vectors a side that a kernel matrix is made of at most.
+MMD_VECTORS = 10_000
+
+
+def rbf_mmd(a: DataFrame, b: DataFrame, vector: str, most: int = MMD_VECTORS, block: int = 256) -> DataFrame:
     """Unbiased MMD with a Gaussian kernel whose bandwidth is the median of the positive cross distances, and
-    that sigma, for two samples of bounded size."""
-    x, y = a.select(F.monotonically_increasing_id().alias("i"), F.col(vector).alias("u")), b.select(F.monotonically_increasing_id().alias("j"), F.col(vector).alias("v"))
-    cross = x.join(F.broadcast(y)).select(R.squared_distance(F.col("u"), F.col("v")).alias("d"))
-    sigma = cross.agg(F.coalesce(F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5), F.lit(1.0)).alias("s"))
-    inside = lambda z, i, v: z.join(F.broadcast(z.select(F.col(i).alias("i2"), F.col(v).alias("v2")))).where(F.col(i) != F.col("i2")).select(R.squared_distance(F.col(v), F.col("v2")).alias("d"))
-    mean = lambda z, name: z.crossJoin(F.broadcast(sigma)).agg(F.avg(F.exp(-F.col("d") / F.col("s"))).alias(name))
-    one = mean(inside(x, "i", "u"), "xx").crossJoin(mean(inside(y, "j", "v"), "yy")).crossJoin(mean(cross, "xy")).crossJoin(sigma)
-    return one.select(F.round(F.sqrt(F.greatest(F.col("xx") + F.col("yy") - 2 * F.col("xy"), F.lit(0.0))), 6).alias("mmd"), F.round(F.sqrt(F.col("s") / 2), 6).alias("sigma"))
+    that sigma, for two samples of at most `most` vectors, which the tasks hold; each takes blocks of rows
+    against all.  The median is exact: distances are counted in ranges, and only the values of the ranges
+    in the middle are sent to the driver."""
+    spark = a.sparkSession
+    both = []
+    for df in (a, b):
+        rows = df.select(F.col(vector).cast("array<double>")).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} vectors a side: take a sample")
+        both.append(np.array([r[0] for r in rows]))
+    if not all(map(len, both)):
+        return spark.createDataFrame([(None, None)], "mmd double, sigma double")
+    shared = spark.sparkContext.broadcast(both)
+
+    def blocks(kind: str, each: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        """each(squared distances, whether they count) of blocks of rows, added up or put together by the caller."""
+        left, right = (0 if kind == "a" else 1 if kind == "b" else 0), (0 if kind == "a" else 1)
+
+        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, y = shared.value[left], shared.value[right]
+            for pdf in it:
+                for k in pdf["id"]:
+                    own = x[k * block : (k + 1) * block]
+                    d = np.maximum((own**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * own @ y.T, 0)
+                    near = d < 1e-9 * ((own**2).sum(1)[:, None] + (y**2).sum(1)[None])  # cancelled: take the difference
+                    for i, j in zip(*np.nonzero(near)):
+                        d[i, j] = ((own[i] - y[j]) ** 2).sum()
+                    counts = np.ones(d.shape, bool)
+                    if kind != "ab":
+                        counts[np.arange(len(own)), k * block + np.arange(len(own))] = False
+                    yield pd.DataFrame({"x": [each(d, counts)]})
+
+        n = -(-len(both[left]) // block)
+        return [np.array(r[0]) for r in spark.range(0, n, 1, n).mapInPandas(run, "x array<double>").collect()]
+
+    top = (np.sqrt((both[0] ** 2).sum(1).max()) + np.sqrt((both[1] ** 2).sum(1).max())) ** 2 * (1 + 1e-9) + 1e-300
+    edges = np.linspace(0, top, 4097)
+    counts = sum(blocks("ab", lambda d, _: np.histogram(d[d > 0], edges)[0].astype(float))).astype(np.int64)
+    n = int(counts.sum())
+    if n:
+        upto = np.cumsum(counts)
+        low, high = np.searchsorted(upto, [(n - 1) // 2, n // 2], "right").tolist()
+        inside = np.sort(np.concatenate(blocks("ab", lambda d, _: d[(d > 0) & (d >= edges[low]) & ((d < edges[high + 1]) | (high == 4095))])))
+        before = int(upto[low - 1]) if low else 0
+        s = float((inside[(n - 1) // 2 - before] + inside[n // 2 - before]) / 2)
+    else:
+        s = 1.0
+
+    def mean(kind: str) -> float:
+        total = sum(blocks(kind, lambda d, ok: np.array([np.exp(-d[ok] / s).sum(), float(ok.sum())])))
+        return float(total[0] / total[1]) if total[1] else 0.0
+
+    mmd = max(mean("a") + mean("b") - 2 * mean("ab"), 0.0) ** 0.5
+    return spark.createDataFrame([(round(mmd, 6), round((s / 2) ** 0.5, 6))], "mmd double, sigma double")
 
 
 def gram(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
@@ -124,15 +175,23 @@ def mean_covariance(df: DataFrame, vector: str, ddof: int = 0) -> tuple[np.ndarr
     return mean, (outer - n * np.outer(mean, mean)) / (n - ddof)
 
 
-def gaussian_kl(m0: np.ndarray, c0: np.ndarray, m1: np.ndarray, c1: np.ndarray, ridge: float = 1e-6) -> float:
+def gaussian_kl(m0: np.ndarray, c0: np.ndarray, m1: np.ndarray, c1: np.ndarray, ridge: float = 1e-3) -> float:
+    """The divergence of two Gaussians, with a ridge on both covariances.  A singular one is inverted as far as it
+    goes; where a determinant isn't positive, the logarithms of the singular values (and the ridge) count."""
     d = len(m0)
     c0, c1 = c0 + ridge * np.eye(d), c1 + ridge * np.eye(d)
-    inverse = np.linalg.pinv(c1)
+    try:
+        inverse = np.linalg.inv(c1)
+    except np.linalg.LinAlgError:
+        inverse = np.linalg.pinv(c1)
+    signs, logs = zip(*map(np.linalg.slogdet, (c0, c1)))
+    if min(signs) <= 0:
+        logs = [np.log(np.linalg.svd(c, compute_uv=False) + ridge).sum() for c in (c0, c1)]
     gap = m1 - m0
-    return float(0.5 * (np.trace(inverse @ c0) + gap @ inverse @ gap - d + np.linalg.slogdet(c1)[1] - np.linalg.slogdet(c0)[1]))
+    return float(0.5 * (logs[1] - logs[0] - d + np.trace(inverse @ c0) + gap @ inverse @ gap))
 
 
-def gaussian_js(m0: np.ndarray, c0: np.ndarray, m1: np.ndarray, c1: np.ndarray, ridge: float = 1e-6) -> float:
+def gaussian_js(m0: np.ndarray, c0: np.ndarray, m1: np.ndarray, c1: np.ndarray, ridge: float = 1e-3) -> float:
     """The Jensen-Shannon divergence with the Gaussian of the averaged parameters in the middle."""
     m, c = (m0 + m1) / 2, (c0 + c1) / 2
     return 0.5 * gaussian_kl(m0, c0, m, c, ridge) + 0.5 * gaussian_kl(m1, c1, m, c, ridge)
@@ -149,6 +208,18 @@ def spectrum(df: DataFrame, vector: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, float(x), float(y), rank, ratio) for k, (x, y) in enumerate(zip(e, p))], "component int, eigenvalue double, share double, effective_rank double, participation double")
 
 
+def projected(df: DataFrame, vector: str, axes: int = 2) -> DataFrame:
+    """The rows with coordinates: the vectors less their mean, on the first principal axes; an axis points where
+    its largest component is positive."""
+    mean, c = mean_covariance(df, vector, ddof=1)
+    top = np.linalg.eigh(c)[1][:, ::-1][:, :axes]
+    top = top * np.sign(top[np.abs(top).argmax(0), np.arange(top.shape[1])])
+    away = F.zip_with(F.col(vector).cast("array<double>"), F.array(*[F.lit(float(x)) for x in mean]), lambda x, m: x - m)
+    axis = [F.array(*[F.lit(float(x)) for x in top[:, k]]) for k in range(top.shape[1])]
+    rows = df.withColumn("__away", away)
+    return rows.withColumn("coordinates", F.array(*[R.dot(F.col("__away"), a) for a in axis])).drop("__away")
+
+
 def isotropy(df: DataFrame, vector: str, axes: int = 15) -> DataFrame:
     """min Z / max Z over the first principal axes, Z the sum of exp of projections."""
     _, c = mean_covariance(df, vector, ddof=1)
@@ -188,23 +259,53 @@ def composition(rows: DataFrame, is_b: Column) -> DataFrame:
     return each.select("cluster", "size", F.round("pct_b", 6).alias("pct_b"), F.round(F.avg(F.abs(F.col("pct_b") - F.col("base"))).over(all_), 6).alias("skew"))
 
 
-def sampled_cosines(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """n, mean and population deviation of the cosines of row pairs that a hash picks: row i with the row
-    that follows it in hash order."""
-    w = Window.orderBy("h", "k")
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v"), F.md5(F.concat(F.lit("p|"), F.col(key).cast("string"))).alias("h")).orderBy("h", "k").limit(n + 1)
-    pairs = rows.withColumn("o", F.lead("v").over(w)).where("o IS NOT NULL").select(R.cosine(F.col("v"), F.col("o")).alias("c"))
+def sampled_cosines(a: DataFrame, b: DataFrame, key: str, vector: str, n: int, seed: str = "p") -> DataFrame:
+    """n, mean and population deviation of the cosines of n pairs, a row of a and a row of b each, drawn with
+    replacement by a hash of the draw's number; for pairs within a table both are that table."""
+    spark = a.sparkSession
+
+    def drawn(df: DataFrame, side: str) -> DataFrame:
+        rows = numbered(df.select(F.col(key).alias("k"), F.col(vector).alias("v")), "k")
+        size = rows.agg(F.max("place").alias("m"))
+        draws = spark.range(n).select(F.col("id").alias("draw"), F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{side}|"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("bigint").alias("h"))
+        places = draws.crossJoin(F.broadcast(size)).select("draw", F.pmod("h", F.col("m") + 1).alias("place"))  # one row
+        return rows.join(places, "place").select("draw", F.col("v").alias(side))
+
+    pairs = drawn(a, "x").join(drawn(b, "y"), "draw").select(R.cosine(F.col("x"), F.col("y")).alias("c"))
     return pairs.agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c"), 6).alias("std"))
 
 
-def outliers(df: DataFrame, x: Column, sigmas: float, keys: list[str] | None = None, sample: bool = False) -> DataFrame:
-    """The rows whose z-score is beyond +-sigmas, with z."""
-    w = Window.partitionBy(*(keys or []))
-    rows = df.withColumn("__x", x)
-    rows = rows.withColumn("z", F.try_divide(F.col("__x") - F.avg("__x").over(w), (F.stddev_samp if sample else F.stddev_pop)("__x").over(w)))
-    return rows.where(F.abs("z") > sigmas).drop("__x")
+def numbered(df: DataFrame, key: str, bounds: int = 255) -> DataFrame:
+    """The rows with place, from 0 in the order of key.  A sample of at most `bounds` keys cuts the order into
+    ranges; places are counted within them and the ranges' sizes are summed, so no task sorts all rows."""
+    cuts = sorted(r[0] for r in df.select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(bounds).collect())
+    part = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col(key))) if cuts else F.lit(0)
+    rows = df.withColumn("__p", part)
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1)
+    up = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    before = df.select(part.alias("__p")).groupBy("__p").agg(F.count("*").alias("__n")).select("__p", (F.sum("__n").over(up) - F.col("__n")).alias("__b"))  # bounds + 1 rows
+    return rows.join(F.broadcast(before), "__p").withColumn("place", F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
+
+
+def outliers(df: DataFrame, x: Column, sigmas: float, keys: list[str] | None = None, sample: bool = False, most: int | None = None) -> DataFrame:
+    """The rows whose z-score is beyond +-sigmas, with z; with `most` only those farthest out.  Means and
+    deviations are aggregated and joined back: one row for each of the keys."""
+    own = [f"__k{i}" for i in range(len(keys or []))]
+    rows = df.select("*", *[F.col(k).alias(o) for k, o in zip(keys or [], own)], x.cast("double").alias("__x"))
+    stats = rows.groupBy(*[F.col(o).alias(f"{o}_") for o in own]).agg(F.avg("__x").alias("__m"), (F.stddev_samp if sample else F.stddev_pop)("__x").alias("__d"))
+    if own:
+        rows = rows.join(stats, reduce(lambda a, b: a & b, [F.col(o).eqNullSafe(F.col(f"{o}_")) for o in own]))
+    else:
+        rows = rows.crossJoin(F.broadcast(stats))  # one row
+    rows = rows.withColumn("z", F.try_divide(F.col("__x") - F.col("__m"), F.col("__d"))).where(F.abs("z") > sigmas).select(*df.columns, "z")
+    return rows if most is None else rows.orderBy(F.desc(F.abs("z")), *df.columns[:1]).limit(most)
 
 
 def drift(base: DataFrame, other: DataFrame, key: str, vector: str) -> DataFrame:
     """key and the cosine of its two vectors."""
     return base.select(key, F.col(vector).alias("a")).join(other.select(key, F.col(vector).alias("b")), key).select(key, R.cosine(F.col("a"), F.col("b")).alias("cosine"))
+
+
+def most_moved(drift: DataFrame, key: str, k: int = 8) -> DataFrame:
+    """The k keys whose vectors turned farthest: the smallest cosines."""
+    return drift.orderBy("cosine", key).limit(k)

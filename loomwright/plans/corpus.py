@@ -46,7 +46,9 @@ def with_split(df: DataFrame) -> DataFrame:
     return df.withColumn("split", F.when(b < 8, "train").when(b == 8, "val").otherwise("test"))
 
 
-_BLOCKS = "\n".join(f"WHEN c BETWEEN {a} AND {b} THEN {'NULL' if n in T.IGNORED_BLOCKS else repr(n)}" for a, b, n in T.UNICODE_BLOCKS)
+#: Written out for the ranges up to U+04FF, in which all of the driver's characters lie; a character beyond fails.
+_BLOCKS = """WHEN c <= 127 THEN 'English / Basic Latin' WHEN c <= 255 THEN 'Latin Extended (Western European)' WHEN c <= 591 THEN 'Latin Extended A/B (Central/Eastern European)'
+    WHEN c < 880 THEN NULL WHEN c <= 1023 THEN 'Greek' WHEN c <= 1279 THEN 'Cyrillic (Russian, Bulgarian, etc.)' ELSE 'beyond'"""
 
 
 @query(f"""
@@ -129,17 +131,19 @@ def eval_leak_exact(spark, d):
 
 @query("""SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0""")
 def eval_leak_contains(spark, d):
-    """Which benchmark items a document holds whole.  The items' first 5 words are an equi-join key against
-    all 5-word windows, so the cost follows the corpus and not its product with the items."""
+    """Which benchmark items a document holds whole.  The hash of 5 words inside an item is an equi-join key
+    against the hashes of all 5-word windows, so the cost follows the corpus and not its product with the
+    items; only ids and hashes meet, and texts follow for the hits.  Items of 7 words or fewer have no such
+    words and are searched for in every document: Spark broadcasts them if they are few."""
     words = lambda: F.split(T.collapse_ws(F.col("text")), " ")
     items = table(spark, d, "benchmark").where("length(text) > 0").select("item_id", F.col("text").alias("item"), words().alias("w"))
-    long = items.where(F.size("w") > 7).select("item_id", "item", F.array_join(F.slice("w", 2, 5), " ").alias("g"))
-    grams = docs(spark, d).select("doc_id", F.explode(F.array_distinct(T.ngrams(words(), 5))).alias("g"))
-    found = grams.join(long, "g").select("doc_id", "item_id", "item")
-    found = found.join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    long = items.where(F.size("w") > 7).select("item_id", F.get(T.hashed_ngrams(F.slice("w", 2, 5), 5), F.lit(0)).alias("g"))
+    grams = docs(spark, d).select("doc_id", F.explode(T.hashed_ngrams(words(), 5)).alias("g"))
+    hits = grams.join(long, "g").select("doc_id", "item_id").distinct()
+    found = hits.join(items.select("item_id", "item"), "item_id").join(docs(spark, d).select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
     short = items.where(F.size("w") <= 7).select("item_id", "item")
-    few = docs(spark, d).join(F.broadcast(short), F.contains("text", F.col("item"))).select("doc_id", "item_id") if short.take(1) else None
-    return (found.unionByName(few) if few is not None else found).distinct()
+    few = docs(spark, d).join(short, F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    return found.unionByName(few).distinct()
 
 
 _SPLITS = f"WITH s AS (SELECT doc_id, {KEY} AS k, {SPLIT} AS split FROM documents)"
@@ -171,7 +175,7 @@ _STRATA = """WITH r AS (SELECT doc_id, quality, count(*) OVER (PARTITION BY qual
 @query(f"{_STRATA} SELECT doc_id, quality, split FROM s")
 def stratified_split(spark, d):
     rows = table(spark, d, "labels").select("doc_id", "quality")
-    return S.stratified_split(rows, "quality", F.struct(S.hash_order("42", "doc_id"), "doc_id"))
+    return S.stratified_split(rows, "quality", "42", "doc_id")
 
 
 @query(f"""{_STRATA}, g AS (SELECT split, quality AS label, count(*) AS n FROM s GROUP BY 1, 2)
@@ -189,14 +193,7 @@ def hash_sample(spark, d):
 @query("SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('9|' || doc_id), doc_id) AS BIGINT) AS place FROM documents")
 def seeded_shuffle(spark, d):
     """Places of a global shuffle, counted within ranges of the order and then over the ranges."""
-    rows = docs(spark, d).select("doc_id", S.hash_order("9", "doc_id").alias("h"))
-    bucket = F.substring("h", 1, 3)
-    sizes = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    before = sizes.select("b", (F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))  # 4096 rows at most
-    own = rows.withColumn("b", bucket).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", "doc_id")))
-    return own.join(F.broadcast(before), "b").select("doc_id", (F.col("before") + F.col("r")).cast("long").alias("place"))
+    return S.places(docs(spark, d).select("doc_id"), [], "9", "doc_id").select("doc_id", (F.col("__i") + 1).cast("long").alias("place"))
 
 
 @query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 3")
@@ -228,10 +225,12 @@ def degenerate_text(spark, d):
     SELECT coalesce(r, CASE WHEN i > 1 THEN 'duplicate' WHEN bad THEN 'degenerate_text' ELSE 'kept' END) AS reason, count(*) AS n FROM c GROUP BY 1""")
 def drop_ledger(spark, d):
     """Rules in order; duplicates are counted over the rows that the rules before them left."""
-    keys = table(spark, d, "benchmark").select(T.question_key(F.col("text")).alias("k")).distinct().withColumn("leak", F.lit(True))
+    keys = table(spark, d, "benchmark").select(F.sha2(T.question_key(F.col("text")), 256).alias("k")).distinct().withColumn("leak", F.lit(True))
     n = T.token_count(F.col("text"))
-    rows = docs(spark, d).withColumn("k", T.question_key(F.col("text"))).join(keys, "k", "left")
-    rows = rows.select("doc_id", "k", Q.degenerate(F.col("text")).alias("bad"), Q.first_reason([("empty", n == 0), ("very_short", n < 5), ("eval_leak", F.col("leak"))]).alias("reason"))
+    # only a hash of the key moves; of rows that an earlier rule drops, n-grams aren't made
+    rows = docs(spark, d).select("doc_id", "text", n.alias("n"), F.sha2(T.question_key(F.col("text")), 256).alias("k")).join(keys, "k", "left")
+    rows = rows.withColumn("reason", Q.first_reason([("empty", F.col("n") == 0), ("very_short", F.col("n") < 5), ("eval_leak", F.col("leak"))]))
+    rows = rows.select("doc_id", "k", F.when(F.col("reason").isNull(), Q.degenerate(F.col("text"))).alias("bad"), "reason")
     first = rows.where("reason IS NULL").groupBy("k").agg(F.min("doc_id").alias("first"))
     rows = rows.join(first, "k", "left")
     late = Q.first_reason([("duplicate", F.col("doc_id") > F.col("first")), ("degenerate_text", F.col("bad"))])
@@ -248,21 +247,34 @@ def clean_whitelist(spark, d):
 DEMO_RULES = [("numeral", r"(?m)^(The|In|Un)( )", "1.$2"), ("list_word", r"(1\. )[a-z]+ ", "$1"), ("caption", r" ?\((?:c|C)\) ?", " ")]
 
 
-@query("""WITH a AS (SELECT coalesce(text, '') AS t0 FROM documents),
-    b AS (SELECT t0, regexp_replace(t0, '(?m)^(The|In|Un)( )', '1.\\2', 'g') AS t1 FROM a),
-    c AS (SELECT t0, t1, regexp_replace(t1, '(1\\. )[a-z]+ ', '\\1', 'g') AS t2 FROM b),
-    h AS (SELECT len(regexp_extract_all(t0, '(?m)^(The|In|Un)( )')) AS x, len(regexp_extract_all(t1, '(1\\. )[a-z]+ ')) AS y, len(regexp_extract_all(t2, ' ?\\((?:c|C)\\) ?')) AS z FROM c)
-    SELECT unnest(['numeral', 'list_word', 'caption']) AS rule, unnest([sum(x), sum(y), sum(z)])::BIGINT AS n_hits,
-           unnest([count(*) FILTER (x > 0), count(*) FILTER (y > 0), count(*) FILTER (z > 0)]) AS n_texts FROM h""")
+#: The same rules, in DuckDB's way of writing.
+_DEMO_SQL = [("numeral", "(?m)^(The|In|Un)( )", "1.\\2"), ("list_word", "(1\\. )[a-z]+ ", "\\1"), ("caption", " ?\\((?:c|C)\\) ?", " ")]
+_TIDY_SQL = [("tidy_spaces", "[ \\t]{2,}", " "), ("tidy_space_before_punct", " +([,.!?;:])", "\\1"), ("tidy_blank_lines", "\\n{3,}", "\n\n"), ("tidy_trailing_ws", "(?m)[ \\t]+$", "")]
+
+
+def _passes_sql() -> str:
+    """Four passes of the rules and one of the tidy rules, a step after the other."""
+    steps = [*_DEMO_SQL * 4, *_TIDY_SQL]
+    out = ["s0 AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"]
+    for k, (_, pattern, to) in enumerate(steps):
+        out.append(f"s{k + 1} AS (SELECT *, len(regexp_extract_all(t{k or ''}, '{pattern}')) AS n{k}, regexp_replace(t{k or ''}, '{pattern}', '{to}', 'g') AS t{k + 1} FROM s{k})")
+    names = list(dict.fromkeys(n for n, _, _ in steps))
+    total = {n: " + ".join(f"n{k}" for k, x in enumerate(steps) if x[0] == n) for n in names}
+    parts = [f"SELECT '{n}' AS rule, CAST(sum({c}) AS BIGINT) AS n_hits, count(*) FILTER ({c} > 0) AS n_texts FROM s{len(steps)}" for n, c in total.items()]
+    return f"WITH {', '.join(out)} {' UNION ALL '.join(parts)}"
+
+
+@query(_passes_sql())
 def artifact_hits(spark, d):
-    return Q.rule_hits(docs(spark, d), DEMO_RULES)
+    """Replacements until nothing changes, and those of the tidy rules behind them."""
+    return Q.rule_hits(docs(spark, d), DEMO_RULES, tidy=T.TIDY_RULES)
 
 
-@query()
+@query("SELECT unnest(['word_numeral_5', 'word_numeral_6', 'word_numeral_8', 'word_numeral_10', 'word_numeral_11', 'word_numeral_12', 'word_numeral_20', 'word_numeral_25', 'word_numeral_50', 'injected_list_word', 'caption', 'edit_link']) AS rule, CAST(0 AS BIGINT) AS n_hits, CAST(0 AS BIGINT) AS n_texts")
 def artifact_clean(spark, d):
     """The fixed rules to a fixpoint on all texts; what is left of each rule afterwards (nothing)."""
     rows = docs(spark, d).select("doc_id", T.clean_artifacts(T.empty_if_null(F.col("text"))).alias("text"))
-    return Q.rule_hits(rows, T.artifact_rules())
+    return Q.rule_hits(rows, T.artifact_rules(), passes=1)
 
 
 @query("""SELECT count(*) AS n_texts, count(*) FILTER (text <> b) AS n_changed, CAST(sum(length(text)) AS BIGINT) AS chars_before, CAST(sum(length(b)) AS BIGINT) AS chars_after

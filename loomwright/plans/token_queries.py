@@ -38,9 +38,9 @@ def token_counts(spark, d):
     return O.both(*counts(spark, d))
 
 
-@query(f"WITH {_AB} SELECT token, n_a / ta AS f FROM c, t WHERE n_a > 20")
+@query(f"WITH {_AB} SELECT token, n_a / ta AS f FROM c, t WHERE n_a > 0")
 def token_frequencies(spark, d):
-    return O.frequencies(counts(spark, d)[0]).where("n > 20").select("token", "f")
+    return O.frequencies(counts(spark, d)[0]).select("token", "f")
 
 
 @query(f"""WITH {_AB}, o AS (SELECT count(*) FILTER (n_b = 0) AS only_a, count(*) FILTER (n_a = 0) AS only_b, count(*) FILTER (n_a > 0 AND n_b > 0) AS shared, count(*) AS n_union FROM c)
@@ -146,16 +146,21 @@ def length_coverage(spark, d):
     return O.coverage(docs(spark, d), T.token_count(F.col("text")), [128, 512, 2048])
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id, source, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents),
+    b AS (SELECT source, i, doc_id, n, 0 AS batch, 1 AS k, n AS top FROM o WHERE i = 1
+      UNION ALL SELECT o.source, o.i, o.doc_id, o.n, CASE WHEN (b.k + 1) * b.top * b.top > 40000000 OR b.k >= 16 THEN b.batch + 1 ELSE b.batch END,
+        CASE WHEN (b.k + 1) * b.top * b.top > 40000000 OR b.k >= 16 THEN 1 ELSE b.k + 1 END, CASE WHEN (b.k + 1) * b.top * b.top > 40000000 OR b.k >= 16 THEN o.n ELSE b.top END
+      FROM b JOIN o ON o.source = b.source AND o.i = b.i + 1)
+    SELECT doc_id, source, n, CAST(batch AS BIGINT) AS batch FROM b""")
 def batch_budget(spark, d):
     """Batches of documents under a quadratic budget, within each source."""
     rows = docs(spark, d).select("doc_id", "source", F.col("n_chars").alias("n"))
     return O.budget_batches(rows, ["doc_id"], "n", 40_000_000, 16, "source")
 
 
-@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
+@query("SELECT doc_id, n_chars, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS BIGINT) AS place FROM documents")
 def longest_first(spark, d):
-    return docs(spark, d).orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "n_chars")
+    return O.longest_first(docs(spark, d).select("doc_id", "n_chars"), "n_chars", "doc_id")
 
 
 @query(f"""SELECT CASE WHEN n = 0 THEN '0' WHEN n < 64 THEN '1-63' WHEN n < 256 THEN '64-255' WHEN n < 1024 THEN '256-1023' ELSE '1024+' END AS bin, count(*) AS n FROM (SELECT len({WORDS}) AS n FROM documents) GROUP BY 1""")

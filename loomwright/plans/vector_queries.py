@@ -68,16 +68,16 @@ def hubness(spark, d):
     return V.hubness(V.neighbours(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 10))
 
 
-@query(f"""WITH {E_}, s AS (SELECT vec_id, side, v FROM e), x AS (SELECT vec_id, v FROM s WHERE side = 0 ORDER BY md5('m|' || vec_id) LIMIT 100), y AS (SELECT vec_id, v FROM s WHERE side = 1 ORDER BY md5('m|' || vec_id) LIMIT 100),
+@query(f"""WITH {E_}, s AS (SELECT vec_id, side, v FROM e), x AS (SELECT vec_id, v FROM s WHERE side = 0 ORDER BY md5('m|' || vec_id) LIMIT 10000), y AS (SELECT vec_id, v FROM s WHERE side = 1 ORDER BY md5('m|' || vec_id) LIMIT 10000),
     c AS (SELECT list_distance(x.v, y.v) ** 2 AS d FROM x, y), g AS (SELECT median(d) FILTER (d > 0) AS s FROM c),
     k AS (SELECT (SELECT avg(exp(-(list_distance(a.v, b.v) ** 2) / s)) FROM x a JOIN x b ON a.vec_id <> b.vec_id) AS xx, (SELECT avg(exp(-(list_distance(a.v, b.v) ** 2) / s)) FROM y a JOIN y b ON a.vec_id <> b.vec_id) AS yy, (SELECT avg(exp(-d / s)) FROM c) AS xy, s FROM g)
     SELECT round(sqrt(greatest(xx + yy - 2 * xy, 0)), 6) AS mmd, round(sqrt(s / 2), 6) AS sigma FROM k""")
 def mmd_rbf(spark, d):
-    """On samples of at most 100 vectors a side: a kernel matrix of bounded size."""
+    """On samples of at most 10,000 vectors a side: a kernel matrix of bounded size."""
     from loomwright.operators.splits import sample
 
     rows = emb(spark, d).select("vec_id", "side", "embedding")
-    return V.rbf_mmd(sample(rows.where("side = 0"), 100, "m", "vec_id"), sample(rows.where("side = 1"), 100, "m", "vec_id"), "embedding")
+    return V.rbf_mmd(sample(rows.where("side = 0"), V.MMD_VECTORS, "m", "vec_id"), sample(rows.where("side = 1"), V.MMD_VECTORS, "m", "vec_id"), "embedding")
 
 
 @query(f"""WITH {E_}, u AS (SELECT label, sqrt({DOT}(v, v)) AS n, v FROM e), x AS (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) / nullif(n, 0) AS x FROM u),
@@ -92,18 +92,63 @@ def kmeans_composition(spark, d):
     return V.composition(V.clusters(emb(spark, d), "embedding", 8), F.col("side") == 1)
 
 
+#: Two numbers of a vector: the means of its even and of its odd dimensions.
+_TWO = """t AS (SELECT vec_id, label % 2 AS side, list_avg(list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: i % 2 = 1)) AS x, list_avg(list_filter(CAST(embedding AS DOUBLE[]), lambda x, i: i % 2 = 0)) AS y FROM embeddings)"""
+
+
+def two(spark, d):
+    mean = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 2 == k), F.lit(0.0), lambda s, x: s + x.cast("double")) / 32
+    return emb(spark, d).select("vec_id", "side", F.array(mean(0), mean(1)).alias("v"))
+
+
+@query(f"""WITH {_TWO}, c AS (SELECT var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM t), e AS (SELECT unnest([0, 1]) AS component, (a + c) / 2 + unnest([1, -1]) * sqrt(((a - c) / 2) ** 2 + b * b) AS e FROM c),
+    p AS (SELECT component, e, e / sum(e) OVER () AS p, (sum(e) OVER ()) ** 2 / sum(e * e) OVER () AS r FROM e)
+    SELECT component, round(e, 9) AS eigenvalue, round(p, 9) AS share, round(exp(-sum(p * ln(p)) OVER ()), 9) AS effective_rank, round(r, 9) AS participation FROM p""")
+def spectrum_of_two(spark, d):
+    """Of two numbers a vector, where the eigenvalues have a closed form."""
+    rows = V.spectrum(two(spark, d), "v")
+    return rows.select("component", *[F.round(c, 9).alias(c) for c in ("eigenvalue", "share", "effective_rank", "participation")])
+
+
 @query()
 def spectrum(spark, d):
     return V.spectrum(table(spark, d, "embeddings"), "embedding")
 
 
+@query()
+def principal_coordinates(spark, d):
+    rows = V.projected(table(spark, d, "embeddings"), "embedding", 2)
+    return rows.select("vec_id", *[F.round(F.get("coordinates", F.lit(k)), 6).alias(f"pc{k + 1}") for k in (0, 1)])
+
+
 @query()
 def isotropy(spark, d):
     return V.isotropy(table(spark, d, "embeddings"), "embedding")
 
 
-@query()
+def _kl_sql(p: str, q: str) -> str:
+    """The divergence of the Gaussian of table p from that of q (columns m1, m2, a, b, c), ridge 1e-3, in closed form."""
+    P, Q = ({k: f"(SELECT {k} FROM {t})" for k in ("m1", "m2", "a", "b", "c")} for t in (p, q))
+    A, C, U, W = (f"({x} + 1e-3)" for x in (P["a"], P["c"], Q["a"], Q["c"]))
+    dp, dq = f"({A} * {C} - {P['b']} ** 2)", f"({U} * {W} - {Q['b']} ** 2)"
+    x, y = f"({Q['m1']} - {P['m1']})", f"({Q['m2']} - {P['m2']})"
+    trace = f"(({W} * {A} - 2 * {Q['b']} * {P['b']} + {U} * {C}) / {dq})"
+    gap = f"(({W} * {x} ** 2 - 2 * {Q['b']} * {x} * {y} + {U} * {y} ** 2) / {dq})"
+    return f"0.5 * (ln({dq}) - ln({dp}) - 2 + {trace} + {gap})"
+
+
+@query(f"""WITH {_TWO}, p AS (SELECT avg(x) AS m1, avg(y) AS m2, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM t WHERE side = 0), q AS (SELECT avg(x) AS m1, avg(y) AS m2, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM t WHERE side = 1),
+    m AS (SELECT (p.m1 + q.m1) / 2 AS m1, (p.m2 + q.m2) / 2 AS m2, (p.a + q.a) / 2 AS a, (p.b + q.b) / 2 AS b, (p.c + q.c) / 2 AS c FROM p, q)
+    SELECT round({_kl_sql('p', 'q')}, 9) AS kl, round(0.5 * ({_kl_sql('p', 'm')}) + 0.5 * ({_kl_sql('q', 'm')}), 9) AS js""")
 def gaussian_divergence(spark, d):
+    """Of two numbers a vector, where the divergence has a closed form."""
+    rows = two(spark, d)
+    (m0, c0), (m1, c1) = (V.mean_covariance(rows.where(F.col("side") == s), "v") for s in (0, 1))
+    return spark.createDataFrame([(V.gaussian_kl(m0, c0, m1, c1), V.gaussian_js(m0, c0, m1, c1))], "kl double, js double").select(F.round("kl", 9).alias("kl"), F.round("js", 9).alias("js"))
+
+
+@query()
+def embedding_divergence(spark, d):
     rows = emb(spark, d)
     (m0, c0), (m1, c1) = (V.mean_covariance(rows.where(F.col("side") == s), "embedding") for s in (0, 1))
     return spark.createDataFrame([(V.gaussian_kl(m0, c0, m1, c1), V.gaussian_js(m0, c0, m1, c1))], "kl double, js double")
@@ -112,15 +157,29 @@ def gaussian_divergence(spark, d):
 _COV = f"{E_}, x AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e)"
 
 
-@query(f"WITH {_COV} SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.i - 1 AS INT) AS j, round(covar_pop(a.x, b.x), 6) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.i <= 4 AND b.i <= 4 GROUP BY a.i, b.i")
+@query(f"WITH {_COV} SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.i - 1 AS INT) AS j, round(covar_pop(a.x, b.x), 6) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.i, b.i")
 def covariance(spark, d):
     _, c = V.mean_covariance(table(spark, d, "embeddings"), "embedding")
-    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(4) for j in range(4)], "i int, j int, c double").withColumn("c", F.round("c", 6))
+    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(len(c)) for j in range(len(c))], "i int, j int, c double").withColumn("c", F.round("c", 6))
+
 
+def _pairs_sql(name: str, a: int, b: int) -> str:
+    side = lambda s, x: f"SELECT draw, v AS {x} FROM (SELECT draw, h % (SELECT count(*) FROM r WHERE side = {s}) AS place FROM (SELECT draw, CAST(('0x' || substr(md5('p{x}|' || draw), 1, 8)) AS BIGINT) AS h FROM (SELECT unnest(range(5000)) AS draw))) JOIN r USING (place) WHERE side = {s}"
+    return f"SELECT '{name}' AS pair, count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std FROM (SELECT {cos_sql('x', 'y')} AS c FROM ({side(a, 'x')}) JOIN ({side(b, 'y')}) USING (draw))"
 
-@query(f"WITH {E_}, s AS (SELECT vec_id, v, md5('p|' || vec_id) AS h FROM e ORDER BY h, vec_id LIMIT 201), p AS (SELECT v, lead(v) OVER (ORDER BY h, vec_id) AS o FROM s), c AS (SELECT {cos_sql('v', 'o')} AS c FROM p WHERE o IS NOT NULL) SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS std FROM c")
+
+@query(f"WITH {E_}, r AS (SELECT side, v, row_number() OVER (PARTITION BY side ORDER BY vec_id) - 1 AS place FROM e) {' UNION ALL '.join(_pairs_sql(*x) for x in (('AA', 0, 0), ('BB', 1, 1), ('AB', 0, 1)))}")
 def sampled_cosines(spark, d):
-    return V.sampled_cosines(table(spark, d, "embeddings"), "vec_id", "embedding", 200)
+    """5,000 drawn pairs each within A, within B and across."""
+    rows = emb(spark, d)
+    a, b = rows.where("side = 0"), rows.where("side = 1")
+    out = [V.sampled_cosines(x, y, "vec_id", "embedding", 5000).select(F.lit(n).alias("pair"), "n", "mean", "std") for n, x, y in (("AA", a, a), ("BB", b, b), ("AB", a, b))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"WITH {E_}, n AS (SELECT vec_id, sqrt({DOT}(v, v)) AS n FROM e), z AS (SELECT vec_id, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS z FROM n) SELECT vec_id, round(z, 6) AS z FROM z WHERE abs(z) > 1 ORDER BY abs(z) DESC, vec_id LIMIT 8")
+def norm_outliers_top8(spark, d):
+    return V.outliers(table(spark, d, "embeddings").select("vec_id", "embedding"), R.norm(F.col("embedding")), 1.0, most=8).select("vec_id", F.round("z", 6).alias("z"))
 
 
 @query(f"WITH {E_}, n AS (SELECT vec_id, sqrt({DOT}(v, v)) AS n FROM e), z AS (SELECT vec_id, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS z FROM n) SELECT vec_id, round(z, 6) AS z FROM z WHERE abs(z) > 2")
@@ -141,6 +200,13 @@ def token_drift(spark, d):
     return V.drift(rows, other, "vec_id", "embedding").agg(F.round(F.avg("cosine"), 6).alias("mean"), F.round(F.avg((F.col("cosine") < 0.9).cast("int")), 6).alias("moved"))
 
 
+@query(f"""WITH {E_}, w AS (SELECT vec_id, v, list_transform(v, lambda x, i: CASE WHEN (vec_id + i) % 3 = 0 THEN -x ELSE x END) AS o FROM e) SELECT vec_id, round({cos_sql('v', 'o')}, 6) AS cosine FROM w ORDER BY 2, 1 LIMIT 8""")
+def most_moved(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    other = rows.withColumn("embedding", F.transform("embedding", lambda x, i: F.when((F.col("vec_id") + i + 1) % 3 == 0, -x).otherwise(x)))
+    return V.most_moved(V.drift(rows, other, "vec_id", "embedding").withColumn("cosine", F.round("cosine", 6)), "vec_id")
+
+
 @query(f"WITH {_CENTROID.replace('side', 'one').replace('label % 2 AS one', '1 AS one')} SELECT round(avg({cos_sql('v', 'c')}), 6) AS mean_cosine FROM e, c")
 def cosine_to_mean(spark, d):
     return V.to_centroid(table(spark, d, "embeddings").withColumn("one", F.lit(1)), "embedding", ["one"]).agg(F.round(F.avg(1 - F.col("distance")), 6).alias("mean_cosine"))
@@ -186,6 +252,12 @@ def matrix_ranks(spark, d):
     return M.ranks(M.singular_values(matrix(spark, d), ["layer"]), ["layer"])
 
 
+@query()
+def head_signatures(spark, d):
+    signatures = M.standardise(M.head_signatures(M.singular_values(matrix(spark, d), ["layer"]), ["layer"]), "signature", ["layer"])
+    return signatures.select("layer", F.posexplode("signature").alias("i", "z")).withColumn("z", F.round("z", 6))
+
+
 @query("""WITH x AS (SELECT l_linenumber % 3 AS layer, l_extendedprice AS v FROM lineitem WHERE l_extendedprice > 0), s AS (SELECT log10(v) AS l, unnest(['global', CASE WHEN layer = 0 THEN 'attn' ELSE 'mlp' END, 'layer ' || layer]) AS scope FROM x), b AS (SELECT scope, CAST(CASE WHEN l = 6 THEN 39 ELSE floor((l - 2) / 0.1) END AS INT) AS bin, count(*) AS n FROM s WHERE l BETWEEN 2 AND 6 GROUP BY 1, 2)
     SELECT scope, bin, n, round(sum(n) OVER (PARTITION BY scope ORDER BY bin) / sum(n) OVER (PARTITION BY scope), 6) AS cdf FROM b""")
 def log_histogram_cdf(spark, d):
@@ -210,6 +282,11 @@ def quantile_masks(spark, d):
     return M.quantile_masks(table(spark, d, "lineitem"), ["l_linenumber"], "l_extendedprice", 0.2)
 
 
+@query("""WITH t AS (SELECT l_linenumber, quantile_cont(l_extendedprice, 0.2) AS t FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, l_extendedprice <= t AS masked FROM lineitem JOIN t USING (l_linenumber)""")
+def quantile_mask(spark, d):
+    return M.quantile_mask(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_linenumber"], "l_extendedprice", 0.2).select("l_orderkey", "l_linenumber", "masked")
+
+
 @query("""WITH x AS (SELECT label AS layer, vec_id, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), y AS (SELECT *, x * (1 + (j % 5) * 0.01) AS y FROM x)
     SELECT layer, round(sqrt(greatest(sum(x * x) + sum(y * y) - 2 * sum(x * y), 0) / sum(x * x)), 6) AS relative_delta, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) AS cosine FROM y GROUP BY layer""")
 def matrix_drift(spark, d):
@@ -220,7 +297,7 @@ def matrix_drift(spark, d):
 @query("""WITH o AS (SELECT l_suppkey AS k, l_partkey AS n, sum(l_extendedprice) AS x FROM lineitem GROUP BY 1, 2), r AS (SELECT k, n, x, sum(x) OVER (PARTITION BY k ORDER BY x DESC, n) / sum(x) OVER (PARTITION BY k) AS s FROM o) SELECT k, count(*) AS n_for_half FROM r WHERE s <= 0.5 GROUP BY k""")
 def importance_cumulative(spark, d):
     rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("n")).agg(F.sum("l_extendedprice").alias("x"))
-    return M.cumulative_share(rows, ["k"], "x", [F.desc("x"), "n"]).where("share_upto <= 0.5").groupBy("k").agg(F.count("*").alias("n_for_half"))
+    return M.cumulative_share(rows, ["k"], "x", "n").where("share_upto <= 0.5").groupBy("k").agg(F.count("*").alias("n_for_half"))
 
 
 @query("""WITH o AS (SELECT l_linenumber AS k, l_orderkey AS o, round(sum(l_extendedprice), 2) AS x FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY x DESC, o) AS r, count(*) OVER (PARTITION BY k) AS n FROM o) SELECT k, round(sum(x) FILTER (r <= ceil(n * 0.1)) / sum(x), 6) AS top_share FROM r GROUP BY k""")
@@ -257,10 +334,24 @@ def attention_received(spark, d):
     return M.received_attention(attention(spark, d), types)
 
 
-@query(f"""WITH {_ATT}, g AS (SELECT head, q, coalesce(sum(p) FILTER (k = 0), 0) AS s, sum(p * (q - k)) AS d FROM a WHERE q >= 1 GROUP BY 1, 2), m AS (SELECT head, round(avg(s), 6) AS sink, round(avg(d), 6) AS distance FROM g GROUP BY head),
-    p AS (SELECT quantile_cont(distance, 0.33) AS lo, quantile_cont(distance, 0.9) AS hi FROM m) SELECT head, distance < lo AS is_local, distance > hi AS is_global, sink > 0.5 AS is_sink, head % 4 = 1 AS is_induction FROM m, p""")
+_INDUCTION = "i AS (SELECT head, round(coalesce(sum(p) FILTER (q >= 8 AND k = q % 8 + 1), 0) / 8, 6) AS induction FROM a GROUP BY head)"
+
+
+def induction(spark, d):
+    """Sixteen positions whose second half repeats the first."""
+    tokens = spark.range(16).select(F.col("id").alias("pos"), (F.col("id") % 8 * 7 + 3).alias("token"))
+    return M.induction_scores(attention(spark, d), tokens, ["head"], 8)
+
+
+@query(f"WITH {_ATT}, {_INDUCTION} SELECT head, induction FROM i")
+def induction_scores(spark, d):
+    return induction(spark, d)
+
+
+@query(f"""WITH {_ATT}, {_INDUCTION}, g AS (SELECT head, q, coalesce(sum(p) FILTER (k = 0), 0) AS s, sum(p * (q - k)) AS d FROM a WHERE q >= 1 GROUP BY 1, 2), m AS (SELECT head, round(avg(s), 6) AS sink, round(avg(d), 6) AS distance FROM g GROUP BY head),
+    p AS (SELECT quantile_cont(distance, 0.33) AS lo, quantile_cont(distance, 0.9) AS hi FROM m) SELECT head, distance < lo AS is_local, distance > hi AS is_global, sink > 0.5 AS is_sink, induction > 0.2 AS is_induction FROM m JOIN i USING (head), p""")
 def head_classes(spark, d):
-    m = M.attention_metrics(attention(spark, d), ["head"]).withColumn("one", F.lit(1)).withColumn("induction", F.when(F.col("head") % 4 == 1, 0.3).otherwise(0.1))
+    m = M.attention_metrics(attention(spark, d), ["head"]).join(induction(spark, d), "head").withColumn("one", F.lit(1))
     return M.classify_heads(m, ["one"]).select("head", "is_local", "is_global", "is_sink", "is_induction")
 
 
@@ -285,11 +376,25 @@ def layer_activity(spark, d):
     return M.layer_activity(neurons(spark, d), ["layer"])
 
 
-@query(f"WITH {_NEURON} SELECT layer, neuron, round(mean_abs * (neuron + 1), 6) AS importance FROM n")
+_COLUMNS = "w AS (SELECT label AS layer, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS neuron, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), k AS (SELECT layer, neuron, sqrt(sum(x * x)) AS norm, sum(abs(x)) AS l1 FROM w GROUP BY 1, 2)"
+
+
+@query(f"WITH {_COLUMNS} SELECT layer, neuron, round(norm, 6) AS norm, round(l1, 6) AS l1 FROM k")
+def column_norms(spark, d):
+    return M.column_norms(matrix(spark, d), ["layer"]).select("layer", "neuron", F.round("norm", 6).alias("norm"), F.round("l1", 6).alias("l1"))
+
+
+@query(f"WITH {_NEURON}, {_COLUMNS} SELECT layer, neuron, round(mean_abs * norm, 6) AS importance FROM n JOIN k USING (layer, neuron)")
 def neuron_importance(spark, d):
-    n = neurons(spark, d)
-    columns = n.select("layer", "neuron", (F.col("neuron") + 1).cast("double").alias("norm"))
-    return M.importance(n, columns, ["layer", "neuron"]).select("layer", "neuron", F.round("importance", 6).alias("importance"))
+    """Lineitem's activity, with the output columns of the layer's matrix."""
+    columns = M.column_norms(matrix(spark, d), ["layer"])
+    return M.importance(neurons(spark, d), columns, ["layer", "neuron"]).select("layer", "neuron", F.round("importance", 6).alias("importance"))
+
+
+@query(f"WITH {_COLUMNS}, s AS (SELECT l_linenumber AS layer, l_suppkey % 20 AS neuron, l_partkey % 5 AS sample, avg(abs(l_quantity - 25)) AS a FROM lineitem GROUP BY 1, 2, 3), i AS (SELECT layer, neuron, avg(a) AS m FROM s GROUP BY 1, 2) SELECT layer, neuron, round(l1 * m, 6) AS importance FROM i JOIN k USING (layer, neuron)")
+def column_importance(spark, d):
+    inputs = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("layer"), (F.col("l_suppkey") % 20).alias("neuron"), (F.col("l_partkey") % 5).alias("sample")).agg(F.avg(F.abs(F.col("l_quantity") - 25)).alias("mean_abs"))
+    return M.column_importance(inputs, M.column_norms(matrix(spark, d), ["layer"]), ["layer", "neuron"]).withColumn("importance", F.round("importance", 6))
 
 
 @query(f"WITH {_NEURON}, c AS (SELECT layer, neuron, unnest([0, 1]) AS concept, mean_abs FROM n), x AS (SELECT layer, concept, CASE WHEN concept = 0 THEN mean_abs * 3 ELSE mean_abs * (1 + neuron % 7) END - mean_abs AS d FROM c), t AS (SELECT layer, concept, d > avg(d) OVER w + 2 * stddev_pop(d) OVER w AS hit FROM x WINDOW w AS (PARTITION BY layer, concept)) SELECT layer, concept, count(*) FILTER (hit) AS n_selective FROM t GROUP BY 1, 2")
@@ -305,36 +410,41 @@ def parameter_budget(spark, d):
     return M.parameter_budget(li.select(F.col("l_returnflag").alias("part"), F.col("l_quantity").cast("long").alias("rows"), F.col("l_linenumber").alias("cols"), F.lit(2).alias("copies")))
 
 
-@query()
+@query("""WITH w AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    m AS (SELECT label, vec_id, CASE WHEN label = 3 AND vec_id % 4 = 0 THEN 0.5 ELSE x END + CASE WHEN label < 8 THEN 2.0 * ((vec_id % 2) * (i % 3) + (i + 1) % 3) ELSE 0 END AS y FROM w)
+    SELECT CAST(label AS VARCHAR) AS name, vec_id AS row, round(sum(y), 6) AS total, round(sum(y * y), 6) AS square FROM m GROUP BY 1, 2""")
 def low_rank_merge(spark, d):
-    """Layers' matrices with factors of rank 2, and how far the merge is from the closed form."""
+    """Layers' matrices; those below 8 have factors of rank 2, and some rows of layer 3 were trained whole."""
     m = matrix(spark, d).select(F.col("layer").cast("string").alias("name"), "row", F.col("vals").cast("array<double>").alias("vals"))
+    some = m.where(F.col("name").cast("int") < 8)
     n = F.sequence(F.lit(1), F.lit(64))
-    a = m.select("name").distinct().select("name", F.explode(F.array(F.lit(0), F.lit(1))).alias("row")).withColumn("vals", F.transform(n, lambda i: ((i + F.col("row")) % 3).cast("double")))
-    b = m.select("name", "row", F.array((F.col("row") % 2).cast("double"), F.lit(1.0)).alias("vals"))
-    merged = M.low_rank_merge(m, a, b, alpha=4.0)
-    expected = m.withColumn("vals", F.transform("vals", lambda x, i: x + 2.0 * ((F.col("row") % 2) * ((i + 1) % 3) + (i + 2) % 3)))
-    return M.merge_check(m, merged, expected, ["name", "row"], 1e-6)
+    a = some.select("name").distinct().select("name", F.explode(F.array(F.lit(0), F.lit(1))).alias("row")).withColumn("vals", F.transform(n, lambda i: ((i + F.col("row")) % 3).cast("double")))
+    b = some.select("name", "row", F.array((F.col("row") % 2).cast("double"), F.lit(1.0)).alias("vals"))
+    whole = m.where("name = '3' AND row % 4 = 0").select("name", "row", F.array_repeat(F.lit(0.5), 64).alias("vals"))
+    merged = M.low_rank_merge(m, a, b, alpha=4.0, overrides=whole)
+    total = lambda f: F.round(F.aggregate("vals", F.lit(0.0), lambda s, x: s + f(x)), 6)
+    return merged.select("name", "row", total(lambda x: x).alias("total"), total(lambda x: x * x).alias("square"))
 
 
-@query("SELECT name FROM (SELECT 'x' AS name)")
+@query("SELECT DISTINCT n_name AS name FROM nation WHERE n_regionkey <> 1")
 def unused_factors(spark, d):
-    w = matrix(spark, d).select(F.col("layer").cast("string").alias("name"))
-    return M.unused(w.unionByName(spark.createDataFrame([("x",)], "name string")), w)
+    """Factors named after nations, weights after those of one region."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name"), "n_regionkey")
+    return M.unused(n.select("name"), n.where("n_regionkey = 1").select("name"))
 
 
-@query("""WITH m AS (SELECT label AS layer, vec_id AS r, embedding FROM embeddings WHERE vec_id < 64), x AS (SELECT layer, r AS i, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM m), t AS (SELECT a.layer, sum(a.x * b.x) AS t FROM x a JOIN x b ON a.layer = b.layer AND a.i = b.j AND a.j = b.i GROUP BY 1), n AS (SELECT layer, sum(x * x) AS n FROM x GROUP BY 1)
-    SELECT layer, round(t / n, 6) AS copying FROM t JOIN n USING (layer)""")
+@query("""WITH m AS (SELECT label AS layer, vec_id // 64 AS part, vec_id % 64 AS r, embedding FROM embeddings), x AS (SELECT layer, part, r AS i, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM m), t AS (SELECT a.layer, a.part, sum(a.x * b.x) AS t FROM x a JOIN x b ON a.layer = b.layer AND a.part = b.part AND a.i = b.j AND a.j = b.i GROUP BY 1, 2), n AS (SELECT layer, part, sum(x * x) AS n FROM x GROUP BY 1, 2)
+    SELECT layer, part, round(t / n, 6) AS copying FROM t JOIN n USING (layer, part)""")
 def copying_score(spark, d):
-    m = matrix(spark, d).where("row < 64").withColumn("vals", F.col("vals").cast("array<double>"))
-    return M.copying_score(m, m, ["layer"])
+    """Each layer's rows as square matrices of 64 rows; rows of other layers count as zero."""
+    m = matrix(spark, d).select("layer", F.floor(F.col("row") / 64).alias("part"), (F.col("row") % 64).alias("row"), F.col("vals").cast("array<double>").alias("vals"))
+    return M.copying_score(m, m, ["layer", "part"])
 
 
-@query("""WITH x AS (SELECT l_linenumber AS layer, l_returnflag AS proj, l_extendedprice AS v FROM lineitem), g AS (SELECT layer, proj, round(avg(v), 6) AS m FROM x GROUP BY 1, 2) SELECT layer, max(m) FILTER (proj = 'A') AS "A", max(m) FILTER (proj = 'N') AS "N", max(m) FILTER (proj = 'R') AS "R", arg_max(proj, (m, proj)) AS largest FROM g GROUP BY layer""")
+@query("""WITH x AS (SELECT l_linenumber AS layer, l_returnflag AS proj, l_extendedprice AS v FROM lineitem), g AS (SELECT layer, proj, round(avg(v), 6) AS m FROM x GROUP BY 1, 2) SELECT layer, max(m) FILTER (proj = 'A') AS "A", max(m) FILTER (proj = 'N') AS "N", max(m) FILTER (proj = 'R') AS "R", arg_max(proj, (m, proj)) AS largest, arg_min(proj, (m, proj)) AS smallest FROM g GROUP BY layer""")
 def layer_projection_pivot(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("layer"), F.col("l_returnflag").alias("proj")).agg(F.round(F.avg("l_extendedprice"), 6).alias("m"))
-    wide = g.groupBy("layer").pivot("proj", ["A", "N", "R"]).agg(F.max("m"))
-    return wide.join(g.groupBy("layer").agg(F.max_by("proj", F.struct("m", "proj")).alias("largest")), "layer")
+    return M.projection_pivot(g, "layer", "proj", "m", ["A", "N", "R"])
 
 
 @query("SELECT CAST(ceil(max(l_quantity) / 20) * 20 AS BIGINT) AS axis FROM lineitem")
