@@ -23,7 +23,7 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import ship, utf8, written
@@ -178,9 +178,10 @@ def near_duplicates(df: DataFrame, shingle: int = 4, budget: int = 4, id_column:
     rows = written(fingerprints(df, shingle, id_column, text_column), "fingerprints")
     groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
     found = components(linked(groups.select("fp"), budget)).withColumnRenamed("node", "fp")
-    classes = groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = classes.join(smallest, "component").select("fp", "component_id")
+    classes = written(groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "classes")
+    # tables of their own: Spark can split the joins where a component or fingerprint is frequent
+    smallest = written(classes.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    of_fp = written(classes.join(smallest, "component").select("fp", "component_id"), "of_fp")
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -234,20 +235,26 @@ def node_of(own: np.ndarray) -> int:
     return int(np.uint64(digest(own.tobytes())).astype(np.int64))
 
 
+def row_key(df: DataFrame, id_column: str, text_column: str) -> list[Column]:
+    """What orders rows: no id (1) or one, the id, a hash of the text, and one of all columns."""
+    return [F.col(f"`{id_column}`").isNull().cast("int").alias("no_id"), F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.xxhash64(utf8(f"`{text_column}`")).alias("r"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("w")]
+
+
 def prints(df: DataFrame, shingle: int, n_prints: int, bits: int, id_column: str, text_column: str) -> DataFrame:
-    """doc_id, node (of the text's shingles) and prints (array<long>) of each row."""
+    """The row's key, node (of the text's shingles) and prints (array<long>) of each row."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, own = [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(4).to_pylist():
                 s = shingle_set(t, shingle)
                 node.append(node_of(s))
                 own.append(long_prints(s, n_prints, bits))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": pa.array(node, pa.int64()), "prints": pa.array(own, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(node, pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["no_id", "doc_id", "r", "w", "node", "prints"])
 
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text")).mapInArrow(run, "doc_id long, node long, prints array<long>")
+    rows = df.select(*row_key(df, id_column, text_column), utf8(f"`{text_column}`").alias("text"))
+    return rows.mapInArrow(run, "no_id int, doc_id long, r long, w long, node long, prints array<long>")
 
 
 def shingle_sets(df: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
@@ -267,7 +274,7 @@ def shingle_sets(df: DataFrame, shingle: int, id_column: str, text_column: str)
             if own:
                 yield out(own)
 
-    return df.select(utf8(text_column).alias("text")).mapInArrow(run, "node long, s array<long>")
+    return df.select(utf8(f"`{text_column}`").alias("text")).mapInArrow(run, "node long, s array<long>")
 
 
 def forest_pairs(label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], test: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -478,18 +485,10 @@ def bits_apart(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5, n_prints: int = 32, bits: int = 40, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and component_id of near duplicates by similarity.  One fingerprint of 64 bits and a few
-    differing bits finds only very close texts; at a similarity of 0.8 some 15 % of the bits differ.  So there
-    are many short fingerprints, and texts are candidates if any of them lies within the budget (of large sets
-    at 0.8, 98.7 % with the parameters given, more above; of sets of a few shingles fewer).  Candidates that
-    differ in few enough bits form clusters, a bound that is looser than the similarity; in these the sets of
-    distinct shingles are compared, and nodes are linked if their Jaccard similarity is that high.
-
-    A quarter of the fingerprints goes first.  The others look for links between the components found by then
-    alone, so a large family of near copies is gone over once and not for every fingerprint."""
+def similar_rows(df: DataFrame, similarity: float, shingle: int, n_prints: int, bits: int, budget: int, id_column: str, text_column: str) -> DataFrame:
+    """The key (no_id, doc_id, r, w) of each row and its component (a number)."""
     rows = written(prints(df, shingle, n_prints, bits, id_column, text_column), "prints")
-    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("prints").alias("prints")), "nodes")
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("no_id", "doc_id", "r")).alias("first"), F.first("prints").alias("prints")), "nodes")
     total, p = n_prints * bits, max(LOOSE, bits_apart(similarity))
     most = total * p + 3.5 * (total * p * (1 - p)) ** 0.5
     classes, links = nodes.withColumn("component", F.col("node")), None
@@ -500,19 +499,38 @@ def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5,
         found = components(links).withColumnRenamed("node", "n")
         classes = written(nodes.join(found, nodes["node"] == F.col("n"), "left").select("node", "first", "prints", F.coalesce("component", "node").alias("component")), "classes")
     members = written(classes.join(found.select(F.col("n").alias("node"), F.col("component").alias("cluster")), "node").select("cluster", "node", "first", "prints"), "members")
-    wanted = members.select("first").distinct()
-    some = df.join(wanted, df[id_column].cast("long").eqNullSafe(wanted["first"]), "left_semi")
+    wanted = members.select(F.col("first.doc_id").alias("wd"), F.col("first.r").alias("wr")).distinct()
+    some = df.join(wanted, F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col("wd")) & (F.xxhash64(utf8(f"`{text_column}`")) == F.col("wr")), "left_semi")
     sets = shingle_sets(some, shingle, id_column, text_column).groupBy("node").agg(F.first("s").alias("s"))
     exact = components(exact_links(members.join(sets, "node"), similarity, most)).withColumnRenamed("node", "n")
-    classes = written(nodes.join(exact, nodes["node"] == F.col("n"), "left").select("node", "first", F.coalesce("component", "node").alias("component")), "classes")
-    smallest = written(classes.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")  # so that the join can be split
-    of_node = written(classes.join(smallest, "component").select("node", "component_id"), "of_node")
-    return rows.select("doc_id", "node").join(of_node, "node").select("doc_id", "component_id")
+    of_node = written(nodes.join(exact, nodes["node"] == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("component")), "of_node")
+    return written(rows.select("no_id", "doc_id", "r", "w", "node").join(of_node, "node").select("no_id", "doc_id", "r", "w", "component"), "rows")
+
+
+def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5, n_prints: int = 32, bits: int = 40, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id and component_id (the smallest id) of near duplicates by similarity.  One fingerprint of 64 bits
+    and a few differing bits finds only very close texts; at a similarity of 0.8 some 15 % of the bits differ.
+    So there are many short fingerprints, and texts are candidates if any of them lies within the budget (of
+    large sets at 0.8, 98.7 % with the parameters given, more above; of sets of a few shingles fewer).
+    Candidates that differ in few enough bits form clusters, a bound that is looser than the similarity; in
+    these the sets of distinct shingles are compared, and nodes are linked if their Jaccard similarity is that
+    high.
+
+    A quarter of the fingerprints goes first.  The others look for links between the components found by then
+    alone, so a large family of near copies is gone over once and not for every fingerprint."""
+    rows = similar_rows(df, similarity, shingle, n_prints, bits, budget, id_column, text_column)
+    smallest = written(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")  # so that the join can be split
+    return rows.join(smallest, "component").select("doc_id", "component_id")
 
 
 def keep_first(df: DataFrame, similarity: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of the smallest id of each component of similar documents.  Of rows that repeat an id and
-    text one stays; rows without an id can't be told apart and all stay."""
-    first = similar_documents(df, similarity, shingle, id_column=id_column, text_column=text_column).where("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    kept = df.where(F.col(id_column).isNotNull()).join(first, id_column, "left_semi").dropDuplicates([id_column, text_column])
-    return kept.unionByName(df.where(F.col(id_column).isNull()))
+    """One row of each component of similar documents: the one of the smallest id; of rows with equal ids, and
+    of rows without one, which come last, the one of the smallest hash of text and columns; of rows that are
+    equal in all columns any one.  All columns stay as they are."""
+    rows = similar_rows(df, similarity, shingle, 32, 40, 3, id_column, text_column)
+    own = ("no_id", "doc_id", "r", "w")
+    first = rows.groupBy("component").agg(F.min(F.struct(*own)).alias("k")).select(*[F.col(f"k.{c}").alias(f"f{i}") for i, c in enumerate(own)])
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names that nothing here uses otherwise
+    named = df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *row_key(df, id_column, text_column))
+    kept = named.join(written(first, "first"), F.col("doc_id").eqNullSafe(F.col("f1")) & (F.col("r") == F.col("f2")) & (F.col("w") == F.col("f3")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "r", "w"]).select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -213,6 +213,55 @@ def test_similar_documents(spark, docs, none, clashing):
     assert simhash.keep_first(none).count() == 0 and simhash.keep_first(clashing).count() == len(left)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Equal ids with different texts, rows without ids, and rows that differ in another column only."""
+    rng = random.Random(7)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (2, a, "z"), (3, b, "y"), (None, a, "n"), (None, c, "n"), (None, c, "n"), (None, c, "m"), (None, a + " more", "n")]
+    got = sorted((r.doc_id or 0, r.text, r.source) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert [x[:2] for x in got] == sorted([(0, c), (1, a), (1, b)]) and {x[2] for x in got if x[0]} == {"x", "y"} and got[0][2] in "nm"
+
+
+def family(rng, n, words=300, spans=2, size=14):
+    """Texts around one base, each with a few runs of words of its own."""
+    base, out = [f"w{rng.randrange(10**6)}" for _ in range(words)], []
+    for k in range(n):
+        w = list(base)
+        for _ in range(spans):
+            at = rng.randrange(words - size)
+            w[at : at + size] = [f"e{rng.randrange(10**9)}" for _ in range(size)]
+        out.append((k, " ".join(w)))
+    return out
+
+
+def test_no_promised_link_is_lost_in_a_dense_family(spark):
+    """Against all pairs: two texts that are similar, of which a print lies within the budget and whose bits pass
+    the test, end in one component, however many unlike candidates stand beside them."""
+    rows = family(random.Random(16), 2400)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    label = np.array([got[k] for k, _ in rows])
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(rows), len(names)), bool)
+    has[np.repeat(np.arange(len(rows)), list(map(len, sets))), flat] = True
+    packed, size = np.packbits(has, axis=1), np.array(list(map(len, sets)))
+    bits = np.stack([simhash.long_prints(s, 32, 40).view(np.uint64) for s in sets])
+    p = max(simhash.LOOSE, simhash.bits_apart(0.8))
+    most = 1280 * p + 3.5 * (1280 * p * (1 - p)) ** 0.5
+    found, n = [], 0
+    for k in range(len(rows) - 1):
+        both = np.bitwise_count(packed[k + 1 :] & packed[k]).sum(1, dtype=np.int64)
+        like = np.flatnonzero(both >= 0.8 * (size[k + 1 :] + size[k] - both) - 1e-6) + k + 1
+        apart = np.bitwise_count(bits[like] ^ bits[k])
+        promised = like[(apart.min(1, initial=64) <= 3) & (apart.sum(1, dtype=np.int64) <= most)]
+        assert (label[promised] == label[k]).all()
+        n += len(promised)
+        found += [(k, x) for x in like.tolist() if label[x] == label[k]]
+    assert n > 1000
+    assert roots(len(rows), found) == label.tolist()  # and nothing unlike comes together
+
+
 def test_candidates_are_tested_before_links_are_left_out(spark):
     """One print of all texts is equal.  1 is a candidate of 2 and 3, but only 2 and 3 are alike."""
     rng = random.Random(6)
