@@ -71,8 +71,8 @@ def test_exact_tells_texts_of_one_digest_apart(spark, docs):
 # ---- lines
 
 
-def brute_lines(rows, window=2):
-    """Rows in order of id; a unit goes if a window of units over it occurs earlier."""
+def brute_lines(rows, window=2, alone=None):
+    """Rows in order of id; a unit goes if a window of units over it occurs earlier, or it alone if it is long."""
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda r: r[0]):
         units, lead = [], []
@@ -89,6 +89,11 @@ def brute_lines(rows, window=2):
             if key in seen:
                 gone |= set(range(i, i + window))
             seen.add(key)
+        for i, u in enumerate(units):
+            if alone and len(u[0].split()) >= alone:
+                if u[0].strip(BLANK) in seen:
+                    gone.add(i)
+                seen.add(u[0].strip(BLANK))
         kept = ["\n".join(u) for i, u in enumerate(units) if i not in gone]
         out[d] = ("\n".join((["\n".join(lead)] if lead else []) + kept), len(units), len(gone))
     return out
@@ -115,6 +120,14 @@ def test_lines_random(spark, window):
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got.collect()} == brute_lines(rows, window)
 
 
+@pytest.mark.parametrize("window", [2, 3])
+def test_long_lines_alone(spark, window):
+    rng = random.Random(window)
+    rows = [(k, "\n".join(rng.choice(["a", "b ", " c d e", "", "f g h i ", "j k l", f"own {k}"]) for _ in range(rng.randrange(12)))) for k in range(120)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), window=window, alone=3)
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got.collect()} == brute_lines(rows, window, 3)
+
+
 def test_lines_run_no_python(spark, docs):
     plan = lines.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
