@@ -63,6 +63,21 @@ def perplexity_windows(n: Column, size: int, stride: int) -> Column:
     return F.transform(steps, lambda i: F.struct(F.greatest(i * stride + stride - size, F.lit(0)).alias("begin"), F.least(i * stride + stride, n).alias("end")))
 
 
+def continuation(context: Column, whole: Column, alone: Column, most: int) -> Column:
+    """struct(ids, start): the ids of a context and what follows it, and where that begins.  whole: the ids of
+    both as one text; where they don't begin with those of the context, or nothing follows, the ids of the
+    rest alone are put behind it.  Of more than `most` ids the last ones stay; start is 1 at least, as each
+    id is scored by those before it."""
+    n = F.size(context)
+    ids = F.when((F.size(whole) > n) & (F.slice(whole, 1, n) == context), whole).otherwise(F.concat(context, alone))
+
+    def cut(x: Column) -> Column:
+        gone = F.greatest(F.size(x) - most, F.lit(0))
+        return F.struct(F.slice(x, gone + 1, most).alias("ids"), F.greatest(n - gone, F.lit(1)).alias("start"))
+
+    return let(ids, cut)
+
+
 def argmax(xs: Column) -> Column:
     return F.array_position(xs, F.array_max(xs)) - 1
 

@@ -227,7 +227,7 @@ def option_text(choices: Column, index: Column) -> Column:
 
 
 def route(model: Column) -> Column:
-    """The prompt format that a model's name calls for."""
+    """The prompt format that a model's name calls for.  Fixed values: the parts of names and the formats."""
     name = F.lower(model)
     return F.when(F.contains(name, F.lit("bactrian")), "alpaca").when(F.contains(name, F.lit("chat")) | F.contains(name, F.lit("uc")), "chat").otherwise("raw")
 

@@ -60,7 +60,8 @@ def prepare(messages: Column, clean) -> Column:
 
 @dataclass(frozen=True)
 class Template:
-    """How a dialogue becomes text."""
+    """How a dialogue becomes text.  Fixed values: the names and defaults of these settings, which files of
+    settings use."""
 
     user_prefix: str = "### User:\n"
     assistant_prefix: str = "### Assistant:\n"
@@ -77,6 +78,26 @@ class Template:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return Template(**settings)
 
+    def chat_template(self) -> str:
+        """The rendering of `render` as a Jinja template, for a tokenizer's configuration: messages go in, and
+        add_generation_prompt, which is taken as false where it isn't defined."""
+        say = lambda *parts: "{{ " + " + ".join(parts) + " }}"
+        text = lambda s: json.dumps(s, ensure_ascii=False)
+        content = "message['content']"
+        roles = [
+            ("if message['role'] == 'assistant'", [text(self.assistant_prefix), content, text(self.eos)]),
+            ("elif loop.first and message['role'] == 'system'", [text(self.system_prefix), content]),
+            ("else", [text(self.user_prefix), content]),
+        ]
+        out = [say(text(self.bos))] if self.bos else []
+        if self.system_prompt:
+            out += ["{% if messages[0]['role'] != 'system' %}", say(text(self.system_prefix + self.system_prompt + self.turn_separator)), "{% endif %}"]
+        out += ["{% for message in messages %}", "{% if not loop.first %}", say(text(self.turn_separator)), "{% endif %}"]
+        for test, parts in roles:
+            out += ["{% " + test + " %}", say(*parts)]
+        out += ["{% endif %}", "{% endfor %}", "{% if add_generation_prompt %}", say(text(self.turn_separator + self.assistant_prefix)), "{% endif %}"]
+        return "".join(out)
+
     def fingerprint(self) -> str:
         return hashlib.sha1(json.dumps(asdict(self), sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:10]
 

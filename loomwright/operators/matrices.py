@@ -45,14 +45,15 @@ def order_values(df: DataFrame, keys: list[str], x: Column, at: dict[str, Callab
     """keys, n and, for each name, the element of the sorted values at the place (from 0) that its function
     gives for n.  Places come from counts of equal values, range by range: of the values only those of the
     ranges that hold a place are sorted."""
-    counts = df.select(*keys, x.alias("v")).where("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("__c"))
-    rows, sizes = in_ranges(counts, keys, "v")
-    places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f(F.col("__n")).cast("long").alias("at")) for name, f in at.items()])).alias("x")
-    wanted = sizes.select(*keys, "__p", "__s", "__before", F.col("__n").alias("n"), places).select(*keys, "__p", "__s", "n", "x.name", (F.col("x.at") - F.col("__before")).alias("rest")).where("rest >= 0 AND rest < __s").drop("__s")
-    hit = rows.alias("l").join(wanted.alias("r"), _same("l", "r", [*keys, "__p"])).select("l.*", "r.n", "r.name", "r.rest")
-    up = Window.partitionBy(*keys, "__p", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = hit.withColumn("__u", F.sum("__c").over(up)).where("__u > rest AND __u - __c <= rest")
-    return hit.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in at])
+    counts = df.select(*keys, x.alias("__v")).where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    rows, sizes = in_ranges(counts, keys, "__v")
+    places = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f(F.col("__n")).cast("long").alias("at")) for name, f in at.items()])).alias("__w")
+    wanted = sizes.select(*keys, "__p", "__s", "__before", "__n", places).withColumn("__rest", F.col("__w.at") - F.col("__before"))
+    wanted = wanted.where("__rest >= 0 AND __rest < __s").select(*keys, "__p", "__n", F.col("__w.name").alias("__name"), "__rest")
+    hit = rows.alias("l").join(wanted.alias("r"), _same("l", "r", [*keys, "__p"])).select("l.*", "r.__n", "r.__name", "r.__rest")
+    up = Window.partitionBy(*keys, "__p", "__name").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = hit.withColumn("__u", F.sum("__c").over(up)).where("__u > __rest AND __u - __c <= __rest")
+    return hit.groupBy(*keys).agg(F.max("__n").alias("n"), *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in at])
 
 
 def quantiles(df: DataFrame, keys: list[str], x: Column, shares: dict[str, float]) -> DataFrame:
@@ -141,11 +142,12 @@ def head_signatures(sv: DataFrame, keys: list[str], k: int = 16) -> DataFrame:
 
 def standardise(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
     """keys and vector: each dimension less its mean, over its deviation (population; 0 counts as 1)."""
-    cells = df.select(*keys, F.posexplode(vector).alias("i", "x"))
-    d = F.stddev_pop("x")
-    stats = cells.groupBy("i").agg(F.avg("x").alias("m"), F.when(d > 0, d).otherwise(1.0).alias("d"))
-    rows = cells.join(stats, "i").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", ((F.col("x") - F.col("m")) / F.col("d")).alias("z")))).alias("x"))
-    return rows.select(*keys, F.transform("x", lambda e: e["z"]).alias(vector))
+    cells = df.select(*keys, F.posexplode(vector).alias("__i", "__x"))
+    d = F.stddev_pop("__x")
+    stats = cells.groupBy("__i").agg(F.avg("__x").alias("__m"), F.when(d > 0, d).otherwise(1.0).alias("__d"))
+    z = F.struct("__i", ((F.col("__x") - F.col("__m")) / F.col("__d")).alias("z"))
+    rows = cells.join(stats, "__i").groupBy(*keys).agg(F.array_sort(F.collect_list(z)).alias("__z"))
+    return rows.select(*keys, F.transform("__z", lambda e: e["z"]).alias(vector))
 
 
 def log_histogram(df: DataFrame, x: str, scopes: list[Column], low: float, high: float, bins: int) -> DataFrame:

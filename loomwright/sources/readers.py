@@ -139,6 +139,18 @@ def scrape(spark: SparkSession, path: str | list[str], patterns: dict[str, str])
     return rows.select(F.col("_metadata.file_path").alias("file"), *[F.nullif(F.regexp_extract("value", p, 1), F.lit("")).try_cast("double").alias(n) for n, p in patterns.items()])
 
 
+def tensor_shards(spark: SparkSession, folder: str, names: str = r".*", index: str = "*.index.json", single: str = "model.safetensors") -> DataFrame:
+    """name and shard of the tensors whose names match, from the folder's index (its weight_map); a folder
+    without one has a single file, which is the shard of one row with a null name: all that it holds."""
+    try:
+        path = expand(spark, f"{folder}/{index}")[0]
+    except FileNotFoundError:
+        return spark.createDataFrame([(None, expand(spark, f"{folder}/{single}")[0])], "name string, shard string")
+    rows = spark.read.schema("weight_map map<string,string>").option("multiLine", True).json(path)
+    rows = rows.select(F.explode("weight_map").alias("name", "file")).where(F.col("name").rlike(names))
+    return rows.select("name", F.concat(F.lit(folder.rstrip("/") + "/"), "file").alias("shard"))
+
+
 def read_tensors(spark: SparkSession, rows: DataFrame, load) -> DataFrame:
     """rows: name, shard.  load(shard, names) yields (name, row, values); a task reads its own shards, each
     once.  For formats of weights that Spark doesn't know."""

@@ -101,6 +101,93 @@ def test_degenerate(spark):
     assert one(spark, loops + fine, Q.degenerate) == [True] * 2 + [False] * 4
 
 
+def test_casefold(spark):
+    """Python's full case folding, of every character that the rule knows and of words."""
+    words = ["ΟΔΟΣ", "οδος", "Straße", "ﬁn ﬂ ﬃ", "ſee", "ẞ", "İstanbul", "ŉ", "ΐ ΰ", "ꭰ Ꭰ", "plain", "", "ﬓ և", "ᾳ ᾲ ᾷ", "µ ϐ ϑ ẛ"]
+    letters = [c for c in map(chr, range(0x20, 0x1E944)) if not 0xD800 <= ord(c) < 0xE000 and c.casefold() != c.lower()]
+    assert len(letters) > 150
+    values = words + letters
+    got = one(spark, values, T.casefold)
+    assert got == [v.casefold() for v in values]
+
+
+def plain_hits(texts, rules, tidy, passes=4):
+    hits, n_texts = {n: 0 for n, _, _ in rules + tidy}, {n: 0 for n, _, _ in rules + tidy}
+    for t in texts:
+        own = {n: 0 for n in hits}
+        for _ in range(passes):
+            before = dict(own)
+            for n, pattern, to in rules:
+                t, k = re.subn(pattern, to.replace("$", "\\"), t)
+                own[n] += k
+            if own == before:
+                break
+        for n, pattern, to in tidy:
+            t, k = re.subn(pattern, to.replace("$", "\\"), t)
+            own[n] += k
+        for n, k in own.items():
+            hits[n] += k
+            n_texts[n] += k > 0
+    return {n: (hits[n], n_texts[n]) for n in hits}
+
+
+def test_rule_hits_count_every_pass(spark):
+    rules = [("word", r"(\d\. )(?:aa|bb) ", "$1"), ("mark", r"\(x\)", " ")]
+    tidy = [("spaces", r"[ \t]{2,}", " "), ("before", r" +([,.])", "$1")]
+    texts = ["1. aa bb aa bb aa rest", "1. aa x (x) , y", "nothing", "", "2. bb z  3. aa aa y (x)(x) ."]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    got = {r.rule: (r.n_hits, r.n_texts) for r in Q.rule_hits(df, rules, tidy=tidy).collect()}
+    assert got == plain_hits([*texts, ""], rules, tidy) and got["word"][0] == 9 - 1
+
+
+def test_hashed_ngrams(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abc"), n)) for n in (0, 1, 4, 5, 6, 20, 60)]
+    grams = [len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for t in texts for w in [t.split()]]
+    assert one(spark, texts, lambda c: F.size(F.array_distinct(T.hashed_ngrams(T.tokens(c), 5)))) == grams
+    most = [max([w.count(x) for x in w] or [0]) for t in texts for w in [t.split()]]
+    for k in (1, 2, 5, 12):
+        assert one(spark, texts, lambda c: T.occurs(T.tokens(c), k)) == [m >= k for m in most]
+
+
+def test_continuation(spark):
+    rows = [([1, 2], [1, 2, 3, 4], [9]), ([1, 2], [1, 7, 3], [3]), ([1, 2], [1, 2], [5]), ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [6]), ([1, 2, 3], [1, 2, 3, 4, 5, 6, 7, 8], [0])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, c array<int>, w array<int>, a array<int>")
+    got = [tuple(r[0]) for r in df.orderBy("i").select(R.continuation(F.col("c"), F.col("w"), F.col("a"), 4)).collect()]
+    assert got == [([1, 2, 3, 4], 2), ([1, 2, 3], 2), ([1, 2, 5], 2), ([3, 4, 5, 6], 3), ([5, 6, 7, 8], 1)]
+
+
+def play(template, messages, **names):
+    """A Jinja template of if, elif, else, for and plain expressions, as Python code."""
+    code, depth = ["def f(messages, add_generation_prompt=False):", " out = []"], 1
+    for part in re.findall(r"\{%.*?%\}|\{\{.*?\}\}", template, re.S):
+        body = part[2:-2].strip()
+        if part[1] == "{":
+            code.append(" " * depth + f"out.append({body})")
+        elif body.startswith("end"):
+            depth -= 1
+        elif body.startswith("for"):
+            code.append(" " * depth + "for at, message in enumerate(messages):")
+            depth += 1
+        else:
+            depth -= body.startswith("el")
+            code.append(" " * depth + body.replace("loop.first", "(at == 0)") + ":")
+            depth += 1
+    scope = {}
+    exec("\n".join([*code, " return ''.join(out)"]), scope)
+    return scope["f"](messages, **names)
+
+
+@pytest.mark.parametrize("settings_", [{}, {"bos": "<s>", "system_prompt": "Be \"kind\".\n"}, {"user_prefix": "U: ", "eos": "</s>", "turn_separator": "\n"}])
+def test_chat_template_is_the_rendering(spark, settings_):
+    t = D.Template.of(settings_)
+    chats = [[("system", "S"), ("user", "a {b}"), ("assistant", "c")], [("user", "x\ny"), ("assistant", "z"), ("user", "w")], [("user", "u"), ("system", "late")]]
+    df = spark.createDataFrame([(i, [(c, r) for r, c in m]) for i, m in enumerate(chats)], "i long, m array<struct<content:string,role:string>>")
+    for generation in (False, True):
+        got = [r[0] for r in df.orderBy("i").select(D.render(F.col("m"), t, generation)["text"]).collect()]
+        assert got == [play(t.chat_template(), [{"role": r, "content": c} for r, c in m], add_generation_prompt=generation) for m in chats]
+
+
 def test_positions_of_percentiles(spark):
     df = spark.createDataFrame([(x,) for x in (1, 2, 3, 4)], "x long")
     r = Q.length_stats(df, {"x": F.col("x")}).first()
@@ -111,7 +198,7 @@ def test_positions_of_percentiles(spark):
 @pytest.mark.parametrize("n,sizes", [(1, [1, 0, 0]), (2, [1, 1, 0]), (3, [1, 1, 1]), (5, [3, 1, 1]), (25, [21, 2, 2]), (100, [80, 10, 10])])
 def test_split_sizes(spark, n, sizes):
     df = spark.createDataFrame([(i, 0) for i in range(n)], "i long, label int")
-    got = {r["split"]: r["count"] for r in S.stratified_split(df, "label", F.col("i")).groupBy("split").count().collect()}
+    got = {r["split"]: r["count"] for r in S.stratified_split(df, "label", "x", "i").groupBy("split").count().collect()}
     assert [got.get(s, 0) for s in ("train", "val", "test")] == sizes
 
 
@@ -331,6 +418,81 @@ def test_matrices(spark):
     assert h == {0: 2, 1: 2}
 
 
+def test_smaller_side_and_factors(spark):
+    """Wide matrices through their rows; signatures, statistics with the spectral norm, weights trained whole."""
+    rng = np.random.default_rng(7)
+    a = {"wide": rng.normal(size=(5, 40)), "tall": rng.normal(size=(40, 5)), "square": rng.normal(size=(9, 9))}
+    df = spark.createDataFrame([(m, i, [float(v) for v in r]) for m, x in a.items() for i, r in enumerate(x)], "m string, row long, vals array<double>").repartition(4)
+    sv = M.singular_values(df, ["m"], block=7)
+    for m, x in a.items():
+        assert [r.value for r in sv.where(F.col("m") == m).orderBy("k").collect()] == pytest.approx(list(np.linalg.svd(x, compute_uv=False)), abs=1e-6)
+    raw = {m: np.concatenate([np.pad(np.linalg.svd(x, compute_uv=False)[:6], (0, max(0, 6 - min(x.shape)))), [np.linalg.norm(x)]]) for m, x in a.items()}
+    z = np.stack([raw[m] for m in a])
+    d = z.std(0)
+    got = {r.m: r.signature for r in M.standardise(M.head_signatures(sv, ["m"], 6), "signature", ["m"]).collect()}
+    for k, m in enumerate(a):
+        assert got[m] == pytest.approx(list((z[k] - z.mean(0)) / np.where(d > 0, d, 1)), abs=1e-5)
+    for r in M.statistics(df, ["m"], row="row").collect():
+        x = a[r.m]
+        assert (r.n, r.spectral, r.median, r.p1, r.p99) == pytest.approx((x.size, np.linalg.norm(x, 2), np.median(x), np.percentile(x, 1), np.percentile(x, 99)), abs=1e-5)
+    table = lambda name, x: spark.createDataFrame([(name, i, [float(v) for v in r]) for i, r in enumerate(x)], "name string, row long, vals array<double>")
+    w, o, fa, fb = (rng.normal(size=s) for s in ((5, 4), (5, 4), (2, 4), (5, 2)))
+    both = M.low_rank_merge(table("w", w).unionByName(table("v", w)), table("w", fa), table("w", fb), 8.0, overrides=table("w", o).unionByName(table("v", o)))
+    got = {n: np.array([r.vals for r in both.where(F.col("name") == n).orderBy("row").collect()]) for n in "wv"}
+    assert np.allclose(got["w"], o + 4 * fb @ fa) and np.allclose(got["v"], o)
+    assert [r.name for r in M.unused(table("x", o).select("name"), table("w", w).select("name")).collect()] == ["x"]
+
+
+def test_quantiles_and_shares(spark):
+    """Order statistics, running and top shares against numpy, with null keys, ties and far-off values."""
+    rng = np.random.default_rng(8)
+    rows = [(int(k), i, float(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 3, 400), np.round(rng.lognormal(2, 2, 400), 1)))]
+    rows = [(k or None, i, v) for k, i, v in rows] + [(9, 1000, 5.0), (8, 1001, 2.0), (8, 1002, 2.0)]
+    df = spark.createDataFrame(rows, "k int, i long, v double").repartition(3)
+    by = {k: np.array([v for kk, _, v in rows if kk == k]) for k in {r[0] for r in rows}}
+    for r in M.quantiles(df, ["k"], F.col("v"), {"a": 0.0, "b": 0.33, "c": 0.5, "d": 0.99, "e": 1.0}).collect():
+        assert [r.a, r.b, r.c, r.d, r.e] == pytest.approx(list(np.quantile(by[r.k], [0, 0.33, 0.5, 0.99, 1.0])), abs=1e-6)
+    for r in M.top_share(df, ["k"], "v", "i").collect():
+        x = np.sort(by[r.k])[::-1]
+        assert r.top_share == pytest.approx(x[: math.ceil(len(x) * 0.1)].sum() / x.sum(), abs=1e-6)
+    got = M.cumulative_share(df, ["k"], "v", "i").collect()
+    for k, x in by.items():
+        own = sorted((r for r in got if r.k == k), key=lambda r: (-r.v, r.i))
+        assert [r.share_upto for r in own] == pytest.approx(list(np.cumsum(np.sort(x)[::-1]) / x.sum()), abs=1e-9)
+    masked = M.quantile_mask(df, ["k"], "v", 0.25).collect()
+    assert all(r.masked == (r.v <= np.quantile(by[r.k], 0.25) + 1e-12) for r in masked) and len(masked) == len(rows)
+
+
+def test_divergence_of_singular_covariances():
+    """A determinant that isn't positive: the logarithms of the singular values and the ridge."""
+    c0, c1, m = np.diag([1.0, 2.0]), np.diag([1.0, -0.5]), np.zeros(2)
+    s0, s1 = c0 + 1e-3 * np.eye(2), c1 + 1e-3 * np.eye(2)
+    logs = [np.log(np.abs(np.diag(s)) + 1e-3).sum() for s in (s0, s1)]
+    assert V.gaussian_kl(m, c0, m, c1) == pytest.approx(0.5 * (logs[1] - logs[0] - 2 + np.trace(np.linalg.inv(s1) @ s0)))
+    assert V.gaussian_kl(m, c0, m, c0 * 2) == pytest.approx(0.5 * (np.linalg.slogdet(c0 * 2 + 1e-3 * np.eye(2))[1] - np.linalg.slogdet(s0)[1] - 2 + np.trace(np.linalg.inv(c0 * 2 + 1e-3 * np.eye(2)) @ s0)))
+
+
+def test_samples_and_projections(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 3)) * [3, 1, 0.1]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "k long, v array<double>").repartition(3)
+    assert [r.place for r in V.numbered(df, "k", bounds=5).orderBy("k").collect()] == list(range(80))
+    far = x - x.mean(0)
+    u = np.linalg.svd(far, full_matrices=False)[2][:2]
+    u = u * np.sign(u[np.arange(2), np.abs(u).argmax(1)])[:, None]
+    got = np.array([r.coordinates for r in V.projected(df, "v").orderBy("k").collect()])
+    assert np.allclose(got, far @ u[:2].T, atol=1e-6)
+    a, b = df.where("k < 30"), df.where("k >= 30")
+    r = V.rbf_mmd(a, b, "v", block=16).first()
+    d = lambda p, q: ((p[:, None] - q[None]) ** 2).sum(-1)
+    s = np.median(d(x[:30], x[30:]))
+    mean = lambda p: np.exp(-d(p, p) / s)[~np.eye(len(p), dtype=bool)].mean()
+    assert r.sigma == pytest.approx((s / 2) ** 0.5, abs=1e-5) and r.mmd == pytest.approx(max(mean(x[:30]) + mean(x[30:]) - 2 * np.exp(-d(x[:30], x[30:]) / s).mean(), 0) ** 0.5, abs=1e-5)
+    with pytest.raises(ValueError):
+        V.rbf_mmd(a, b, "v", most=20)
+    assert [r.k for r in V.most_moved(spark.createDataFrame([(1, 0.5), (2, -0.5), (3, 0.5)], "k long, cosine double"), "k", 2).collect()] == [2, 1]
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=40), st.sampled_from([0.1, 0.5, 0.99]))
 def test_kth_threshold(spark, xs, ratio):
@@ -362,6 +524,35 @@ def test_readers(spark, tmp_path):
     assert sorted(r.name for r in got) == ["w1", "w2", "w3"]
 
 
+def test_tensor_index(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "model.safetensors.index.json").write_text('{"metadata": {"total_size": 1},\n "weight_map": {"x.weight": "model-1.safetensors", "y.weight": "model-2.safetensors", "z.bias": "model-2.safetensors"}}', encoding="utf-8")
+    got = readers.tensor_shards(spark, str(tmp_path / "a"), r"\.weight$").collect()
+    assert sorted(map(tuple, got)) == [("x.weight", f"{tmp_path}/a/model-1.safetensors"), ("y.weight", f"{tmp_path}/a/model-2.safetensors")]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "model.safetensors").write_bytes(b"x")
+    row = readers.tensor_shards(spark, str(tmp_path / "b")).first()
+    assert row.name is None and row.shard.endswith("/b/model.safetensors")
+    with pytest.raises(FileNotFoundError):
+        readers.tensor_shards(spark, str(tmp_path))
+
+
+def test_reports_are_whole_or_an_error(spark):
+    for write in (sinks.markdown, sinks.latex, sinks.plain):
+        assert write(spark.range(10_000)).count("\n") >= 10_000
+        with pytest.raises(ValueError):
+            write(spark.range(10_001))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from loomwright.session import local_folder
+
+    assert local_folder("local[4]") != local_folder("local")
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            local_folder(master)
+
+
 def test_sinks(spark):
     df = spark.createDataFrame([("a_b", 1.234), ("c", None)], "name string, x double")
     assert sinks.markdown(df) == "| name | x |\n|---|---|\n| a_b | 1.23 |\n| c |  |\n"
