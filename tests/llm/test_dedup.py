@@ -275,6 +275,39 @@ def test_no_promised_link_is_lost_in_a_dense_family(spark):
     assert roots(len(rows), found) == label.tolist()  # and nothing unlike comes together
 
 
+def exact_similarity(a, b):
+    a, b = (set(simhash.shingle_set(t.encode(), 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def recall_of_pairs(spark, words, pairs, families, size, seed):
+    """Of pairs with a similarity between 0.80 and 0.85: the share that ends in one component, alone in the corpus
+    and within families of texts whose others are less alike."""
+    rng = random.Random(seed)
+    rows, alone, inside = [], [], []
+
+    def pair(base):
+        while True:
+            a, b = (" ".join(edited(rng, base, n)) for n in (0, rng.randrange(max(1, words // 80), words // 30 + 2)))
+            if 0.8 <= exact_similarity(a, b) < 0.85:
+                rows.extend([(len(rows), a), (len(rows) + 1, b)])
+                return len(rows) - 2, len(rows) - 1
+
+    for _ in range(pairs):
+        alone.append(pair([f"w{rng.randrange(10**6)}" for _ in range(words)]))
+    for _ in range(families):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(size):
+            inside.append(pair(edited(rng, base, words // 8)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return [sum(got[a] == got[b] for a, b in own) / len(own) for own in (alone, inside)]
+
+
+def test_recall_of_similar_documents(spark):
+    alone, inside = recall_of_pairs(spark, 300, 150, 10, 15, 21)
+    assert alone >= 0.95 and inside >= 0.95
+
+
 def test_candidates_are_tested_before_links_are_left_out(spark):
     """One print of all texts is equal.  1 is a candidate of 2 and 3, but only 2 and 3 are alike."""
     rng = random.Random(6)
