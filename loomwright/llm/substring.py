@@ -51,7 +51,7 @@ from loomwright.llm.simhash import forest_pairs
 SHINGLE, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.995, 4
 MIN_WORDS, REACH = 20, 4
 #: Words that are handled at once; paragraphs of a block; shared shingles that are counted at once.
-BATCH_WORDS, BLOCK, COUNTED = 200_000, 512, 1 << 21
+BATCH_WORDS, BLOCK, COUNTED = 200_000, 256, 1 << 21
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # any odd number
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
