@@ -7,10 +7,12 @@ another any more), and wherever u may be read, m may be read too and leads where
 follow a token depends on the token alone, so a state is named by a row of the table `allowed` and an
 arc by a column; both are then merged where equal.
 
-A prefix of a word has one sequence that the automaton accepts.  Encoding goes through a word once
-and keeps, for each position, the state and the last token: a token that ends here is right if the
-state at its first symbol has an arc for it.  All steps are table look-ups, for many words at once.
-Decoding emits the labels of the arcs.
+A prefix of a word has one sequence that the automaton accepts.  Encoding goes along a word and keeps, for
+each position, the state and the last token.  A trie gives the tokens that begin at each position which
+has a state, so a symbol is looked at once for each token that it may lie in; of those that end at a
+position one is right, that for which the state at its first symbol has an arc.  All steps are table
+look-ups, for many words at once.  Decoding emits the labels of the arcs, a space between them, as the
+library does for a file without a decoder; a file that has one is refused.
 
 Texts are split by the pattern of the vocabulary file; plain chunks by the same pattern here, all
 others (rare scripts, marks, control characters, strings of special tokens) by the library's own
@@ -155,6 +157,8 @@ def compile_automaton(path: str) -> Automaton:
     """The automaton of a vocabulary file with merges and word ends."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if spec.get("decoder"):
+        raise ValueError(f"{path}: a decoder of type {spec['decoder'].get('type')}: labels are joined by spaces only")
     model = spec["model"]
     vocab, end = model["vocab"], model["end_of_word_suffix"]
     symbols = byte_symbols()

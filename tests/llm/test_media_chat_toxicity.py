@@ -194,6 +194,39 @@ def test_ordinary_frames(interval, sampling):
         assert np.abs(jpeg.samples(f, got[0][None])[0, 0].astype(int) - pixels).max() <= 1
 
 
+def test_features_against_a_plain_decoder(spark):
+    """Frames decoded bit by bit and transformed cell by cell: histograms, shots, and the query's feature."""
+    rng = random.Random(4)
+    texts = [b"", b"plain words " * 40, bytes(rng.randrange(32, 127) for _ in range(9000)) + b"a" * 7000 + "é日本".encode() * 1500, b"x" * 20000]
+    flat = np.zeros((64, 64))  # cosine transform: place in the zigzag order to pixel
+    for k, place in enumerate(jpeg.ZIGZAG):
+        v, u = divmod(int(place), 8)
+        for p in range(64):
+            y, x = divmod(p, 8)
+            c = (math.sqrt(0.5) if u == 0 else 1) * (math.sqrt(0.5) if v == 0 else 1) / 4
+            flat[k, p] = c * math.cos((2 * x + 1) * u * math.pi / 16) * math.cos((2 * y + 1) * v * math.pi / 16)
+    rows = spark.createDataFrame([(k, avi.store(t)) for k, t in enumerate(texts)], "doc_id long, media binary")
+    got = {r.doc_id: r.feature for r in avi.digests(rows).collect()}
+    for k, t in enumerate(texts):
+        h = []
+        for frame in avi.parse_avi(avi.store(t))["frames"]:
+            f = jpeg.parse(frame)
+            blocks = scalar_decode(frame)[0] * np.array(f.quantisation[f.components[0][3]])
+            pixels = np.clip(np.rint(blocks @ flat + 128), 0, 255).astype(int)
+            h.append([((pixels >= 16 * b) & (pixels < 16 * b + 16)).mean() for b in range(16)])
+        h = np.array(h)
+        change = [sum(abs(x - y) for x, y in zip(a, b)) / 2 for a, b in zip(h, h[1:])]
+        mean = sum(change) / len(change) if change else 0
+        limit = max(0.1, mean + 1.5 * (sum((c - mean) ** 2 for c in change) / len(change)) ** 0.5) if change else 1
+        cuts = [0, *(i + 1 for i, c in enumerate(change) if c > limit), len(h)]
+        frames, shots, millionths = got[k].split(";")
+        assert frames == f"{len(h)} frames" and shots == ",".join(f"{a}-{b}" for a, b in zip(cuts, cuts[1:]))
+        assert abs(int(millionths) - mean * 1e6) <= 2000  # a pixel on the edge of a bin may fall to either side
+        (_, _, own), = avi.decode_clips([avi.store(t)])
+        assert np.abs(own - h).max() < 0.01
+    assert got[2].count("-") > 1
+
+
 def test_shots_and_clips(spark):
     """A change of the picture is a cut; files without an index are walked; others give nothing."""
     dark, light = b"\x00" * 3072, bytes(range(200, 248)) * 64

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomwright.llm import bpe, encode, packing, planes, tokens
@@ -153,7 +154,7 @@ def test_pack_takes_cheapest():
     assert len(cost) == 16 and len(set(cost.values())) == 1
 
 
-def test_token_files(spark, docs, none, library):
+def test_token_files(spark, docs, none, clashing, library):
     rows = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).repartition(3)
     got = {r.doc_id: r for r in planes.stored_tokens(rows, PATH).collect()}
     at = 0
@@ -163,6 +164,22 @@ def test_token_files(spark, docs, none, library):
         at += len(own)
     assert planes.stored_tokens(docs, PATH).count() == docs.count()
     assert planes.stored_tokens(none, PATH).count() == 0
+    ordered = lambda df: sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in planes.stored_tokens(df, PATH).collect())
+    named = clashing.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    for c in ("ids", "n_tokens", "file", "part", "position", "offset", "d", "payload"):
+        named = named.withColumn(c, F.lit("x"))
+    assert ordered(named) == sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got.values())
+
+
+def test_files_with_a_decoder_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["decoder"] = {"type": "ByteLevel"}
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="ByteLevel"):
+        bpe.compile_automaton(str(tmp_path / "t.json"))
 
 
 @pytest.mark.parametrize("bits", [False, True])
