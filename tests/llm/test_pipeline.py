@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against plain versions on a small corpus."""
 
+import os
 import random
 import shutil
 import subprocess
@@ -124,6 +125,10 @@ def test_library_stands_without_this_part(tmp_path):
     shutil.copytree(TOP, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and not any(k.startswith('op1_') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={"PATH": "/usr/bin:/bin"}, timeout=120)
+    tests = ["tests/test_semantics.py", "tests/test_plans.py::test_entry", *(f"tests/test_plans.py::test_query[{q}]" for q in ("token_counts", "kept_table", "matrix_stats"))]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *tests], cwd=tmp_path / "repo", env=env, timeout=900, capture_output=True, text=True)
+    assert done.returncode == 0, done.stdout[-3000:]
 
 
 def test_no_import_of_this_part_elsewhere():
