@@ -426,6 +426,17 @@ def low_rank_merge(spark, d):
     return merged.select("name", "row", total(lambda x: x).alias("total"), total(lambda x: x * x).alias("square"))
 
 
+@query("""WITH x AS (SELECT label AS layer, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), y AS (SELECT *, x + 0.25 * (j % 3) AS y, x + 0.25 * (j % 3) + CASE WHEN layer = 2 THEN 0.5 ELSE 0 END AS z FROM x),
+    r AS (SELECT layer, round(sqrt(greatest(sum(x * x) + sum(y * y) - 2 * sum(x * y), 0) / sum(x * x)), 6) AS changed, round(sqrt(greatest(sum(z * z) + sum(y * y) - 2 * sum(z * y), 0) / sum(z * z)), 5) AS residual FROM y GROUP BY layer)
+    SELECT layer, changed, residual, residual <= 0.01 AS ok FROM r""")
+def merge_check(spark, d):
+    """A merge that one layer's expected matrix doesn't agree with."""
+    m = matrix(spark, d).withColumn("vals", F.col("vals").cast("array<double>"))
+    merged = m.withColumn("vals", F.transform("vals", lambda x, i: x + 0.25 * ((i + 1) % 3)))
+    expected = merged.withColumn("vals", F.transform("vals", lambda x: x + F.when(F.col("layer") == 2, 0.5).otherwise(0.0)))
+    return M.merge_check(m, merged, expected, ["layer", "row"]).select("layer", "changed", F.round("residual", 5).alias("residual"), "ok")
+
+
 @query("SELECT DISTINCT n_name AS name FROM nation WHERE n_regionkey <> 1")
 def unused_factors(spark, d):
     """Factors named after nations, weights after those of one region."""
