@@ -115,6 +115,11 @@ def confusion(df: DataFrame, gold: str, pred: str, labels: list) -> DataFrame:
     return rows.withColumn("accuracy", F.round(F.coalesce(F.try_divide(own, total), F.lit(0.0)), 6))
 
 
+def unknown_examples(df: DataFrame, pred: str, labels: list, order: str, k: int = 5) -> DataFrame:
+    """The first k rows, in the order, whose prediction is no label."""
+    return df.where(~F.coalesce(F.col(pred).isin(labels), F.lit(False))).orderBy(order).limit(k)
+
+
 def perplexity(df: DataFrame, keys: list[str], loss: str, weight: str, cap: float = 700.0) -> DataFrame:
     """exp of the weighted mean loss; infinite beyond the cap."""
     mean = F.sum(F.col(loss) * F.col(weight)) / F.sum(weight)

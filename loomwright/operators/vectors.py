@@ -83,6 +83,21 @@ def hubness(near: DataFrame) -> DataFrame:
     return near.groupBy("key").agg(F.count("*").alias("n"))
 
 
+def hub_histogram(hubs: DataFrame) -> DataFrame:
+    """n (how often a row is among another's nearest) and how many rows that holds for."""
+    return hubs.groupBy("n").agg(F.count("*").alias("n_rows"))
+
+
+def top_hubs(hubs: DataFrame, k: int = 10) -> DataFrame:
+    return hubs.orderBy(F.desc("n"), "key").limit(k)
+
+
+def most_similar_pair(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", cosine: str = "cosine") -> DataFrame:
+    """The pair of the largest cosine within the keys; of ties the first."""
+    best = F.max_by(F.struct(x, y, cosine), F.struct(F.col(cosine), -F.col(x), -F.col(y))).alias("p")
+    return pairs.groupBy(*keys).agg(best).select(*keys, f"p.{x}", f"p.{y}", f"p.{cosine}")
+
+
 #: Vectors a side that a kernel matrix is made of at most.
 MMD_VECTORS = 10_000
 

@@ -237,6 +237,14 @@ def drop_ledger(spark, d):
     return Q.ledger(rows.withColumn("reason", F.coalesce("reason", late)))
 
 
+@query(f"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS collapsed, md5({KEY}) AS dedup_key, md5(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) AS question_key,
+    CAST(len({WORDS}) AS INT) AS n_tokens, CAST(length(text) AS INT) AS n_chars FROM documents""")
+def text_keys(spark, d):
+    """White space collapsed, folded keys, keys without white space, tokens and characters of every text."""
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", F.md5(T.collapse_ws(t)).alias("collapsed"), F.md5(T.dedup_key(t)).alias("dedup_key"), F.md5(T.question_key(t)).alias("question_key"), T.token_count(t).alias("n_tokens"), F.length(t).alias("n_chars"))
+
+
 @query("""SELECT count(*) AS n_texts, count(*) FILTER (text <> b) AS n_changed, CAST(sum(length(text)) AS BIGINT) AS chars_before, CAST(sum(length(b)) AS BIGINT) AS chars_after
     FROM (SELECT coalesce(text, '') AS text, regexp_replace(replace(coalesce(text, ''), chr(12288), ''), '[^\\x{0D80}-\\x{0DFF}a-zA-Z0-9\\s.,!?;:''"()\\[\\]{}\\-\\x{2013}\\x{2014}\\x{2026}%@#&*+=/\\x{200D}]', '', 'g') AS b FROM documents)""")
 def clean_whitelist(spark, d):

@@ -148,6 +148,12 @@ def label_counters(spark, d):
     return rows.groupBy(F.lit("gold").alias("side"), F.col("gold").cast("string").alias("label")).agg(F.count("*").alias("n")).unionByName(rows.groupBy(F.lit("pred").alias("side"), pred.alias("label")).agg(F.count("*").alias("n")))
 
 
+@query("SELECT doc_id, pred FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 11 = 5 THEN 9 ELSE toxic END AS INT) AS pred FROM labels) WHERE pred NOT IN (0, 1) OR pred IS NULL ORDER BY doc_id LIMIT 5")
+def unknown_examples(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", F.when(F.col("doc_id") % 11 == 5, 9).otherwise(F.col("toxic")).cast("int").alias("pred"))
+    return E.unknown_examples(rows, "pred", [0, 1], "doc_id")
+
+
 @query("""SELECT event_type, round(sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1) / 100, 6) AS mean_loss, round(exp(sum(value / 100 * (event_id % 7 + 1)) / sum(event_id % 7 + 1)), 6) AS perplexity FROM events GROUP BY event_type""")
 def perplexity_weighted(spark, d):
     rows = table(spark, d, "events").select("event_type", (F.col("value") / 100).alias("loss"), (F.col("event_id") % 7 + 1).alias("n_tokens"))

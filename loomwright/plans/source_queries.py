@@ -138,6 +138,21 @@ def parquet_round_trip(spark, d):
     return readers.read_any(spark, readers.expand(spark, [f"{at}/none*.parquet", f"{at}/*.parquet"])).where("lang = 'es'").select("doc_id", "text", "n_chars")
 
 
+@query("SELECT doc_id, lang, source FROM documents")
+def projected_scan(spark, d):
+    """Three columns of a parquet table; texts aren't read."""
+    return readers.read_any(spark, [f"{d}/documents.parquet"]).select("doc_id", "lang", "source")
+
+
+@query("""WITH g AS (SELECT lang, count(*) AS n, round(avg(n_chars) / 1000, 2) AS k FROM documents GROUP BY lang), l AS (SELECT lang, n, printf('%.2f', k) AS k FROM g)
+    SELECT unnest(['markdown', 'latex']) AS kind, unnest([string_agg('| ' || lang || ' | ' || n || ' | ' || k || ' |', chr(10) ORDER BY lang), string_agg(lang || ' & ' || n || ' & ' || k || ' ' || repeat(chr(92), 2), chr(10) ORDER BY lang)]) AS body FROM l""")
+def report_tables(spark, d):
+    """The rows of a report, without its head and foot."""
+    rows = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars") / 1000, 2).alias("k")).orderBy("lang")
+    markdown, latex = sinks.markdown(rows).splitlines()[2:], sinks.latex(rows).splitlines()[2:-1]
+    return spark.createDataFrame([("markdown", "\n".join(markdown)), ("latex", "\n".join(latex))], "kind string, body string")
+
+
 @query("""SELECT '{"rule":"{\\"stride\\": 4}","counts":{"n":' || count(*) || ',"n_en":' || count(*) FILTER (lang = 'en') || '}}' AS value FROM documents""")
 def manifest(spark, d):
     return sinks.manifest({"n": F.count("*"), "n_en": F.count_if(F.col("lang") == "en")}, table(spark, d, "documents"), {"stride": 4})

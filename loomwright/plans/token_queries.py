@@ -158,6 +158,17 @@ def batch_budget(spark, d):
     return O.budget_batches(rows, ["doc_id"], "n", 40_000_000, 16, "source")
 
 
+@query(f"SELECT doc_id, len({WORDS}) AS n_tokens, CAST(coalesce(list_sum(list_transform({WORDS}, lambda w: length(w))), 0) AS BIGINT) AS n_letters FROM documents")
+def mapped_batches(spark, d):
+    """A tokenizer that is no column expression: here Python's own split, batch by batch."""
+
+    def count(pdf):
+        words = pdf["text"].fillna("").map(str.split)
+        return pdf.assign(n_tokens=words.map(len), n_letters=words.map(lambda w: sum(map(len, w))))[["doc_id", "n_tokens", "n_letters"]]
+
+    return O.map_batches(docs(spark, d).select("doc_id", "text"), count, "doc_id long, n_tokens long, n_letters long")
+
+
 @query("SELECT doc_id, n_chars, CAST(row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS BIGINT) AS place FROM documents")
 def longest_first(spark, d):
     return O.longest_first(docs(spark, d).select("doc_id", "n_chars"), "n_chars", "doc_id")

@@ -233,6 +233,26 @@ def head_cosines(spark, d):
     return a.join(b, F.col("x") < F.col("y")).select("x", "y", F.round(R.cosine(F.col("u"), F.col("v")), 6).alias("cosine"))
 
 
+_HUBS = f"""{E_}, p AS (SELECT a.vec_id AS query, b.vec_id AS key, round({cos_sql('a.v', 'b.v')}, 6) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+    k AS (SELECT key FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, key) AS r FROM p) WHERE r <= 10), h AS (SELECT key, count(*) AS n FROM k GROUP BY key)"""
+
+
+@query(f"WITH {_HUBS} SELECT n, count(*) AS n_rows FROM h GROUP BY n")
+def hub_histogram(spark, d):
+    return V.hub_histogram(hubness(spark, d))
+
+
+@query(f"WITH {_HUBS} SELECT key, n FROM h ORDER BY n DESC, key LIMIT 10")
+def top_hubs(spark, d):
+    return V.top_hubs(hubness(spark, d))
+
+
+@query(f"""WITH {_CENTROID.replace('side', 'label').replace('label % 2 AS label, ', '')}, p AS (SELECT a.label % 2 AS side, a.label AS x, b.label AS y, round({cos_sql('a.c', 'b.c')}, 6) AS cosine FROM c a JOIN c b ON a.label < b.label)
+    SELECT side, arg_max(x, (cosine, -x, -y)) AS x, arg_max(y, (cosine, -x, -y)) AS y, max(cosine) AS cosine FROM p GROUP BY side""")
+def most_redundant_pair(spark, d):
+    return V.most_similar_pair(head_cosines(spark, d).withColumn("side", F.col("x") % 2), ["side"])
+
+
 # ---- matrices: label = layer, a row for each vector
 
 
@@ -355,6 +375,15 @@ def head_classes(spark, d):
     return M.classify_heads(m, ["one"]).select("head", "is_local", "is_global", "is_sink", "is_induction")
 
 
+@query("""WITH r AS (SELECT l_linenumber % 2 AS layer, l_linenumber AS head, l_suppkey % 16 AS q, l_partkey % 16 AS k, l_quantity AS w FROM lineitem WHERE l_partkey % 16 <= l_suppkey % 16), a AS (SELECT layer, head, q, k, sum(w) / sum(sum(w)) OVER (PARTITION BY head, q) AS p FROM r GROUP BY 1, 2, 3, 4),
+    h AS (SELECT layer, q, k, avg(p) AS p FROM a GROUP BY 1, 2, 3), g AS (SELECT layer, q, k, (coalesce(p, 0) + CASE WHEN q = k THEN 1 ELSE 0 END) / 2 AS m FROM (SELECT layer, q, k FROM (SELECT unnest([0, 1]) AS layer), (SELECT unnest(range(16)) AS q), (SELECT unnest(range(16)) AS k)) LEFT JOIN h USING (layer, q, k)),
+    n AS (SELECT layer, q, k, m / sum(m) OVER (PARTITION BY layer, q) AS m FROM g) SELECT CAST(x.q AS INT) AS q, CAST(y.k AS INT) AS k, round(sum(x.m * y.m), 6) AS share FROM n x JOIN n y ON x.layer = 1 AND y.layer = 0 AND x.k = y.q GROUP BY 1, 2""")
+def attention_rollout(spark, d):
+    """Two layers: heads of even and of odd numbers."""
+    out = M.rollout(attention(spark, d).withColumn("layer", F.col("head") % 2), 16)
+    return spark.createDataFrame([(q, k, round(float(x), 6)) for q, row in enumerate(out) for k, x in enumerate(row)], "q int, k int, share double")
+
+
 _ACT = "a AS (SELECT l_linenumber AS layer, l_suppkey % 20 AS neuron, l_quantity - 25 AS gate, l_discount - 0.05 AS up, (l_quantity - 25) * (l_discount - 0.05) AS post FROM lineitem)"
 _NEURON = f"{_ACT}, n AS (SELECT layer, neuron, round(avg(abs(post)), 6) AS mean_abs, round(var_pop(post), 6) AS variance, round(max(abs(post)), 6) AS largest, round(avg(CAST(abs(post) > 0.5 AS INT)), 6) AS firing, round(corr(gate, up), 6) AS gate_up_corr, round(avg(CAST(abs(gate) > 0.5 AND abs(up) > 0.5 AS INT)), 6) AS overlap FROM a GROUP BY 1, 2)"
 
