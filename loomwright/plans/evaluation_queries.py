@@ -68,7 +68,7 @@ _ERFC = "1 - 2 / sqrt(pi()) * exp(-x * x) * list_reduce(list_prepend({'t': x, 's
 
 @query(f"""WITH {MCQ}, g AS (SELECT difficulty, count(*) FILTER (pred_a = gold AND pred_b <> gold) AS b01, count(*) FILTER (pred_b = gold AND pred_a <> gold) AS b10 FROM m GROUP BY difficulty),
     c AS (SELECT *, round(coalesce((abs(b01 - b10) - 1) ** 2 / nullif(b01 + b10, 0), 0), 6) AS chi2 FROM g), y AS (SELECT *, sqrt(chi2 / 2) AS x FROM c)
-    SELECT difficulty, b01, b10, chi2, round(CASE WHEN b01 + b10 = 0 THEN 1 ELSE {_ERFC} END, 9) AS p FROM y""")
+    SELECT difficulty, b01, b10, chi2, round(CASE WHEN b01 + b10 = 0 THEN 1 ELSE {_ERFC} END, 9) + 0.0 AS p FROM y""")
 def mcnemar_p(spark, d):
     return E.mcnemar(mcq(spark, d), hit("pred_a"), hit("pred_b"), ["difficulty"]).withColumn("p", F.round("p", 9))
 

@@ -157,10 +157,10 @@ def embedding_divergence(spark, d):
 _COV = f"{E_}, x AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e)"
 
 
-@query(f"WITH {_COV} SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.i - 1 AS INT) AS j, round(covar_pop(a.x, b.x), 6) AS c FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.i, b.i")
+@query(f"WITH {_COV} SELECT CAST(a.i - 1 AS INT) AS i, CAST(b.i - 1 AS INT) AS j, round(covar_pop(a.x, b.x), 6) + 0.0 AS c FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY a.i, b.i")
 def covariance(spark, d):
     _, c = V.mean_covariance(table(spark, d, "embeddings"), "embedding")
-    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(len(c)) for j in range(len(c))], "i int, j int, c double").withColumn("c", F.round("c", 6))
+    return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(len(c)) for j in range(len(c))], "i int, j int, c double").withColumn("c", F.round("c", 6) + F.lit(0.0))
 
 
 def _pairs_sql(name: str, a: int, b: int) -> str:
