@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -36,14 +38,45 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there and survives lost executors."""
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+#: A query's shuffle files go when the query is over, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, at: str) -> DataFrame:
     spark = df.sparkSession
-    at = shared_folder(spark, name)
-    df.write.parquet(at)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _place(spark: SparkSession, folder: str | None, name: str) -> str:
+    return f"{folder}/{name}-{uuid.uuid4().hex}" if folder else shared_folder(spark, name)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there and survives lost executors."""
+    return _write(df, _place(df.sparkSession, _SCRATCH.get(), name))
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables that are written inside go at the end, but for those that the function it yields has written."""
+    outer = _SCRATCH.get()
+    at = _place(spark, outer, name)
+    token = _SCRATCH.set(at)
+    try:
+        yield lambda df, name: _write(df, _place(spark, outer, name))
+    finally:
+        _SCRATCH.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import written
+from loomwright.llm.common import scratch, written
 
 BLANK = " \t\r\n\x0b\x0c"
 #: A newline before the next line that isn't blank.
@@ -61,7 +61,11 @@ def windows(df: DataFrame, window: int, id_column: str, text_column: str, alone:
 
 def repeated(df: DataFrame, window: int, id_column: str, text_column: str, alone: int | None = None) -> DataFrame:
     """d, r, starts and alone: where the windows of a document begin that occur earlier, and such long units, in order."""
-    rows = written(windows(df, window, id_column, text_column, alone), "windows")
+    with scratch(df.sparkSession, "lines") as keep:
+        return keep(_repeated(written(windows(df, window, id_column, text_column, alone), "windows"), window), "repeated")
+
+
+def _repeated(rows: DataFrame, window: int) -> DataFrame:
     seeds = rows.groupBy("fp").agg(F.min(F.struct("d", "r", "at", "n")).alias("low"), F.max(F.struct("d", "r", "at", "n")).alias("high"))
     # tables of their own: Spark can split a join with them where a fingerprint or window is frequent
     seeds = written(seeds.where(~F.col("low").eqNullSafe(F.col("high"))).select("fp"), "seeds")

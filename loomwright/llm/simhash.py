@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, utf8, written
-from loomwright.llm.components import components
+from loomwright.llm.common import scratch, ship, utf8, written
+from loomwright.llm.components import components, forest
 from loomwright.llm.encode import blocks
 
 BLOCKS, CHOSEN = 7, 3
@@ -115,26 +115,6 @@ def trie_pairs(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: in
             todo.append((depth + 1, al[keep], ah[keep], bl[keep], bh[keep], diff[keep]))
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n positions, the smallest that the pairs connect it with."""
-    label = np.arange(n)
-    for i, j in pairs:
-        while len(i):
-            a, b = label[i], label[j]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            open_ = low < high
-            if not open_.any():
-                break
-            i, j = i[open_], j[open_]
-            np.minimum.at(label, high[open_], low[open_])
-            while True:  # to the roots
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-    return label
-
-
 def linked(fps: DataFrame, budget: int = 4) -> DataFrame:
     """fps: distinct fingerprints (fp).  Links a, b that connect all that differ in at most budget bits."""
     ship(fps.sparkSession)
@@ -175,13 +155,14 @@ def near_duplicates(df: DataFrame, shingle: int = 4, budget: int = 4, id_column:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable) of each row."""
     if budget > BLOCKS - CHOSEN:
         raise ValueError(f"at most {BLOCKS - CHOSEN} differing bits")
-    rows = written(fingerprints(df, shingle, id_column, text_column), "fingerprints")
-    groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    found = components(linked(groups.select("fp"), budget)).withColumnRenamed("node", "fp")
-    classes = written(groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "classes")
-    # tables of their own: Spark can split the joins where a component or fingerprint is frequent
-    smallest = written(classes.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
-    of_fp = written(classes.join(smallest, "component").select("fp", "component_id"), "of_fp")
+    with scratch(df.sparkSession, "simhash") as keep:
+        rows = keep(fingerprints(df, shingle, id_column, text_column), "fingerprints")
+        groups = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
+        found = components(linked(groups.select("fp"), budget)).withColumnRenamed("node", "fp")
+        classes = written(groups.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "classes")
+        # tables of their own: Spark can split the joins where a component or fingerprint is frequent
+        smallest = written(classes.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+        of_fp = keep(classes.join(smallest, "component").select("fp", "component_id"), "of_fp")
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -380,8 +361,11 @@ def candidate_links(nodes: DataFrame, first: int, last: int, bits: int, budget:
     prints first..last - 1 differs in at most budget bits and all prints together in at most `most`: each
     print's bits are cut into budget + 1 blocks, of which one agrees, and there the tries are joined.
 
-    The join runs twice.  First it finds the nodes of each bucket that have a candidate; only these are sent
-    again with all their prints, and every candidate is tested before links are left out that connect nothing new."""
+    First the tries are joined on single prints: that gives the groups of each bucket that candidates hold
+    together, untested.  Then each node of a group is tested by all bits against the group's first node, by a
+    join, however large the group is: most groups are whole after that.  Only the nodes of groups that aren't
+    are dealt out again with all their prints, and every candidate is tested before links are left out that
+    connect nothing new."""
     ship(nodes.sparkSession)
     cuts = [bits * k // (budget + 1) for k in range(budget + 2)]
     signed = [m - (1 << 64) if m >> 63 else m for a, b in zip(cuts, cuts[1:]) for m in [((1 << (b - a)) - 1) << (64 - b)]]
@@ -409,11 +393,18 @@ def candidate_links(nodes: DataFrame, first: int, last: int, bits: int, budget:
     def meet(rows: list[np.ndarray]) -> pa.RecordBatch:
         b = Buckets(*rows, signed, budget)
         found = np.zeros(len(b.place), bool)
-        for i, j in b.leaves():
-            open_ = b.apart(i, j)
-            found[i[open_]] = found[j[open_]] = True
-        found = found[b.leaf]
-        return pa.RecordBatch.from_pydict({"choice": b.choice[found].astype(np.int32), "block": b.block[found], "node": b.node[found]})
+
+        def candidates() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in b.leaves():
+                open_ = b.apart(i, j)
+                found[i[open_]] = found[j[open_]] = True
+                yield i[open_], j[open_]
+
+        group = forest(len(b.place), candidates())[b.leaf]
+        root = np.full(len(b.place), np.iinfo(np.int64).max)
+        np.minimum.at(root, group, b.node)
+        own = found[b.leaf]
+        return pa.RecordBatch.from_pydict({"choice": b.choice[own].astype(np.int32), "block": b.block[own], "node": b.node[own], "root": root[group][own]})
 
     def link(rows: list[np.ndarray]) -> pa.RecordBatch:
         own = rows[2]
@@ -426,9 +417,22 @@ def candidate_links(nodes: DataFrame, first: int, last: int, bits: int, budget:
     some = F.slice("prints", first + 1, last - first)
     keyed = nodes.select("node", "component", F.explode(F.flatten(F.transform(some, block))).alias("x")).select("x.choice", "x.block", "x.fp", "node", "component")
     dealt = lambda df: df.repartition("choice", "block").sortWithinPartitions("choice", "block")
-    met = dealt(keyed).mapInArrow(lambda batches: in_buckets(batches, meet), "choice int, block long, node long")
-    again = met.join(nodes, "node").select("choice", "block", "prints", "node", "component")
-    return dealt(again).mapInArrow(lambda batches: in_buckets(batches, link), "a long, b long").distinct()
+    met = written(dealt(keyed).mapInArrow(lambda batches: in_buckets(batches, meet), "choice int, block long, node long, root long"), "met")
+    of = nodes.select("node", "prints", "component")
+    pairs = met.where("node <> root").select("node", "root").distinct()
+    first_ = of.select(F.col("node").alias("root"), F.col("prints").alias("q"), F.col("component").alias("other"))
+    apart = F.aggregate(F.zip_with("prints", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(of, "node").join(first_, "root").where((F.col("component") != F.col("other")) & (apart <= most)).select("node", "root", "component", "other")
+    near = written(near, "near_first")
+    joined = components(near.select(F.col("component").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    of = of.select("node", "component").join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    held = written(met.join(of, "node"), "held")
+    open_ = held.groupBy("choice", "block", "root").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("choice", "block", "root")
+    rest = held.join(written(open_, "open"), ["choice", "block", "root"]).select("choice", "block", "root", "node", "component")
+    again = rest.join(nodes.select("node", "prints"), "node").select("choice", "block", "prints", "node", "component", "root")
+    again = again.repartition("choice", "block", "root").sortWithinPartitions("choice", "block").drop("root")
+    late = again.mapInArrow(lambda batches: in_buckets(batches, link), "a long, b long")
+    return near.select(F.greatest("node", "root").alias("a"), F.least("node", "root").alias("b")).unionByName(late).distinct()
 
 
 def jaccard_links(prints_: np.ndarray, sets: list[np.ndarray], similarity: float, most: float) -> tuple[np.ndarray, np.ndarray]:
@@ -487,6 +491,11 @@ def bits_apart(similarity: float) -> float:
 
 def similar_rows(df: DataFrame, similarity: float, shingle: int, n_prints: int, bits: int, budget: int, id_column: str, text_column: str) -> DataFrame:
     """The key (no_id, doc_id, r, w) of each row and its component (a number)."""
+    with scratch(df.sparkSession, "similar") as keep:
+        return keep(_similar_rows(df, similarity, shingle, n_prints, bits, budget, id_column, text_column), "rows")
+
+
+def _similar_rows(df: DataFrame, similarity: float, shingle: int, n_prints: int, bits: int, budget: int, id_column: str, text_column: str) -> DataFrame:
     rows = written(prints(df, shingle, n_prints, bits, id_column, text_column), "prints")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct("no_id", "doc_id", "r")).alias("first"), F.first("prints").alias("prints")), "nodes")
     total, p = n_prints * bits, max(LOOSE, bits_apart(similarity))
@@ -494,8 +503,9 @@ def similar_rows(df: DataFrame, similarity: float, shingle: int, n_prints: int,
     classes, links = nodes.withColumn("component", F.col("node")), None
     cut = max(1, n_prints // 4)
     for first, last in ((0, cut), (cut, n_prints)):
-        near = candidate_links(classes.select("node", "prints", "component"), first, last, bits, budget, most)
-        links = written(near if links is None else links.unionByName(near), "near")
+        with scratch(df.sparkSession, "candidates") as keep:
+            near = candidate_links(classes.select("node", "prints", "component"), first, last, bits, budget, most)
+            links = keep(near if links is None else links.unionByName(near), "near")
         found = components(links).withColumnRenamed("node", "n")
         classes = written(nodes.join(found, nodes["node"] == F.col("n"), "left").select("node", "first", "prints", F.coalesce("component", "node").alias("component")), "classes")
     members = written(classes.join(found.select(F.col("n").alias("node"), F.col("component").alias("cluster")), "node").select("cluster", "node", "first", "prints"), "members")
@@ -504,7 +514,7 @@ def similar_rows(df: DataFrame, similarity: float, shingle: int, n_prints: int,
     sets = shingle_sets(some, shingle, id_column, text_column).groupBy("node").agg(F.first("s").alias("s"))
     exact = components(exact_links(members.join(sets, "node"), similarity, most)).withColumnRenamed("node", "n")
     of_node = written(nodes.join(exact, nodes["node"] == F.col("n"), "left").select("node", F.coalesce("component", "node").alias("component")), "of_node")
-    return written(rows.select("no_id", "doc_id", "r", "w", "node").join(of_node, "node").select("no_id", "doc_id", "r", "w", "component"), "rows")
+    return rows.select("no_id", "doc_id", "r", "w", "node").join(of_node, "node").select("no_id", "doc_id", "r", "w", "component")
 
 
 def similar_documents(df: DataFrame, similarity: float = 0.8, shingle: int = 5, n_prints: int = 32, bits: int = 40, budget: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

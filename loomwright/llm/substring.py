@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, utf8, written
+from loomwright.llm.common import scratch, ship, utf8, written
 from loomwright.llm.components import components
 from loomwright.llm.simhash import forest_pairs
 
@@ -352,7 +352,8 @@ def clusters(df: DataFrame, nodes: DataFrame, similarity: float, id_column: str,
 def repeated_paragraphs(df: DataFrame, paragraphs: DataFrame, similarity: float, id_column: str, text_column: str) -> DataFrame:
     """d, r, start, n, h, x (the cluster), keep (the place that stays) of the paragraphs that go."""
     nodes = written(paragraphs.groupBy("h").agg(F.min(F.struct("d", "r", "start", "n")).alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "nodes")
-    found = clusters(df, nodes, similarity, id_column, text_column).withColumnRenamed("node", "h")
+    with scratch(df.sparkSession, "clusters") as keep_:
+        found = keep_(clusters(df, nodes, similarity, id_column, text_column), "found").withColumnRenamed("node", "h")
     member = nodes.join(found, "h", "left").select("h", F.coalesce("component", "h").alias("x"), "first", "copies")
     keep = member.groupBy("x").agg(F.min("first").alias("keep"), F.sum("copies").alias("n_all")).where("n_all > 1").select("x", "keep")
     of_node = written(member.join(written(keep, "keep"), "x").select("h", "x", "keep"), "of_node")  # tables, so that the joins can be split
@@ -467,13 +468,15 @@ def holders(gone: DataFrame) -> DataFrame:
 
 def removals(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """d, r, start, n, h, piece (false for a paragraph), docs (the documents that hold the text that goes)."""
-    rows = written(units(df, id_column, text_column, tune(similarity)), "units")
-    paragraphs = repeated_paragraphs(df, rows.where("keys IS NOT NULL"), similarity, id_column, text_column)
-    paragraphs = written(paragraphs.withColumn("piece", F.lit(False)), "paragraphs")
-    windows = repeated_windows(rows.where("keys IS NULL").select("d", "r", "start", "n", "h"), paragraphs)
-    gone = written(paragraphs.unionByName(windows.withColumn("piece", F.lit(True))), "gone")
-    where = written(holders(gone), "docs")
-    return gone.join(where, ["piece", "x"], "left").select("d", "r", "start", "n", "h", "piece", F.coalesce("docs", F.array("keep.d")).alias("docs"))
+    with scratch(df.sparkSession, "substring") as keep:
+        rows = written(units(df, id_column, text_column, tune(similarity)), "units")
+        paragraphs = repeated_paragraphs(df, rows.where("keys IS NOT NULL"), similarity, id_column, text_column)
+        paragraphs = written(paragraphs.withColumn("piece", F.lit(False)), "paragraphs")
+        windows = repeated_windows(rows.where("keys IS NULL").select("d", "r", "start", "n", "h"), paragraphs)
+        gone = written(paragraphs.unionByName(windows.withColumn("piece", F.lit(True))), "gone")
+        where = written(holders(gone), "docs")
+        docs = F.coalesce("docs", F.array("keep.d")).alias("docs")
+        return keep(gone.join(where, ["piece", "x"], "left").select("d", "r", "start", "n", "h", "piece", docs), "removals")
 
 
 def cut(text: bytes, spans: list[dict]) -> tuple[bytes, int, int, list[int]]:

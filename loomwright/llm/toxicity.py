@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, utf8, written
+from loomwright.llm.common import scratch, ship, utf8, written
 
 #: Labelled rows that are fitted on at most.
 SAMPLE = 20_000
@@ -166,6 +166,11 @@ def train_bags(y: np.ndarray, bag: np.ndarray, sentence: np.ndarray, feature: np
 def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", sample: int = SAMPLE) -> Model:
     """labels: id_column and label_column (1: toxic)."""
     ship(df.sparkSession)
+    with scratch(df.sparkSession, "toxicity"):
+        return _fit(df, labels, id_column, text_column, label_column, sample)
+
+
+def _fit(df: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, sample: int) -> Model:
     rows = _sample(df, labels, id_column, text_column, label_column, sample)
     n = dict(rows.groupBy("y").count().collect())
     toxic, other = sum(c for y, c in n.items() if y > 0), sum(c for y, c in n.items() if y <= 0)

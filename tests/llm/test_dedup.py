@@ -348,9 +348,10 @@ def test_components(spark):
     names = sorted({x for a, b in links if a != b for x in (a, b)})
     place = {x: i for i, x in enumerate(names)}
     label = roots(len(names), [(place[a], place[b]) for a, b in links if a != b])
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {x: names[label[i]] for i, x in enumerate(names)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for few in (0, 50, 1 << 18):
+        got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), few).collect()}
+        assert got == {x: names[label[i]] for i, x in enumerate(names)}
+    assert all(components(spark.createDataFrame([], "a long, b long"), few).count() == 0 for few in (0, 9))
 
 
 # ---- substrings
