@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm import lines, packing, simhash, substring, toxicity
-from loomwright.llm.common import shared_folder, table
+from loomwright.llm.common import table, written
 from loomwright.llm.encode import default_vocabulary
 from loomwright.llm.queries import TOXIC_FROM, fitted_toxicity
 
@@ -68,9 +68,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        at = shared_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        docs = written(stage(spark, docs, sf_dir), name)
     return docs
 
 
