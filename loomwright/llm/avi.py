@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm import jpeg
-from loomwright.llm.common import ship, utf8
+from loomwright.llm.common import released, ship, utf8
 
 FPS, ACROSS, DOWN, BINS = 25, 4, 4, 16
 #: A cut needs this histogram difference at least, and the mean plus so many deviations.
@@ -150,6 +150,7 @@ def clips(df: DataFrame, id_column: str = "doc_id", media_column: str = "media")
     histogram."""
     ship(df.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -182,6 +183,7 @@ def media(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     """doc_id and media: each text as a file."""
     ship(df.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, size, out = batch.column(0), 0, []
@@ -205,6 +207,7 @@ def digests(stored: DataFrame) -> DataFrame:
     ship(stored.sparkSession)
     names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []

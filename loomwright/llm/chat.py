@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, written
+from loomwright.llm.common import released, ship, written
 
 MARK, END = "###", "</turn>"
 #: Code points of a delta in logs that are made of finished turns.
@@ -152,6 +152,7 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
     formatted_chars.  A conversation's turns stream through one task, a batch in memory at a time."""
     ship(segments.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:

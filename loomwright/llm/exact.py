@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, utf8, written
+from loomwright.llm.common import released, ship, utf8, written
 
 SALTS = 32
 SPACE = b" \t\n\x0b\x0c\r"
@@ -31,6 +31,7 @@ def digests(df: DataFrame, id_column: str, text_column: str, width: int, with_te
     """doc_id, n_points of the original, sha of the normalised text, key (its first bytes), and the text if asked."""
     ship(df.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             norm = [t.translate(None, SPACE) for t in batch.column(2).to_pylist()]

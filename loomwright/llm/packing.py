@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import ship, utf8
+from loomwright.llm.common import released, ship, utf8
 from loomwright.llm.encode import library_encoder
 
 #: Tokens and documents that are packed together at most (one more document may reach over the first).
@@ -86,6 +86,7 @@ def pack_documents(df: DataFrame, vocabulary: str, end_id: int = 1, capacity: in
             columns["ids"] = pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32()))
         return pa.RecordBatch.from_pydict(columns), first + max(sequence) + 1
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         first = TaskContext.get().partitionId() << 40

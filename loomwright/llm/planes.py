@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import shared_folder, ship, utf8
+from loomwright.llm.common import released, shared_folder, ship, utf8
 from loomwright.llm.encode import library_encoder
 
 MAGIC, BLOCK_IDS = b"PLN1", 1 << 16
@@ -151,6 +151,7 @@ def write_token_files(df: DataFrame, vocabulary: str, folder: str, end_id: int |
     spark = df.sparkSession
     ship(spark)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary)
         end = np.array([] if end_id is None else [end_id], np.uint32)
@@ -183,6 +184,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     block by block."""
     ship(manifest.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import scratch, ship, utf8, written
+from loomwright.llm.common import released, scratch, ship, utf8, written
 from loomwright.llm.components import components, forest
 from loomwright.llm.encode import blocks
 
 BLOCKS, CHOSEN = 7, 3
 #: Shingles whose bits are counted at once; rows of a task that are joined at once, if no bucket holds more.
-COUNTED, JOINED = 1 << 15, 1 << 16
+COUNTED, JOINED = 1 << 15, 1 << 15
 #: Candidates that are tested at once.
-TESTED = 1 << 15
+TESTED = 1 << 14
 #: The largest share of bits by which sets of a Jaccard similarity of 0.8 differ: 3 / 16, for four shingles and the same with a fifth.
 LOOSE = 0.1875
 
@@ -65,6 +65,7 @@ def fingerprints(df: DataFrame, shingle: int = 4, id_column: str = "doc_id", tex
     """doc_id and fp (the bits as a signed long) of each row."""
     ship(df.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
@@ -130,6 +131,7 @@ def linked(fps: DataFrame, budget: int = 4) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(len(fp)))
         yield pa.RecordBatch.from_pydict({"a": fp[moved].view(np.int64), "b": fp[label[moved]].view(np.int64)})
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -225,6 +227,7 @@ def prints(df: DataFrame, shingle: int, n_prints: int, bits: int, id_column: str
     """The row's key, node (of the text's shingles) and prints (array<long>) of each row."""
     ship(df.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, own = [], []
@@ -242,6 +245,7 @@ def shingle_sets(df: DataFrame, shingle: int, id_column: str, text_column: str)
     """node and its shingles of each row."""
     ship(df.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = lambda own: pa.RecordBatch.from_pydict({"node": pa.array(map(node_of, own), pa.int64()), "s": pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))})
         for batch in batches:
@@ -463,6 +467,7 @@ def exact_links(members: DataFrame, similarity: float, most: float) -> DataFrame
     """members: cluster, node, prints, s.  Links a, b that connect all nodes of a cluster that are that similar."""
     ship(members.sparkSession)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> pa.RecordBatch:
             i, j = jaccard_links(np.stack([x[1] for x in held]), [x[2] for x in held], similarity, most)

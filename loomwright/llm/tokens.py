@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe import Automaton, Decoder, automaton_encoder, compiled
-from loomwright.llm.common import ship, utf8
+from loomwright.llm.common import released, ship, utf8
 
 _HERE: dict[str, tuple] = {}
 
@@ -37,6 +37,7 @@ def tokenize(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
     data = df.sparkSession.sparkContext.broadcast(compiled(vocabulary))
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_decoded
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = loaded(data.value)
         for batch in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import scratch, ship, utf8, written
+from loomwright.llm.common import released, scratch, ship, utf8, written
 
 #: Labelled rows that are fitted on at most.
 SAMPLE = 20_000
@@ -107,6 +107,7 @@ def _sample(df: DataFrame, labels: DataFrame, id_column: str, text_column: str,
 def _counts(rows: DataFrame) -> DataFrame:
     """feature, toxic, other: documents that have it."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(), Counter()
         for batch in batches:
@@ -129,6 +130,7 @@ def _bags(rows: DataFrame, number: dict[str, int]) -> DataFrame:
     """doc_id, y, sentence (within the document) and feature of each use."""
     shared = rows.sparkSession.sparkContext.broadcast(number)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
@@ -198,6 +200,7 @@ def score(df: DataFrame, model: Model, id_column: str = "doc_id", text_column: s
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
@@ -217,6 +220,7 @@ def keep_clean(df: DataFrame, model: Model, below: float, id_column: str = "doc_
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_column)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
