@@ -10,9 +10,9 @@ A passage that stands inside other text has no line of its own, so the words of
 cut into short pieces at places that the words themselves choose (local minima of a hash over word
 pairs): the same passage is cut alike wherever it stands.  What is compared is a window: two adjacent
 pieces, or more until they have MIN_WORDS words, the same length that makes a line a paragraph.  Windows
-are compared by hash alone.  Only windows of text that the paragraph step leaves take part: one that
-stands as a whole in an earlier document goes, so that the first copy of every window is text that
-stays, or text that an even earlier document holds.  Shorter runs, pieces that occur in different
+are compared by hash alone.  The first copy of a window is the first one in text that the paragraph step
+leaves, and the window goes from every document behind that, also where a part of it has gone as a
+paragraph.  So what goes is text that stays in the first copy, or that an even earlier document holds.  Shorter runs, pieces that occur in different
 documents or apart from each other, and windows that one document repeats, stay.
 
 What goes is a range of words; the task that removes it hashes the words again and leaves the range
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import scratch, ship, utf8, written
+from loomwright.llm.common import released, scratch, ship, utf8, written
 from loomwright.llm.components import components
 from loomwright.llm.simhash import forest_pairs
 
@@ -185,6 +185,7 @@ def units(df: DataFrame, id_column: str, text_column: str, bands: int) -> DataFr
     ship(df.sparkSession)
     kinds = pa.schema([("d", pa.int64()), ("r", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, hashes, lines in _parts(zip(*(batch.column(k).to_pylist() for k in range(3)))):
@@ -233,6 +234,7 @@ def paragraph_shingles(df: DataFrame, wanted: DataFrame, id_column: str, text_co
     ship(df.sparkSession)
     lists = wanted.groupBy("d", "r").agg(F.collect_list(F.struct("start", "n", "h")).alias("wanted"))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_h, out_s = [], []
@@ -298,6 +300,7 @@ def compared(rows: DataFrame, similarity: float) -> DataFrame:
         a, b = forest_pairs(groups, pairs, lambda a, b: np.ones(len(a), bool))
         return h_[order][a], h_[order][b]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, ([], [], [], [])
         for batch in batches:
@@ -423,13 +426,14 @@ def untouched(windows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def repeated_windows(windows: DataFrame, gone: DataFrame) -> DataFrame:
-    """d, r, start, n, h, x (h), keep (the place of its first copy) of the windows that go."""
+    """d, r, start, n, h, x (h), keep (the place of its first copy) of the windows that go: those of documents
+    behind the one that holds the first copy in text that the paragraphs leave."""
     seen = windows.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b"), F.min("r").alias("p"), F.max("r").alias("q"))
     seen = written(seen.where("a < b OR p < q").select("h"), "seen")
-    left = written(untouched(windows.join(seen, "h", "left_semi"), gone), "left")
-    first = left.groupBy("h").agg(F.min(F.struct("d", "r", "start", "n")).alias("keep"), F.max(F.struct("d", "r")).alias("last"))
-    first = written(first.where(F.struct("keep.d", "keep.r") != F.col("last")).select("h", "keep"), "first")
-    return left.join(first, "h").where(F.struct("d", "r") != F.struct("keep.d", "keep.r")).select("d", "r", "start", "n", "h", F.col("h").alias("x"), "keep")
+    again = written(windows.join(seen, "h", "left_semi"), "again")
+    first = untouched(again, gone).groupBy("h").agg(F.min(F.struct("d", "r", "start", "n")).alias("keep"))
+    rows = again.join(written(first, "first"), "h").where(F.struct("d", "r") > F.struct("keep.d", "keep.r"))
+    return rows.select("d", "r", "start", "n", "h", F.col("h").alias("x"), "keep")
 
 
 def holders(gone: DataFrame) -> DataFrame:
@@ -514,6 +518,7 @@ def dedup_substrings(df: DataFrame, id_column: str = "doc_id", text_column: str
     rows = rows.join(lists, (F.col("d") == F.col("sd")) & (F.col("r") == F.col("sr")), "left").select(*[f"c{i}" for i in range(len(columns))], "spans")
     at = columns.index(text_column)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [cut(t, s) if s else (t, 0, 0, []) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist())]

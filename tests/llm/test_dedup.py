@@ -488,10 +488,11 @@ def brute_substrings(rows):
             away.append((u, units[r]))
     first, cut = {}, defaultdict(list)
     for u in windows:
-        if span(u) & gone[u[0]]:
-            continue
-        k = first.setdefault(u[2], u)
-        if k[0] != u[0]:
+        if not span(u) & gone[u[0]]:
+            first.setdefault(u[2], u)
+    for u in windows:
+        k = first.get(u[2], u)
+        if k[0] < u[0]:
             away.append((u, k))
             cut[u[0]].append((u, k))
     for u, _ in away:
@@ -555,6 +556,15 @@ def test_no_passage_vanishes(spark):
     assert {k: (r.text.split(), r.duplicate_of) for k, r in got.items()} == brute_substrings(rows)
 
 
+def test_copies_go_with_their_short_lines(spark):
+    """A copy of a document loses its long lines as paragraphs and the short ones between them as windows."""
+    rng = random.Random(17)
+    text = "\n".join(sentence(rng, rng.choice([6, 9, 30, 40])) for _ in range(40))
+    rows = [(1, text), (2, text), (3, f"{sentence(rng, 40)}\n{text}\n{sentence(rng, 40)}")]
+    got = substrings(spark, rows)
+    assert got == brute_substrings(rows) and len(got[2][0]) < 25 and len(got[3][0]) < 130
+
+
 def test_families_of_near_paragraphs(spark, monkeypatch):
     """Families whose members are only partly alike, in blocks of a few paragraphs."""
     monkeypatch.setattr(substring, "BLOCK", 8)
