@@ -86,7 +86,8 @@ def dedup_lines(df: DataFrame, window: int = 2, id_column: str = "doc_id", text_
     d, r = _key(id_column, text_column)
     own = {c: f"c{i}" for i, c in enumerate(df.columns)}  # names that nothing here uses otherwise
     rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], d, r)
-    rows = rows.join(found, F.col("d").eqNullSafe(F.col("fd")) & (F.col("r") == F.col("fr")), "left")
+    # merged at every size: a hot document is split, and the plan doesn't turn where the table grows out of a broadcast
+    rows = rows.join(found.hint("merge"), F.col("d").eqNullSafe(F.col("fd")) & (F.col("r") == F.col("fr")), "left")
     # of each matching window, the units that the one before doesn't cover, behind those that none covers
     def covered(starts: str, n: int) -> Column:
         back = lambda i: F.when(i > 0, F.get(starts, i - 1)).otherwise(F.lit(-n))
